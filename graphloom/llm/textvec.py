@@ -122,12 +122,17 @@ def word_batches(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray) -> Itera
         lo = hi
 
 
+#: distinct() keeps so many bits of a hash, beside the row number.
+TERM_BITS = 44
+
+
 def distinct(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, values and counts of the distinct values in each row, sorted by row and value."""
-    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    if not len(h):
-        return row, h, np.zeros(0, np.int64)
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])))
-    return row[first], h[first], np.diff(np.append(first, len(h)))
+    """Row numbers, values (the upper TERM_BITS bits of the hashes) and counts of each row's distinct values, in order."""
+    row = np.repeat(np.arange(len(ptr) - 1, dtype=_U), np.diff(ptr))
+    both = np.sort((row << _U(TERM_BITS)) | (h >> _U(64 - TERM_BITS)))
+    if not len(both):
+        return np.zeros(0, np.int64), both, np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    count = np.diff(np.append(first, len(both)))
+    both = both[first]
+    return (both >> _U(TERM_BITS)).astype(np.int64), both & _U((1 << TERM_BITS) - 1), count
