@@ -72,8 +72,10 @@ def raw(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
 
-def words_of(b: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of the bytes b, in order, and how many begin before each of starts (and before the end)."""
+def words_of(b: np.ndarray, starts: np.ndarray, kinds: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the bytes b, in order, and how many begin before each of starts (and before the end).
+
+    With prefixes, each word's hash is followed by those of its first so many bytes (its own, where it is shorter)."""
     n = len(b)
     if not n:
         return np.zeros(0, _U), np.zeros(len(starts) + 1, np.int64)
@@ -89,11 +91,16 @@ def words_of(b: np.ndarray, starts: np.ndarray, kinds: np.ndarray) -> tuple[np.n
     power, inverse = _pows(n)
     total = np.zeros(n + 1, _U)
     np.cumsum(_VALUES[b] * power[:n], out=total[1:])
+    ptr = np.searchsorted(at, np.append(starts, n))
     h = mix((total[end] - total[at]) * inverse[at] + (end - at).astype(_U))
-    return h, np.searchsorted(at, np.append(starts, n))
+    if prefixes:
+        ends = [np.minimum(at + k, end) for k in prefixes]
+        h = np.column_stack([h, *[mix((total[e] - total[at]) * inverse[at] + (e - at).astype(_U)) for e in ends]]).ravel()
+        ptr = ptr * (1 + len(prefixes))
+    return h, ptr
 
 
-def word_batches(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_batches(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, word hashes, offsets of rows into them), over all rows; whole texts of any length."""
     data, off = raw(column)
     lo, n = 0, len(off) - 1
@@ -102,7 +109,7 @@ def word_batches(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray) -> Itera
         hi = min(hi, n)
         a, z = int(off[lo]), int(off[hi])
         if z - a <= SEGMENT or hi > lo + 1:
-            h, ptr = words_of(data[a:z], off[lo:hi] - a, kinds)
+            h, ptr = words_of(data[a:z], off[lo:hi] - a, kinds, prefixes)
         else:
             parts = []
             while a < z:
@@ -114,7 +121,7 @@ def word_batches(column: pa.Array | pa.ChunkedArray, kinds: np.ndarray) -> Itera
                     else:
                         while cut < z and kinds[data[cut]] != 0:
                             cut += 1
-                parts.append(words_of(data[a:cut], np.zeros(1, np.int64), kinds)[0])
+                parts.append(words_of(data[a:cut], np.zeros(1, np.int64), kinds, prefixes)[0])
                 a = cut
             h = np.concatenate(parts)
             ptr = np.array([0, len(h)])
