@@ -282,32 +282,34 @@ def learned(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> LanguageModel:
     return fit([t for _, _, t in sample], [x for _, x, _ in sample])
 
 
-def identified(docs: DataFrame, model: LanguageModel, columns: list[str] | None = None) -> DataFrame:
-    """The named columns of docs (all of them) with lang_pred, lang_score, lang_rejected and lang_entropy."""
+NAMES = ("lang_pred", "lang_score", "lang_rejected", "lang_entropy")
+
+
+def identified(docs: DataFrame, model: LanguageModel, columns: list[str] | None = None, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """The named columns of docs (all of them) with predicted language, score, whether rejected, and entropy, under `names`.
+
+    A column of docs that has one of these names gives way; other names avoid that."""
     spark = docs.sparkSession
     small_batches(spark)
-    columns = docs.columns if columns is None else columns
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in names]
     shared = spark.sparkContext.broadcast(model)  # bounded by train_chars and the number of languages
     at = docs.columns.index("text")
     places = [docs.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = np.array([*m.languages, UND], object)
+        languages = np.array([*m.languages, UND], object)
         for b in batches:
             best, score, rejected, entropy = m.decide(b.column(at))
-            more = [pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(rejected), pa.array(entropy, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in places], *more], names=[*columns, *NAMES])
+            more = [pa.array(languages[best], pa.string()), pa.array(score, pa.float64()), pa.array(rejected), pa.array(entropy, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in places], *more], names=[*columns, *names])
 
     schema = docs.select(*[f"`{c}`" for c in columns]).schema
-    for name, kind in zip(NAMES, ("string", "double", "boolean", "double"), strict=True):
+    for name, kind in zip(names, ("string", "double", "boolean", "double"), strict=True):
         schema = schema.add(name, kind)
     return docs.mapInArrow(run, schema)
 
 
-NAMES = ("lang_pred", "lang_score", "lang_rejected", "lang_entropy")
-
-
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = identified(docs.select("doc_id", "text"), learned(docs), ["doc_id"])

@@ -102,8 +102,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """docs without the lines whose key at least min_docs documents hold, but in the largest doc_id; adds n_lines and n_dropped.
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, counts: bool = True) -> DataFrame:
+    """docs without the lines whose key at least min_docs documents hold, but in the largest doc_id; adds n_lines and n_dropped unless counts is false.
 
     text becomes the kept lines joined by newline; a text that loses nothing stays as it is (null stays null).
     """
@@ -112,7 +112,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     both = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.md5(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("m.text_key")), "left")
     kept = F.filter(lines_of(F.col("d.text")), lambda x, i: F.getbit(F.element_at(F.col("m.dropped"), (F.floor(i / WORD) + 1).cast("int")), i % WORD) == 0)
     text = F.when(F.col("m.n_dropped") == 0, F.col("d.text")).otherwise(F.array_join(kept, "\n"))
-    return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], F.col("m.n_lines").alias("n_lines"), F.col("m.n_dropped").alias("n_dropped"))
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], *([F.col("m.n_lines").alias("n_lines"), F.col("m.n_dropped").alias("n_dropped")] if counts else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

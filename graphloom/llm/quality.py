@@ -155,9 +155,9 @@ def learned(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordin
 
 
 def rated(docs: DataFrame, model: Ordinal, columns: list[str] | None = None) -> DataFrame:
-    """The named columns of docs (all of them) with expected_grade, tail and keep."""
+    """The named columns of docs (all of them) with expected_grade, tail and keep, which replace columns so named."""
     small_batches(docs.sparkSession)
-    columns = docs.columns if columns is None else columns
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in ("expected_grade", "tail", "keep")]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of 2**HASH_BITS weights
     at, places = docs.columns.index("text"), [docs.columns.index(c) for c in columns]
 
