@@ -70,11 +70,19 @@ class Parts:
             most = after - 1
             differ = (100 - percent) * (most + 100 * most // percent) // (100 + percent)
             spare = 0
-            if differ:  # parts that may be empty in both: few sets need a second deal
-                empty = [(k := differ + 1 + e, k * np.exp(-low / k)) for e in range(65)]
-                spare = next((e for e, (_, m) in enumerate(empty) if m + 2 * np.sqrt(m) < 1 + e), int(np.argmin([m + 2 * np.sqrt(m) - e for e, (_, m) in enumerate(empty)])))
+            if differ:  # parts that may be empty in both: so many that few sets need a second deal
+                while spare < low and self._empty(differ + 1 + spare, low) >= 1 + spare:
+                    spare = max(spare + 1, int(self._empty(differ + 1 + spare, low)))
+                if spare >= low:  # short texts: no number is enough for most, take the best
+                    spare = min(range(65), key=lambda e: self._empty(differ + 1 + e, low) - e)
             self.table.append((differ, differ + 1 + spare))
 
+    @staticmethod
+    def _empty(parts: int, size: int) -> float:
+        """How many parts are empty, with two standard errors."""
+        m = parts * np.exp(-size / parts)
+        return m + 2 * np.sqrt(m)
+
     def of(self, s: np.ndarray) -> np.ndarray:
         """Signatures of the parts that aren't empty, for pairs with sets of the same class, the next and the one before."""
         if not len(s):

@@ -31,7 +31,7 @@ CALIBRATION = 5
 ROUNDS, RATE, L2, MIN_DOCS = 200, 0.3, 1e-4, 5
 #: A feature gets a weight if its share among some grade's documents is so many standard errors from its share among the others,
 #: with TRAIN_ROWS ratings; with fewer, so much the less, but LEAST_SCREEN at least.
-SCREEN, LEAST_SCREEN = 10.0, 3.0
+SCREEN, LEAST_SCREEN = 10.0, 5.0
 PREFIXES = (4, 5, 6)
 #: Texts of so many terms have levels, whose bounds follow.
 SHAPED = 20
