@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import documents, partitions, small_batches, written
 from .textvec import WORDS, distinct, mix, word_batches
@@ -117,7 +118,8 @@ def as_text(prints: np.ndarray) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """docs with the column fingerprint: the general form, for any number of further uses."""
+    """docs with the column fingerprint, which replaces one so named: the general form, for any number of further uses."""
+    docs = docs.drop("fingerprint")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
     at = docs.columns.index("text")
@@ -127,7 +129,7 @@ def fingerprints(docs: DataFrame, terms: np.ndarray) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(as_text(f.of(b.column(at))), pa.string())], names=[*b.schema.names, "fingerprint"])
 
-    return docs.mapInArrow(run, docs.schema.add("fingerprint", "string"))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.StringType())]))
 
 
 ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
