@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, small_batches, written
+from .shared import documents, release, small_batches, written
 from .textvec import SPACE_WORDS, mix, word_batches
 
 WORDS, PERCENT = 5, 80
 #: A region of at most so many sets and so many shingles is joined in one task; larger ones are split.
 REGION_SETS, REGION_SHINGLES = 2048, 4_000_000
 PIVOTS = 8
-#: A set with more copies than this is taken out of the search once, before its parts are dealt out.
-COPIES = 64
+#: A task deals out the parts of a set once, as far as it remembers so many sets: copies meet by their node alone.
+REMEMBERED = 500_000
 
 _U = np.uint64
 _ONE = mix(np.arange(1, 65, dtype=_U)) | _U(1)
@@ -110,22 +110,35 @@ def _node(s: np.ndarray) -> int:
     return int(mix(np.array([int(np.add.reduce(mix(s + _U(0x5BD1E995)))) + len(s) & (1 << 64) - 1], _U)).astype(np.int64)[0])
 
 
-def with_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, node, n, parts): node stands for the set."""
+def with_nodes(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, node, n): node stands for the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(percent)
         for b in batches:
-            node, n, signatures = [], [], []
-            for s in shingle_sets(b.column(1), words):
-                node.append(_node(s))
-                n.append(len(s))
-                signatures.append(parts.of(s).astype(np.int64))
-            at = np.append(0, np.cumsum([len(x) for x in signatures])).astype(np.int32)
-            values = np.concatenate(signatures) if signatures else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["doc_id", "node", "n", "parts"])
+            found = [(_node(s), len(s)) for s in shingle_sets(b.column(1), words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "node", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long, parts array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long")
+
+
+def with_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, parts) of the texts with words: the signatures of their sets' parts, most copies left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, seen = Parts(percent), set()
+        for b in batches:
+            found = []
+            for s in shingle_sets(b.column(0), words):
+                if len(s) and (node := _node(s)) not in seen:
+                    seen.add(node)
+                    found.append((node, parts.of(s).astype(np.int64)))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            at = np.append(0, np.cumsum([len(x) for _, x in found])).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["node", "parts"])
+
+    return docs.select("text").mapInArrow(run, "node long, parts array<long>")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -269,16 +282,16 @@ def linked_sets(regions: DataFrame, percent: int, region_sets: int = REGION_SETS
 def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of docs."""
     small_batches(docs.sparkSession)
-    sets = written(with_signatures(docs, words, percent), "sets")
-    full = sets.where("n > 0")
-    nodes = written(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "nodes")
-    often = written(nodes.where(F.col("copies") > COPIES).select("node"), "often")
-    once = full.join(often, "node", "left_semi").select("node", "parts").dropDuplicates(["node"])
-    deal = full.join(often, "node", "left_anti").select("node", "parts").unionByName(once).select("node", F.explode("parts").alias("part"))
+    # sets are computed anew in each pass over the texts: that costs less than to keep them
+    sets = written(with_nodes(docs, words), "sets")
+    nodes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "nodes")
+    deal = with_parts(docs, words, percent).select("node", F.explode("parts").alias("part"))
     low = deal.selectExpr("node", "part", "min(node) over (partition by part) AS a")
     met = components(low.where("node <> a").select("a", F.col("node").alias("b")))
+    release(docs.sparkSession)
     wanted = nodes.join(met, "node").select(F.col("component").alias("region"), "node", "copies", "doc_id")
     regions = written(_sets_of(docs, wanted, words), "regions")
+    release(docs.sparkSession)
     links = written(linked_sets(regions, percent, region_sets, region_shingles), "links")
     label = components(links.select(F.col("peer").alias("a"), F.col("node").alias("b")))
     count = links.groupBy("node").agg(F.sum("links").alias("links"))
