@@ -219,9 +219,10 @@ class LanguageModel:
 
     def decide(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(index of the language or -1, score, rejected, entropy) of each text."""
-        n, letters, h = self.entropies(column)
         if not self.models:
-            return np.full(len(n), -1), np.zeros(len(n)), np.ones(len(n), bool), np.zeros(len(n))
+            k = len(column)
+            return np.full(k, -1), np.zeros(k), np.ones(k, bool), np.zeros(k)
+        n, letters, h = self.entropies(column)
         best = h.argmin(0)
         least = h.min(0)
         p = np.exp(-np.clip((h - least) * n / self.temperature, 0, 700)).sum(0)

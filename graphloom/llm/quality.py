@@ -93,7 +93,7 @@ def fit(texts: list[str], grades: list[int]) -> Ordinal:
         row.append(r + lo)
         feature.append(f)
     row, feature = np.concatenate(row), np.concatenate(feature)
-    held = np.arange(len(y)) % CALIBRATION == 0
+    held = mix(np.arange(len(y), dtype=_U)) % _U(CALIBRATION) == 0
     fitted = ~held[row]
     total = np.bincount(feature[fitted], minlength=1 << HASH_BITS)
     often = np.zeros(1 << HASH_BITS, bool)
