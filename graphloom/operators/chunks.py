@@ -23,7 +23,7 @@ def paragraphs(text: Column) -> Column:
     """Blank lines part paragraphs; their lines are stripped and joined by a space."""
     lines = F.transform(F.split(text, "\n", -1), strip)
     joined = F.array_join(F.transform(lines, lambda x: F.when(x == "", "\n").otherwise(x)), " ")
-    return F.filter(F.transform(F.split(joined, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(joined, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def lines_as_paragraphs(text: Column) -> Column:

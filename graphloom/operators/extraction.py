@@ -43,13 +43,13 @@ def gazetteer_mentions(names: DataFrame) -> MentionProvider:
 
 def verb_relations(chunks: DataFrame) -> DataFrame:
     """A provider without a model: NAME verb NAME becomes the JSON that a language model would give."""
-    rows = F.concat(*[
-        F.transform(
-            F.regexp_extract_all("text", F.lit(f"({NAME}) {verb} ({NAME})"), F.lit(0)),
-            lambda m, verb=verb, kind=kind: F.struct(F.split_part(m, F.lit(f" {verb} "), F.lit(1)).alias("source"), F.lit(kind).alias("relation"), F.split_part(m, F.lit(f" {verb} "), F.lit(2)).alias("target"), F.lit(0.9).alias("confidence"), m.alias("evidence")),
-        )
-        for verb, kind in VERBS.items()
-    ])
+    def told(verb: str, kind: str) -> Column:
+        def one(m: Column) -> Column:
+            return F.struct(F.split_part(m, F.lit(f" {verb} "), F.lit(1)).alias("source"), F.lit(kind).alias("relation"), F.split_part(m, F.lit(f" {verb} "), F.lit(2)).alias("target"), F.lit(0.9).alias("confidence"), m.alias("evidence"))
+
+        return F.transform(F.regexp_extract_all("text", F.lit(f"({NAME}) {verb} ({NAME})"), F.lit(0)), one)
+
+    rows = F.concat(*[told(verb, kind) for verb, kind in VERBS.items()])
     ends = F.flatten(F.transform("relations", lambda r: F.array(r["source"], r["target"])))
     entities = F.transform(F.array_distinct(ends), lambda n: F.struct(n.alias("name"), F.lit("Company").alias("type"), F.lit(0.8).alias("confidence")))
     return chunks.withColumn("relations", rows).select("chunk_id", F.to_json(F.struct(entities.alias("entities"), "relations")).alias("response"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import LINKER_SUFFIXES, MERGER_SUFFIXES, normalized
 from ..functions.similarity import cosine, token_sort_ratio, token_sort_score
+from ..storage import written
 
 FUZZY, EMBEDDED = 85.0, 0.85
 SPLIT_PENALTY = 0.9
@@ -86,7 +86,7 @@ def best_by_vector(queries: DataFrame, candidates: DataFrame, threshold: float =
 def lookup_table(entities: DataFrame) -> DataFrame:
     """(key, name): lower-case names and aliases of graph entities (name, aliases, ord); later ones take a key over, aliases names."""
     by_name = entities.select(F.lower("name").alias("key"), "name", "ord", F.lit(0).alias("kind"))
-    by_alias = entities.select(F.lower(F.explode("aliases")).alias("key"), "name", "ord", F.lit(1).alias("kind"))
+    by_alias = entities.select(F.explode("aliases").alias("key"), "name", "ord").select(F.lower("key").alias("key"), "name", "ord", F.lit(1).alias("kind"))
     return by_name.unionByName(by_alias).groupBy("key").agg(F.max_by("name", F.struct("ord", "kind")).alias("name"), F.max("ord").alias("ord"))
 
 
@@ -132,21 +132,18 @@ def stars(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     In rounds: a name heads its star as soon as none of its earlier likes may still head one, and takes those that no earlier
     undecided name could take."""
     r = ranks.select("name", "rank")
-    edge = pairs.select("name", "other").join(r.withColumnsRenamed({"rank": "head_rank"}), "name").join(r.withColumnsRenamed({"name": "other", "rank": "own_rank"}), "other")
+    edge = pairs.select("name", "other").join(r.withColumnsRenamed({"rank": "head_rank"}), "name").join(r.select(F.col("name").alias("other")), "other")
+    edge = written(edge.select("name", "other", "head_rank"), "likes")
     taken = None
-    while True:
-        heads = edge.join(edge.select(F.col("other").alias("name")).distinct(), "name", "left_anti")
-        won = heads.groupBy("other").agg(F.min_by("name", "head_rank").alias("canonical"), F.min("head_rank").alias("by")).cache()
-        if not won.limit(1).count():
-            break
-        # one that an earlier undecided name could take waits
-        open_ = edge.join(edge.select(F.col("other").alias("name")).distinct(), "name", "left_semi").groupBy("other").agg(F.min("head_rank").alias("open_rank"))
-        sure = won.join(open_, "other", "left").where("open_rank IS NULL OR by < open_rank").select("canonical", F.col("other").alias("duplicate")).cache()
-        if not sure.limit(1).count():
-            break
+    while edge.limit(1).count():
+        waiting = edge.select(F.col("other").alias("name")).distinct()  # these may yet be taken
+        heads = edge.join(waiting, "name", "left_anti").groupBy("other").agg(F.min_by("name", "head_rank").alias("canonical"), F.min("head_rank").alias("by"))
+        open_ = edge.join(waiting, "name", "left_semi").groupBy("other").agg(F.min("head_rank").alias("open_rank"))
+        # one that an earlier undecided name could take waits, too
+        sure = written(heads.join(open_, "other", "left").where("open_rank IS NULL OR by < open_rank").select("canonical", F.col("other").alias("duplicate")), "stars")
         taken = sure if taken is None else taken.unionByName(sure)
-        gone = sure.select(F.col("duplicate").alias("n")).distinct()
-        edge = edge.join(gone.withColumnRenamed("n", "name"), "name", "left_anti").join(gone.withColumnRenamed("n", "other"), "other", "left_anti").cache()
+        gone = sure.select(F.col("duplicate").alias("n"))
+        edge = written(edge.join(gone.withColumnRenamed("n", "name"), "name", "left_anti").join(gone.withColumnRenamed("n", "other"), "other", "left_anti"), "likes")
     return taken if taken is not None else pairs.select(F.col("name").alias("canonical"), F.col("other").alias("duplicate")).where("false")
 
 

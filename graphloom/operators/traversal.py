@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .graph import MIN_VIEW, seen_name, undirected
 
 
@@ -48,33 +49,49 @@ def neighbourhood(entities: DataFrame, edges: DataFrame, name: str, depth: int =
     return out.select("src", "rel_type", "dst", "confidence")
 
 
-def reached(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
-    """(node, distance) over undirected edges, breadth first: each step joins only the nodes that the last one found."""
+def reached(edges: DataFrame, start: str, max_depth: int, goal: str | None = None) -> DataFrame:
+    """(node, distance) over undirected edges, breadth first, as far as max_depth or until the goal is met.
+
+    Each step joins the nodes that the last one found, and its result is a written table; only its being empty, or holding
+    the goal, reaches the driver."""
     spark = edges.sparkSession
-    both = undirected(edges.select("src", "dst")).select("a", "b").distinct()
-    seen = spark.sql("SELECT :n AS node, 0 AS distance", args={"n": start})
-    front = seen.select("node")
+    both = written(undirected(edges.select("src", "dst")).select("a", "b").distinct(), "steps")
+    front = spark.range(1).select(F.lit(start).alias("node"))
+    seen = front.withColumn("distance", F.lit(0))
     for d in range(1, max_depth + 1):
-        front = front.join(both.withColumnRenamed("a", "node"), "node").select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+        new = front.join(both.withColumnRenamed("a", "node"), "node").select(F.col("b").alias("node")).distinct()
+        front = written(new.join(seen.select("node"), "node", "left_anti"), "front")
         seen = seen.unionByName(front.withColumn("distance", F.lit(d)))
+        if not front.limit(1).count() or goal is not None and front.where(F.col("node") == goal).limit(1).count():
+            break
     return seen
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 5) -> DataFrame:
     """(hop, source, rel_type, target) of one shortest undirected path, the least by names and types; none: no rows.
 
-    Two breadth-first searches meet: an edge lies on a shortest path if the distances of its ends from either side add up.
+    Breadth first from the start until the goal is met, then back from it: an edge lies on a shortest path if it goes from a
+    node of one distance to a node of the next that leads on to the goal.
     """
     if not 1 <= max_depth <= 10:
         raise ValueError("a path has from 1 to 10 hops")
-    both = undirected(edges.select("src", "rel_type", "dst")).select("a", "rel_type", "b").distinct()
-    there = reached(edges, start, max_depth).withColumnsRenamed({"node": "a", "distance": "da"})
-    back = reached(edges, goal, max_depth).withColumnsRenamed({"node": "b", "distance": "db"})
-    length = reached(edges, start, max_depth).where(F.col("node") == goal).select(F.col("distance").alias("n"))
-    on = both.join(there, "a").join(back, "b").join(F.broadcast(length)).where("da + 1 + db = n").select("a", "rel_type", "b", (F.col("da") + 1).alias("hop"))
-    # from the goal back, the least choice at each hop; a layer of shortest paths is joined at a time
-    path = edges.sparkSession.sql("SELECT :n AS at, cast(array() AS array<struct<hop:int,source:string,rel_type:string,target:string>>) AS path", args={"n": start})
-    for hop in range(1, max_depth + 1):
-        step = on.where(F.col("hop") == hop).groupBy("a").agg(F.min(F.struct("b", "rel_type")).alias("s"))
-        path = path.join(step, path["at"] == step["a"], "left").select(F.coalesce("s.b", "at").alias("at"), F.when(F.col("s").isNull(), F.col("path")).otherwise(F.concat("path", F.array(F.struct(F.lit(hop).alias("hop"), F.col("at").alias("source"), F.col("s.rel_type").alias("rel_type"), F.col("s.b").alias("target"))))).alias("path"))
-    return path.where(F.col("at") == goal).select(F.inline("path"))
+    spark = edges.sparkSession
+    there = written(reached(edges, start, max_depth, goal), "distances")
+    end = there.where(F.col("node") == goal).first()
+    hops = end["distance"] if end else 0
+    rows = []
+    if hops:
+        both = undirected(edges.select("src", "rel_type", "dst")).select("a", "rel_type", "b").distinct()
+        back = there.where(F.col("node") == goal).select(F.col("node").alias("b"))
+        layers = []
+        for hop in range(hops, 0, -1):  # edges into the nodes that lead on to the goal
+            before = there.where(F.col("distance") == hop - 1).select(F.col("node").alias("a"))
+            layer = written(both.join(back, "b", "left_semi").join(before, "a", "left_semi"), "layer")
+            layers.insert(0, layer)
+            back = layer.select(F.col("a").alias("b")).distinct()
+        at = start
+        for hop, layer in enumerate(layers, 1):  # one row a hop
+            step = layer.where(F.col("a") == at).agg(F.min(F.struct("b", "rel_type")).alias("s")).first()["s"]
+            rows.append((hop, at, step["rel_type"], step["b"]))
+            at = step["b"]
+    return spark.createDataFrame(rows, "hop int, source string, rel_type string, target string")

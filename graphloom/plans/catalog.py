@@ -102,10 +102,10 @@ def neighbors_k(spark, sf_dir):
 
 @query(G.replace("WITH", "WITH RECURSIVE") + f"""
 , ids AS (SELECT row_number() OVER () AS edge, src, rel_type, dst, confidence FROM edges)
-, both AS (SELECT src AS a, dst AS b, edge FROM ids UNION ALL SELECT dst, src, edge FROM ids WHERE src <> dst)
+, ends AS (SELECT src AS a, dst AS b, edge FROM ids UNION ALL SELECT dst, src, edge FROM ids WHERE src <> dst)
 , t AS (
-  SELECT b AS node, [edge] AS trail, 1 AS d FROM both WHERE a = '{FIRM}'
-  UNION ALL SELECT b, list_append(trail, both.edge), d + 1 FROM t JOIN both ON a = node WHERE d < 2 AND NOT list_contains(trail, both.edge)
+  SELECT b AS node, [edge] AS trail, 1 AS d FROM ends WHERE a = '{FIRM}'
+  UNION ALL SELECT b, list_append(trail, ends.edge), d + 1 FROM t JOIN ends ON a = node WHERE d < 2 AND NOT list_contains(trail, ends.edge)
 ), good AS (SELECT name FROM entities WHERE confidence >= 0.6), used AS (
   SELECT DISTINCT unnest(trail) AS edge FROM t WHERE node IN (SELECT name FROM good WHERE length(name) > 2 AND length(name) < 100)
 )
@@ -115,8 +115,8 @@ def neighborhood_edges(spark, sf_dir):
 
 
 @query(G.replace("WITH", "WITH RECURSIVE") + f"""
-, both AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges))
-, t AS (SELECT '{PERSON}' AS node, 0 AS d UNION SELECT b, d + 1 FROM t JOIN both ON a = node WHERE d < 5)
+, ends AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges))
+, t AS (SELECT '{PERSON}' AS node, 0 AS d UNION SELECT b, d + 1 FROM t JOIN ends ON a = node WHERE d < 5)
 SELECT unnest(range(1, (SELECT min(d) FROM t WHERE node = 'AFRICA')::BIGINT + 1))::INTEGER AS hop""")
 def shortest_path_hops(spark, sf_dir):
     return traversal.shortest_path(demo.edges(spark, sf_dir), PERSON, "AFRICA").select("hop")
