@@ -482,10 +482,10 @@ def token_sort_pairs(spark, sf_dir):
 WITH v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 p AS (SELECT a.id, b.id AS best_id, round(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)), 9) AS similarity FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, best_id) AS k FROM p)
-SELECT id, best_id, round(similarity, 6) AS similarity FROM k WHERE k = 1 AND similarity >= 0.5e0""")
+SELECT id, best_id, round(similarity, 6) AS similarity FROM k WHERE k = 1 AND similarity >= 0""")
 def cosine_best_match(spark, sf_dir):
     v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("block"), F.col("embedding").alias("vector"))
-    return resolution.best_by_vector(v, v, 0.5).select("id", "best_id", F.round("similarity", 6).alias("similarity"))
+    return resolution.best_by_vector(v, v, 0.0).select("id", "best_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
@@ -550,12 +550,12 @@ def case_variant_merge(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT event_id AS ord, 'U' || user_id AS a, 'u' || (value::BIGINT % 50) AS b, CASE event_id % 3 WHEN 0 THEN 'merge' WHEN 1 THEN 'separate' ELSE 'pending' END AS decision FROM events)
+WITH d AS (SELECT event_id AS ord, 'U' || user_id AS a, 'u' || (floor(value)::BIGINT % 50) AS b, CASE event_id % 3 WHEN 0 THEN 'merge' WHEN 1 THEN 'separate' ELSE 'pending' END AS decision FROM events)
 SELECT least(lower(a), lower(b)) AS a, greatest(lower(a), lower(b)) AS b, arg_max(decision, ord) AS decision FROM d GROUP BY 1, 2""")
 def review_pairs(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
     kind = F.element_at(F.array(*map(F.lit, ("merge", "separate", "pending"))), (F.col("event_id") % 3 + 1).cast("int"))
-    return resolution.decision_pairs(e.select(F.col("event_id").alias("ord"), F.concat(F.lit("U"), "user_id").alias("entity1"), F.concat(F.lit("u"), F.round("value").cast("long") % 50).alias("entity2"), kind.alias("decision")))
+    return resolution.decision_pairs(e.select(F.col("event_id").alias("ord"), F.concat(F.lit("U"), "user_id").alias("entity1"), F.concat(F.lit("u"), F.floor("value").cast("long") % 50).alias("entity2"), kind.alias("decision")))
 
 
 # ---- registry
