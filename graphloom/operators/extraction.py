@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import entity_type, strip, valid_extracted_name, valid_mention
 from ..model import ENTITY_TYPES, canonical_relation
-from .chunks import low_quality
+from .chunks import low_quality, prompt
 
 MENTION_CONFIDENCE, GIVEN_CONFIDENCE, MIN_CONFIDENCE = 0.8, 0.8, 0.7
 JSON_SCHEMA = "entities array<struct<name:string,type:string,confidence:double,aliases:array<string>>>, relations array<struct<source:string,relation:string,target:string,confidence:double,evidence:string>>"
@@ -55,6 +57,44 @@ def verb_relations(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("relations", rows).select("chunk_id", F.to_json(F.struct(entities.alias("entities"), "relations")).alias("response"))
 
 
+def by_language(providers: dict[str, MentionProvider], language: str, default: str = "fr") -> MentionProvider:
+    """The provider for a language by the first two letters of its code, else the default's, else any; without any, no mentions."""
+    chosen = providers.get(language[:2].lower()) or providers.get(default) or next(iter(providers.values()), None)
+    if chosen is not None:
+        return chosen
+    return lambda chunks: chunks.select("chunk_id", F.lit(0).alias("pos"), F.col("text").alias("mention"), F.lit("").alias("label")).where("false")
+
+
+def model_relations(complete: Callable[[str], str], retries: int = 3, wait: float = 1.0) -> RelationProvider:
+    """A provider from a function that completes a prompt, such as a client of a language model: time-outs and broken
+    connections are tried again after 1, 2, 4 ... times `wait` seconds; other errors leave the response null."""
+
+    def provide(chunks: DataFrame) -> DataFrame:
+        have = set(chunks.columns)
+        column = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+        names = F.col("names") if "names" in have else F.array().cast("array<string>")
+        asked = chunks.select("chunk_id", prompt(F.col("text"), column("before"), column("after"), names).alias("prompt"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"chunk_id": batch["chunk_id"], "response": [_completed(complete, p, retries, wait) for p in batch["prompt"]]})
+
+        return asked.mapInPandas(run, f"chunk_id {dict(chunks.dtypes)['chunk_id']}, response string")
+
+    return provide
+
+
+def _completed(complete: Callable[[str], str], text: str, retries: int, wait: float) -> str | None:
+    for k in range(retries + 1):
+        try:
+            return complete(text)
+        except (TimeoutError, ConnectionError):
+            time.sleep(wait * 2**k if k < retries else 0)
+        except Exception:  # noqa: BLE001  the provider's own failure: the chunk keeps its recognized entities
+            return None
+    return None
+
+
 def recognized(mentions: DataFrame, language: Column | None = None) -> DataFrame:
     """(chunk_id, pos, name, type, confidence, properties): each surface form once, at its first place, if valid and typed."""
     w = Window.partitionBy("chunk_id", "mention").orderBy("pos")

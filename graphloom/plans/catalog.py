@@ -456,6 +456,17 @@ def extract_entities(spark, sf_dir):
     return extraction.extracted(d, extraction.capitalized_mentions, extraction.verb_relations)[0].drop("aliases")
 
 
+@query()
+def ingest_documents(spark, sf_dir):
+    """Whole documents from text to merged entity rows; tests hold the steps against hand-made cases."""
+    from .ingest import ingest
+
+    pages = _table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
+    known = demo.entities(spark, sf_dir).where("type = 'Company'").select("name", "aliases", F.xxhash64("name").alias("ord"))
+    out = ingest(pages, known, extraction.capitalized_mentions, extraction.verb_relations, paragraphs=chunks.lines_as_paragraphs(F.col("text")))
+    return out.entities.select("name", "type", "confidence", F.size("aliases").alias("n_aliases"))
+
+
 # ---- similarity, resolution, linking
 
 

@@ -108,3 +108,31 @@ def test_streamed_upserts(spark, tmp_path):
     last = sorted((tmp_path / "table").iterdir(), key=lambda p: int(p.name.split("=")[1]))[-1]
     got = {r["name"]: r for r in spark.read.parquet(str(last)).collect()}
     assert got["A"]["confidence"] == 0.9 and set(got["A"]["aliases"]) == {"x", "y"} and set(got) == {"A", "B"}
+
+
+def test_providers(spark):
+    calls = extraction.model_relations(lambda p: '{"entities": [], "relations": []}' if "Acme" in p else 1 / 0, wait=0)
+    c = spark.createDataFrame([(1, "Acme"), (2, "Beta")], "chunk_id int, text string")
+    assert {r["chunk_id"]: r["response"] is None for r in calls(c).collect()} == {1: False, 2: True}
+
+    def slow(_):
+        raise TimeoutError
+
+    assert extraction._completed(slow, "x", 2, 0) is None
+    assert extraction.by_language({"fr": extraction.capitalized_mentions}, "en-GB") is extraction.capitalized_mentions
+    assert extraction.by_language({}, "en")(c).count() == 0
+    g = extraction.gazetteer_mentions(spark.createDataFrame([("Acme", "ORG")], "name string, label string"))
+    assert [(r["chunk_id"], r["mention"]) for r in g(c).collect()] == [(1, "Acme")]
+
+
+def test_ingest(spark):
+    from graphloom.plans.ingest import ingest as run
+
+    filler = " and filler words follow here" * 6
+    pages = spark.createDataFrame([("d1", 1, f"Acme Corp owns Beta Ltd.{filler}"), ("d2", 1, f"ACME CORP acquired Gamma Inc.{filler}")], "doc_id string, page_number int, text string")
+    graph = spark.createDataFrame([("Acme Corporation", ["acme corp"], 1)], "name string, aliases array<string>, ord long")
+    out = run(pages, graph, extraction.capitalized_mentions, extraction.verb_relations)
+    assert {"Acme Corporation", "Beta Ltd", "Gamma Inc"} <= {r["name"] for r in out.entities.collect()}
+    assert {(r["src"], r["rel_type"], r["dst"]) for r in out.edges.collect()} == {("Acme Corporation", "OWNS", "Beta Ltd"), ("Acme Corporation", "ACQUIRED", "Gamma Inc")}
+    assert {(r["entity_name"], r["doc_path"]) for r in out.mentions.collect()} >= {("Acme Corporation", "d1"), ("Acme Corporation", "d2")}
+    assert out.totals.first()["chunks"] == 2 and out.documents.count() == 2
