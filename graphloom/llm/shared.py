@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
@@ -22,17 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a written table: its lineage ends here and a lost executor costs nothing that came before."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no DataFrame needs any more: the driver frees them when it collects its garbage, which
-    an idle one seldom does."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """df as a written table: its lineage ends here and a lost executor costs nothing that came before.
+
+    The shuffle files of the write go with its end; else they would stay until the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession) -> None:
