@@ -85,7 +85,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
     runs = LineRuns(docs.sparkSession)
     for k in range(batches):
         runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    often = runs.statistics().where(F.col("n_docs") >= min_docs)
+    # a table of its own: Spark knows its size and broadcasts it if it is small, else the join can split a hot key's rows
+    often = written(runs.statistics().where(F.col("n_docs") >= min_docs), "often")
     short = lines.where(F.col("key").isNull()).select("doc_id", "text_key", "pos", F.lit(0).alias("drop"))
     long = lines.where(F.col("key").isNotNull()).join(often, "key", "left").select(
         "doc_id", "text_key", "pos", (F.col("n_docs").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("last_doc"))).cast("int").alias("drop")
