@@ -49,13 +49,21 @@ def neighbourhood(entities: DataFrame, edges: DataFrame, name: str, depth: int =
     return out.select("src", "rel_type", "dst", "confidence")
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    """(a, rel_type, b): each edge from both ends, once, as a written table."""
+    return written(undirected(edges.select("src", "rel_type", "dst")).select("a", "rel_type", "b").distinct(), "steps")
+
+
 def reached(edges: DataFrame, start: str, max_depth: int, goal: str | None = None) -> DataFrame:
     """(node, distance) over undirected edges, breadth first, as far as max_depth or until the goal is met.
 
     Each step joins the nodes that the last one found, and its result is a written table; only its being empty, or holding
     the goal, reaches the driver."""
-    spark = edges.sparkSession
-    both = written(undirected(edges.select("src", "dst")).select("a", "b").distinct(), "steps")
+    return _reached(_steps(edges), start, max_depth, goal)
+
+
+def _reached(both: DataFrame, start: str, max_depth: int, goal: str | None) -> DataFrame:
+    spark = both.sparkSession
     front = spark.range(1).select(F.lit(start).alias("node"))
     seen = front.withColumn("distance", F.lit(0))
     for d in range(1, max_depth + 1):
@@ -76,12 +84,12 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 5) -
     if not 1 <= max_depth <= 10:
         raise ValueError("a path has from 1 to 10 hops")
     spark = edges.sparkSession
-    there = written(reached(edges, start, max_depth, goal), "distances")
+    both = _steps(edges)
+    there = written(_reached(both, start, max_depth, goal), "distances")
     end = there.where(F.col("node") == goal).first()
     hops = end["distance"] if end else 0
     rows = []
     if hops:
-        both = undirected(edges.select("src", "rel_type", "dst")).select("a", "rel_type", "b").distinct()
         back = there.where(F.col("node") == goal).select(F.col("node").alias("b"))
         layers = []
         for hop in range(hops, 0, -1):  # edges into the nodes that lead on to the goal
