@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccardjoin, langid, linededup, mixing, packing
-from graphloom.llm.shared import documents, fresh, written
+from graphloom.llm.shared import checked_broadcast, documents, fresh, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +35,13 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     groups = jaccardjoin.joined(rows.select(F.col(row).alias("doc_id"), "text"))
     ids = rows.select(F.col(row).alias("k"), F.col("doc_id").alias("own")).distinct()
-    placed = groups.distinct().withColumnRenamed("doc_id", "k").join(ids, "k")
-    stays = placed.where("n_shingles > 0").groupBy("component_id").agg(F.min_by("k", F.struct(F.col("own").isNull(), "own", "k")).alias("k")).select("k", F.lit(True).alias("once"))
-    stays = stays.unionByName(placed.where("n_shingles = 0").select("k", F.lit(False).alias("once")))
-    r, s = rows.alias("r"), written(stays, "stays").alias("s")
-    met = r.join(s, F.col(f"r.{row}") == F.col("s.k")).select(F.struct("r.*").alias("d"), F.col("s.k").alias("k"), F.col("s.once").alias("once"))
-    first = met.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("i = 1 OR NOT once")
+    placed = groups.groupBy(*groups.columns).agg((F.count(F.lit(1)) > 1).alias("repeated")).withColumnRenamed("doc_id", "k").join(ids, "k")
+    full = placed.where("n_shingles > 0").groupBy("component_id").agg(F.min_by(F.struct("k", "repeated"), F.struct(F.col("own").isNull(), "own", "k")).alias("s")).select("s.*")
+    stays = written(full.unionByName(placed.where("n_shingles = 0").select("k", F.lit(False).alias("repeated"))), "stays")
+    r, s = rows.alias("r"), checked_broadcast(stays, 24).alias("s")
+    met = r.join(s, F.col(f"r.{row}") == F.col("s.k")).select(F.struct("r.*").alias("d"), "k", "repeated")
+    once = met.where("repeated").withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("i = 1").drop("i")
+    first = met.where("NOT repeated").unionByName(once)
     return first.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
 
 

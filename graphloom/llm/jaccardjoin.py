@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import documents, small_batches, written
+from .shared import checked_broadcast, documents, small_batches, written
 from .textvec import SPACE_WORDS, mix, word_batches
 
 WORDS, PERCENT = 5, 80
@@ -155,8 +155,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             t = b.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([True] * len(keep), pa.bool_()), pa.array([-1] * len(keep), pa.int32()), pa.array(sets, pa.binary())], names=REGION_COLUMNS)
 
-    d, w = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.withColumnRenamed("doc_id", "rep")
-    rows = w.join(d, F.col("rep").eqNullSafe(F.col("doc_id"))).select("region", "node", "copies", "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text")
+    rows = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("region", "node", "copies", "text")
     return rows.mapInArrow(run, REGION)
 
 
@@ -288,8 +288,8 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, region_s
     deal = with_parts(docs, words, percent).select("node", F.explode("parts").alias("part"))
     low = deal.selectExpr("node", "part", "min(node) over (partition by part) AS a")
     met = components(low.where("node <> a").select("a", F.col("node").alias("b")))
-    wanted = nodes.join(met, "node").select(F.col("component").alias("region"), "node", "copies", "doc_id")
-    regions = written(_sets_of(docs, wanted, words), "regions")
+    wanted = written(nodes.join(met, "node").select(F.col("component").alias("region"), "node", "copies", "doc_id"), "wanted")
+    regions = written(_sets_of(docs, checked_broadcast(wanted, 48), words), "regions")
     links = written(linked_sets(regions, percent, region_sets, region_shingles), "links")
     label = components(links.select(F.col("peer").alias("a"), F.col("node").alias("b")))
     count = links.groupBy("node").agg(F.sum("links").alias("links"))

@@ -6,7 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BROADCAST_BYTES = 64 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -36,6 +38,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(table: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table, to be broadcast if its rows are counted to fit BROADCAST_BYTES; beyond that it is joined by shuffling."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the Arrow batches that Python workers get: whole texts are long, and two workers share an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
