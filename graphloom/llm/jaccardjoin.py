@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 80
 #: A region of at most so many sets and so many shingles is joined in one task; larger ones are split.
 REGION_SETS, REGION_SHINGLES = 2048, 4_000_000
 PIVOTS = 8
+#: Pivots part a region if its children have at most this share of its pairs; else it is joined block against block.
+PARTED = 0.5
 #: A task deals out the parts of a set once, as far as it remembers so many sets: copies meet by their node alone.
 REMEMBERED = 500_000
 
@@ -172,8 +174,9 @@ def _count_in(s: np.ndarray, sizes: np.ndarray, pivot: np.ndarray) -> np.ndarray
     return total[ends] - total[ends - sizes]
 
 
-def _split(regions: DataFrame, percent: int) -> DataFrame:
-    """One step of Voronoi regions: each set to its nearest pivot's region, and to those where a partner may be at home."""
+def _to_pivots(regions: DataFrame, percent: int, sets: bool) -> DataFrame:
+    """Each set of regions for its nearest pivot's region and for those where a partner may be at home: as REGION with its
+    shingles, or (sets=False) only as (region, child, node)."""
     pivots = regions.groupBy("region", F.pmod("node", F.lit(PIVOTS)).alias("slot")).agg(F.min_by("shingles", "node").alias("pivot"))
     rows = regions.join(pivots.groupBy("region").agg(F.collect_list("pivot").alias("pivots")), "region")
     radius = (100 - percent) / 100
@@ -192,12 +195,14 @@ def _split(regions: DataFrame, percent: int) -> DataFrame:
                 for q in range(len(d)):
                     if d[q] <= d[near] + 2 * radius + 1e-9:
                         to = int(mix(np.array([(region * 31 + q * 0x9E3779B97F4A7C15 + 7) & (1 << 64) - 1], _U)).astype(np.int64)[0])
-                        out.append((to, node, copies, home and q == near, side, shingles))
-            yield pa.RecordBatch.from_pylist([dict(zip(REGION_COLUMNS, r, strict=True)) for r in out], schema=REGION_ARROW)
+                        out.append((to, node, copies, home and q == near, side, shingles) if sets else (region, to, node))
+            schema = REGION_ARROW if sets else CHILD_ARROW
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
 
-    return rows.select(*REGION_COLUMNS, "pivots").mapInArrow(run, REGION)
+    return rows.select(*REGION_COLUMNS, "pivots").mapInArrow(run, REGION if sets else "region long, child long, node long")
 
 
+CHILD_ARROW = pa.schema([("region", pa.int64()), ("child", pa.int64()), ("node", pa.int64())])
 REGION_ARROW = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("home", pa.bool_()), ("side", pa.int32()), ("shingles", pa.binary())])
 
 
@@ -253,26 +258,27 @@ def joined_region(table: pa.Table, percent: int) -> pa.Table:
 
 def linked_sets(regions: DataFrame, percent: int, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """(node, peer, links) of all regions, of any size."""
-    small, level = [], 0
+    small = []
     sizes = written(_sizes(regions), "sizes")
-    too = (F.col("sets") > region_sets) | (F.col("shingle_count") > region_shingles)
+    too = ((F.col("sets") > region_sets) | (F.col("shingle_count") > region_shingles)) & (F.col("sets") > 1)
     while True:
-        large = sizes.where(too & (F.col("sets") > 1)).select("region", "sets")
+        large = sizes.where(too)
         if not large.limit(1).count():
             small.append(regions)
             break
-        small.append(regions.join(large, "region", "left_anti").select(*REGION_COLUMNS))
-        rest = regions.join(large, "region").select(*REGION_COLUMNS)
-        before = large.agg(F.max("sets").alias("n")).first()["n"]
-        parted = written(_split(rest, percent), "regions")
-        sizes, level = written(_sizes(parted), "sizes"), level + 1
-        after = sizes.agg(F.max("sets").alias("n")).first()["n"]
-        if after > 0.7 * before:  # pivots no longer part them
-            need = sizes.where(too & (F.col("sets") > 1)).select("region", F.greatest(F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("shingle_count") / region_shingles), F.lit(2)).alias("n_blocks"))
-            small.append(parted.join(need, "region", "left_anti").select(*REGION_COLUMNS))
-            small.append(_blocks(parted, need))
+        small.append(regions.join(large.select("region"), "region", "left_anti").select(*REGION_COLUMNS))
+        rest = regions.join(large.select("region"), "region").select(*REGION_COLUMNS)
+        children = _to_pivots(rest, percent, sets=False).groupBy("region", "child").agg(F.countDistinct("node").cast("double").alias("n"))
+        pairs = children.groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+        tried = written(large.join(pairs, "region").withColumn("parted", F.col("pairs") <= F.col("sets") * F.col("sets") * PARTED), "tried")
+        # regions that pivots would only copy are joined as they are, block against block
+        blocks = F.greatest(F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("shingle_count") / region_shingles), F.lit(2))
+        small.append(_blocks(rest, tried.where("NOT parted").select("region", blocks.alias("n_blocks"))))
+        parted = tried.where("parted").select("region")
+        if not parted.limit(1).count():
             break
-        regions = parted
+        regions = written(_to_pivots(rest.join(parted, "region").select(*REGION_COLUMNS), percent, sets=True), "regions")
+        sizes = written(_sizes(regions), "sizes")
     out = small[0]
     for more in small[1:]:
         out = out.unionByName(more)
