@@ -62,6 +62,18 @@ def test_jaccard_join(spark, k, percent, kw):
     assert got == brute_join(rows, k, percent)
 
 
+def test_jaccard_join_parts_a_chain(spark, monkeypatch):
+    """Neighbours in a chain link and its ends are far apart: pivots part the region, unlike a group of near copies."""
+    words, step = [f"w{i}" for i in range(500)], jaccardjoin._to_pivots
+    rows = [(i, " ".join(words[i : i + 100])) for i in range(400)]
+    parted = []
+    monkeypatch.setattr(jaccardjoin, "_to_pivots", lambda regions, percent, sets: parted.append(sets) or step(regions, percent, sets))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccardjoin.joined(df, 4, 95, region_sets=150).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_join(rows, 4, 95)
+    assert True in parted
+
+
 def test_jaccard_join_of_odd_rows(odd, odd_rows, none):
     got = Counter(tuple(r) for r in jaccardjoin.joined(odd).select("doc_id", "n_shingles", "component_id", "n_links").collect())
     assert got == brute_join([(r[0], r[1]) for r in odd_rows], 5, 80)
