@@ -1,23 +1,32 @@
 """Licence scans, DataFrame functions only: sparse TF-IDF cosine of statements and whole files to templates, then inheritance.
 
-A text is cut into statements (at line ends and after . ; ! ?). Statements that hold an anchor term are vectors of term
-frequency times inverse document frequency, the latter counted over all documents for the templates' terms; other terms
-weigh as terms that no document has. A statement within `least` of a template is a header. A file named like a licence, or
-whose whole text is within `least_file` of a template, is a licence file of its directory. A document without a header takes
-the licence of the nearest directory above it that has a licence file.
+A text is cut into statements (at line ends and after . ; ! ?), as the templates are. Statements are vectors of term frequency
+times inverse document frequency, the latter counted over all documents for the templates' terms; other terms weigh as terms
+that no document has. A statement within `least` of a template is a header. A file named like a licence, or whose whole text
+is within `least_file` of a template, is a licence file of its directory. A document without a header takes the licence of
+the nearest directory above it that has a licence file.
 
-Defined results: null or empty text has no header; a null path has no directory and inherits nothing; of equal scores the
+A statement's licence is that of its best template. Of several headers a licence goes before a family of licences without a
+version, and that before a mere reservation of rights, which grants often stand beside; then the score decides.
+
+Defined results: null or empty text has no header; a null path has no directory and inherits nothing; of equal ranks and scores the
 licence that sorts first counts; equal rows give equal results; no rows give no rows; further columns don't matter.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import documents, written
 
-#: Statements by which works name their licence.
+#: Licences of which a statement may name no version.
+FAMILIES = {"AGPL": "Affero General Public License", "GPL": "General Public License", "LGPL": "Lesser General Public License"}
+RESERVED = "proprietary"
+SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+#: Statements by which works name their licence, each one statement by the splitter of texts.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "you may not use this file except in compliance with the License"),
@@ -32,10 +41,23 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT license"),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
-    ("proprietary", "Copyright. All rights reserved."),
+    (RESERVED, "All rights reserved."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    *((family, f"you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation;") for family, kind in FAMILIES.items()),
+    *((family, f"it under the terms of the GNU {kind} as published by") for family, kind in FAMILIES.items()),
+    *(
+        (f"{family}-{v}", f"This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {FAMILIES[family]} as published by the Free Software Foundation, either version {v.removesuffix('.0')} of the License, or (at your option) any later version.")
+        for family, what, v in (("AGPL", "program", "3.0"), ("GPL", "program", "2.0"), ("GPL", "program", "3.0"), ("LGPL", "library", "2.1"), ("LGPL", "library", "3.0"))
+    ),
+    *((name, f"SPDX-License-Identifier: {name}{more}") for name in SPDX for more in (("", "-only", "-or-later") if "GPL" in name else ("",))),
 )
+#: Of OP2_SQL alone.
 ANCHORS = ("license", "licensed", "licence", "licenced", "copyright", "spdx-license-identifier", "redistribution", "permission")
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+SPLITTER = r"\n|(?<=[.;!?])\s+"
 LEAST, LEAST_FILE = 0.8, 0.6
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$"
 
@@ -58,6 +80,22 @@ def _unseen(n: Column) -> Column:
     return F.log((n + 1).cast("double")) + 1
 
 
+def _marks(units: list[tuple[int, str, float]], least: float) -> list[str]:
+    """Terms of which a text has one at least if its cosine to a template is `least` or more.
+
+    A template's other terms weigh less than `least` together, and by Cauchy-Schwarz that bounds the cosine without its marks."""
+    out = set()
+    for template in {t for t, _, _ in units}:
+        # scores are rounded to 4 digits before they are compared
+        rest, bound = 1.0, max(0.0, least - 1e-4) ** 2
+        for square, term in sorted(((u * u, term) for t, term, u in units if t == template), reverse=True):
+            if rest < bound:
+                break
+            out.add(term)
+            rest -= square
+    return sorted(out)
+
+
 def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: float = LEAST_FILE) -> DataFrame:
     """(doc_id, path, licence, how, score) for each row of docs; path may use its columns."""
     spark = docs.sparkSession
@@ -65,23 +103,24 @@ def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: flo
     vocabulary = sorted({r["term"] for r in templates.select("term").distinct().collect()})  # of the fixed templates alone
     rows = docs.select("doc_id", path.alias("path"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
 
-    # one pass over the texts: which of the templates' terms a document has, and its statements with an anchor
-    anchored = rf"(?i)\b({'|'.join(ANCHORS)})\b"
-    statements = F.filter(F.transform(F.split("text", r"\n|(?<=[.;!?])\s+", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("statement"))), lambda x: x["statement"].rlike(anchored))
-    seen = rows.select(
-        "doc_id", "path", "text_key",
-        F.array_intersect(F.array_distinct(terms_of(F.col("text"))), F.array(*map(F.lit, vocabulary))).alias("vocabulary"),
-        F.when(F.col("text").rlike(anchored), statements).alias("statements"),
-        F.when(F.col("text").rlike(anchored), F.col("text")).alias("text"),
-    )
-    seen = written(seen, "licences-seen")
-    n = seen.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = seen.select(F.explode("vocabulary").alias("term")).groupBy("term").agg(F.count("term").alias("df"))
+    # a pass over the texts: how many rows have each of the templates' terms; the empty term stands for all rows
+    held = F.array_intersect(F.array_distinct(terms_of(F.col("text"))), F.array(*map(F.lit, vocabulary)))
+    df = written(rows.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("term").alias("df")), "licences-terms")
+    n = df.agg(F.coalesce(F.max(F.when(F.col("term") == "", F.col("df"))), F.lit(0)).alias("n_docs"))
     known = templates.select("term").distinct().join(df, "term", "left").join(F.broadcast(n)).select("term", (F.log((F.col("n_docs") + 1).cast("double") / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
     weighted = templates.join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_norm"))
     weighted = written(weighted.join(norm, "template").select("template", "licence", "term", (F.col("w") / F.col("template_norm")).alias("unit")), "licences-templates")
 
+    # another pass: only texts and statements that can be near a template
+    marks = _marks([(r["template"], r["term"], r["unit"]) for r in weighted.select("template", "term", "unit").collect()], min(least, least_file))  # of the fixed templates alone
+    marked = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, marks))})(?![a-z0-9])"
+    near = F.lower("text").rlike(marked)
+    statements = F.filter(F.transform(F.split("text", SPLITTER, -1), lambda x, i: F.struct(i.alias("pos"), x.alias("statement"))), lambda x: F.lower(x["statement"]).rlike(marked))
+    named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    seen = rows.select("doc_id", "path", "text_key", F.when(near | named, statements).alias("statements"), F.when(near | named, F.col("text")).alias("text"))
+    seen = written(seen, "licences-seen")
+
     # pos -1 stands for the whole text
     parts = seen.where(F.col("text").isNotNull()).select("doc_id", "path", "text_key", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("pos"), F.col("text").alias("statement"))), "statements")).alias("s"))
     key = ["doc_id", "path", "text_key", "pos"]
@@ -95,7 +134,9 @@ def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: flo
     same = [hits[c].eqNullSafe(norms[c]) for c in key]
     scored = hits.join(norms, same).select(*[hits[c] for c in key], "licence", F.round(F.col("dot") / F.col("norm"), 4).alias("score"))
     best = F.min_by(F.struct("licence", "score"), F.struct(-F.col("score"), F.col("licence")))
-    header = scored.where((F.col("pos") >= 0) & (F.col("score") >= least)).groupBy("doc_id", "path", "text_key").agg(best.alias("header"))
+    rank = F.when(F.col("header.licence") == RESERVED, 2).when(F.col("header.licence").isin(*FAMILIES), 1).otherwise(0)
+    header = scored.where((F.col("pos") >= 0) & (F.col("score") >= least)).groupBy(*key).agg(best.alias("header"))
+    header = header.groupBy("doc_id", "path", "text_key").agg(F.min_by("header", F.struct(rank, -F.col("header.score"), F.col("header.licence"))).alias("header"))
     whole = scored.where((F.col("pos") < 0) & ((F.col("score") >= least_file) | (F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) & (F.col("score") > 0)))).groupBy("doc_id", "path", "text_key").agg(best.alias("file"))
 
     def joined(a: DataFrame, b: DataFrame, value: str) -> DataFrame:

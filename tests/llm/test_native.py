@@ -117,6 +117,40 @@ def test_licences(spark, odd, none):
     assert licenses.scanned(none, licenses.document_path()).count() == 0
 
 
+def test_usual_notices(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:'
+    want = {
+        "All rights reserved.": "proprietary",
+        "Copyright (c) 2020 Foo Inc. All rights reserved.": "proprietary",
+        "All rights reserved.\nThis work is licensed under the GNU General Public License, version 3!": "GPL-3.0",
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "# SPDX-License-Identifier: Zlib": None,
+        grant: "MIT",
+        grant.replace("\n", " "): "MIT",
+        gpl: "GPL",  # its lines name the licence and the version apart
+        gpl.replace("\n", " "): "GPL-3.0",
+        gpl.replace("\n", " ").replace("version 3", "version 2"): "GPL-2.0",
+        gpl.replace("\n", " ").replace("General", "Affero General"): "AGPL-3.0",
+        "the right of all and the use of this": None,
+    }
+    prose = "Words of a text that has no licence, and more of them.\n"
+    df = spark.createDataFrame([(i, f"d{i}/x", prose * 30 + t + "\n" + prose * 30) for i, t in enumerate(want)] + [(100 + i, f"d{100 + i}/x", prose * 60) for i in range(40)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r["licence"] for r in licenses.scanned(df, F.col("path")).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
+    assert {got[100 + i] for i in range(40)} == {None}
+
+
+def test_templates_are_statements_and_marks_miss_nothing():
+    import re
+
+    assert all(len(re.split(licenses.SPLITTER, t)) == 1 for _, t in licenses.TEMPLATES)
+    units = [(0, "a", 0.7), (0, "b", 0.6), (0, "c", 0.3), (0, "d", (1 - 0.7**2 - 0.6**2 - 0.3**2) ** 0.5)]
+    marks = licenses._marks(units, 0.6)
+    assert sum(u * u for _, t, u in units if t not in marks) < 0.36 and "c" not in marks
+
+
 def test_weights_follow_random_quanta(spark):
     rng = random.Random(2)
     q = {f"s{i}": rng.randrange(1, 9) for i in range(6)}
