@@ -593,7 +593,7 @@ def registry_lookup(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_name")
     name = F.when(k % 3 == 0, F.upper(n)).when(k % 3 == 1, F.concat(F.lit("PART "), n)).otherwise(F.concat(n, F.lit(" Ltd")))
     q = _table(spark, sf_dir, "part").select(k.alias("qid"), name.alias("name"), F.when(k % 2 == 0, "Company").otherwise("Bank").alias("entity_type"))
-    return registry.lookup(q, e, a, 101.0).select("qid", "entity_type", "entity_id", "tier")
+    return registry.lookup(q, e, a).select("qid", "entity_type", "entity_id", "tier")
 
 
 @query(f"""

@@ -4,7 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.similarity import token_sort_score
 from graphloom.operators import chunks, extraction, registry
+from graphloom.plans import catalog
 from graphloom.sources import files, financial, html
 from graphloom.streaming import ingest
 
@@ -100,6 +102,23 @@ def test_registry(spark):
     assert [r["alias_name"] for r in registry.with_aliases(e, a, more).where("source = 'learned'").collect()] == ["Fresh"]
 
 
+def test_registry_query_scores(spark, tmp_path):
+    names = ["cold rod", "old rod", "cold anvil", "old anvil", "red anvil", "brass wheel", "brass wheels", "green pipe", "old rod", "brass wheel", "green pipe"]
+    spark.createDataFrame([(i, n, i) for i, n in enumerate(names, 1)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r["qid"]: (r["tier"], r["entity_id"]) for r in catalog.QUERIES["registry_lookup"](spark, str(tmp_path)).collect()}
+    first = {n: names.index(n) + 1 for n in names}
+    keys = [(i % 2, 0, i, n) for n, i in first.items()] + [(i % 2, 1, i, f"part {n}") for n, i in first.items()]
+    want = {}
+    for k, n in enumerate(names, 1):
+        if first[n] % 2 == k % 2:
+            want[k] = (1 + k % 3, first[n])
+            continue
+        name = (n, f"part {n}", f"{n} ltd")[k % 3]
+        score, _, i = min((-token_sort_score(name, key), kind, i) for odd, kind, i, key in keys if odd == k % 2)
+        want[k] = (4, i) if -score >= 85 else (None, None)
+    assert got == want and 4 in {t for t, _ in want.values()} and None in {t for t, _ in want.values()}
+
+
 def test_streamed_upserts(spark, tmp_path):
     rows = [[(1, "A", "Company", ["x"], 0.5, {"k": "1"})], [(2, "A", "Bank", ["y"], 0.9, {"k": "2"}), (3, "B", "Bank", [], 0.1, {})]]
     for i, r in enumerate(rows):
