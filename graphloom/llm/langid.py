@@ -2,8 +2,9 @@
 
 For each language the n-grams of letters up to ORDER, seen in a bounded sample of labelled texts, have log probabilities and
 back-off weights in arrays sorted by the n-grams' hashes. A text is whole, in lower case, runs of other characters as one
-space; its language is the one of lowest cross-entropy per character. A tenth of the sample is kept from the counts: it sets
-the temperature of the score and, by language, the entropy beyond which a text is rejected as none of them.
+space; its language is the one of lowest cross-entropy per character. A tenth of each language's sample is kept from the
+counts: it sets the temperature of the score and, cut into windows of bounded length, by language the entropy beyond which a
+text is rejected as none of them. A language with few windows has the bound of all languages together.
 
 Defined results: a text that is null or has no letter is `und`, with score 0, and is rejected; without labelled texts all
 are; equal texts have equal results; repeated rows and further columns don't matter; no rows give no rows. Labels only
@@ -31,6 +32,8 @@ CODE_BITS = 12
 #: Characters of text to learn from, for each language: a bound on the labelled sample.
 TRAIN_CHARS = 1_000_000
 CALIBRATION = 10
+#: Characters of a window of held-back text, and how many windows a language needs for a bound of its own.
+WINDOW, WINDOWS = 256, 20
 #: Share of a language's own texts that rejection may cost.
 REJECT = 0.0005
 #: A text is rejected only if its entropy is so many nats a character above the language's own, too: mixed texts stay.
@@ -231,37 +234,70 @@ class LanguageModel:
         return np.where(none, -1, best), np.where(none, 0.0, 1 / p), none | ((away > self.limit[best]) & (least - self.center[best] > EXCESS)), least
 
 
+def _windows(texts: list[str]) -> list[str]:
+    return [t[i : i + WINDOW] for t in texts for i in range(0, len(t), WINDOW)]
+
+
+def _calibrate(model: LanguageModel, windows: list[list[str]]) -> None:
+    """center, spread and limit of each language from windows of its held-back texts."""
+    k = len(windows)
+    n, letters, h = model.entropies(pa.array([w for own in windows for w in own], pa.large_string()))
+    truth = np.repeat(np.arange(k), [len(own) for own in windows])
+    right = (letters > 0) & (h.argmin(0) == truth)
+    model.center, model.spread, model.limit = np.zeros(k), np.ones(k), np.full(k, np.inf)
+    away, some = np.zeros(len(n)), []
+    for j in range(k):
+        # a language that loses its windows to others counts with all that it has
+        mine = right & (truth == j)
+        mine = mine if mine.any() else (letters > 0) & (truth == j)
+        if mine.any():
+            some.append(j)
+            model.center[j] = np.average(h[j, mine], weights=n[mine])
+            away[mine] = (h[j, mine] - model.center[j]) * np.sqrt(n[mine])
+    if not some:
+        return
+    # without a window of its own a language is taken for the least predictable one
+    model.center[[j for j in range(k) if j not in some]] = model.center[some].max()
+
+    def bound(of: np.ndarray) -> tuple[float, float]:
+        spread = max(float(np.sqrt(np.mean(away[of] ** 2))), 1e-6)
+        # a bound well beyond what the language's own texts show: their quantile, carried on
+        return spread, max(8.0, 2 * float(np.quantile(away[of] / spread, 1 - REJECT)))
+
+    # a language's few windows may lack what others' show, such as names and codes: no spread is below that of all
+    spread, limit = bound(right if right.any() else letters > 0)
+    model.spread[:], model.limit[:] = spread, limit
+    for j in range(k):
+        mine = right & (truth == j)
+        if mine.sum() >= WINDOWS:
+            own, model.limit[j] = bound(mine)
+            model.spread[j] = max(own, spread)
+
+
 def fit(texts: list[str], labels: list[str]) -> LanguageModel:
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros(0, np.int64), [])
-    keep = [i % CALIBRATION == 0 for i in range(len(texts))]
     column = pa.array(texts, pa.large_string())
     seen = np.concatenate([np.zeros(0, np.uint32)] + [p[p > 0] for _, p, _ in pieces(column)])
     found, counts = np.unique(seen, return_counts=True)
     alphabet = np.sort(found[np.argsort(-counts, kind="stable")[: (1 << CODE_BITS) - 2]]).astype(np.int64)
-    out = LanguageModel(languages, alphabet, [])
+    out, held = LanguageModel(languages, alphabet, []), []
     for name in languages:
-        own = [i for i, x in enumerate(labels) if x == name]
-        fitted = [i for i in own if not keep[i]] or own
-        parts = [grams(out.codes[p], ptr, ORDER) for _, p, ptr in pieces(pa.array([texts[i] for i in fitted], pa.large_string()))]
+        own = [t for t, x in zip(texts, labels, strict=True) if x == name]
+        own = own if len(own) > 1 else _windows(own)
+        kept = own[::CALIBRATION] if len(own) > 1 else []
+        held.append(kept)
+        fitted = [t for i, t in enumerate(own) if i % CALIBRATION] if kept else own
+        parts = [grams(out.codes[p], ptr, ORDER) for _, p, ptr in pieces(pa.array(fitted, pa.large_string()))]
         g = np.concatenate(parts)
         out.models.append(KneserNey.fit(g if len(g) else np.zeros(1, _U), len(alphabet) + 2))
-    held = [i for i in range(len(texts)) if keep[i]] or list(range(len(texts)))
-    n, letters, h = out.entropies(pa.array([texts[i] for i in held], pa.large_string()))
-    truth = np.array([languages.index(labels[i]) for i in held])
+    _calibrate(out, [_windows(kept) for kept in held])
+    if not any(held):
+        held = [[t for t, x in zip(texts, labels, strict=True) if x == name] for name in languages]
+    n, letters, h = out.entropies(pa.array([t for kept in held for t in kept], pa.large_string()))
+    truth = np.repeat(np.arange(len(languages)), [len(kept) for kept in held])
     full = letters > 0
-    k = len(languages)
-    out.center, out.spread, out.limit = np.zeros(k), np.ones(k), np.full(k, np.inf)
-    scaled = [np.sqrt(np.maximum(n, 1))]
-    for j in range(k):
-        mine = full & (truth == j) & (h.argmin(0) == j)
-        if mine.sum() >= 5:
-            out.center[j] = np.average(h[j, mine], weights=n[mine])
-            away = (h[j, mine] - out.center[j]) * scaled[0][mine]
-            out.spread[j] = max(float(np.sqrt(np.mean(away**2))), 1e-6)
-            # a bound well beyond what the language's own texts show: their quantile, carried on
-            out.limit[j] = max(8.0, 2 * float(np.quantile(away / out.spread[j], 1 - REJECT)))
     right = [(t, -np.log(np.maximum(1e-12, np.exp(-np.clip((h[truth, np.arange(len(n))] - h.min(0)) * n / t, 0, 700)) / np.exp(-np.clip((h - h.min(0)) * n / t, 0, 700)).sum(0)))[full].mean()) for t in 2.0 ** np.arange(0, 9)] if full.any() else [(1.0, 0)]
     out.temperature = float(min(right, key=lambda x: x[1])[0])
     return out

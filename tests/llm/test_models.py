@@ -107,6 +107,23 @@ def test_language_identification(spark, sf, odd, none):
     assert {r["lang_pred"] for r in langid.identified(odd, empty).collect()} == {"und"}
 
 
+def test_rejection_of_rare_and_long_texts():
+    rng = random.Random(5)
+    syllables = {"de": ["sch", "ung", "ein", "ich", "keit"], "en": ["the", "and", "ing", "tion", "er"], "fr": ["eau", "ment", "la", "oi", "que"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(syllables[lang], k=2)) for _ in range(n))
+
+    strange = ["zgrzyt mlekwo prszcz brzmi w trzcinie i szczebrzeszyn z tego znany " * 2, "qxz zxq jkx vvw qqk " * 8, "Виждам как слънцето изгрява над морето и птиците пеят " * 2]
+    many = [("en", 60)] * 100
+    for corpus in (many + [("de", 60)] * 6 + [("fr", 60)], [("de", 3000)] * 12 + [("en", 3000)] * 12, [("de", 60)] * 6):
+        model = langid.fit([text(x, n) for x, n in corpus], [x for x, _ in corpus])
+        assert np.isfinite(model.limit).all()
+        assert model.decide(pa.array(strange))[2].all()
+        own = [text(x, n) for x in {x for x, _ in corpus} - {"fr"} for n in (10, 40, 400)]
+        assert not model.decide(pa.array(own))[2].any()
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.fit(["the cat sat on the mat", "a dog ate the cat", "the mat"] * 5, ["x"] * 15)
     kn = model.models[0]
