@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import LINKER_SUFFIXES, MERGER_SUFFIXES, normalized
@@ -12,6 +12,8 @@ from ..storage import written
 
 FUZZY, EMBEDDED = 85.0, 0.85
 SPLIT_PENALTY = 0.9
+#: What str.split() takes for white space.
+SPACES = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Short names and what they stand for.
 ACRONYMS = {
     "STB": "Société Tunisienne de Banque", "BNA": "Banque Nationale Agricole", "BIAT": "Banque Internationale Arabe de Tunisie", "BH": "Banque de l'Habitat", "ATB": "Arab Tunisian Bank",
@@ -68,9 +70,14 @@ def scored_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold:
     """Pairs within a block with token_sort_ratio >= threshold. Names whose lengths alone forbid the score never meet:
     2 min / (min + max) bounds it, so a name meets only the lengths between."""
     t = threshold / 100.0
-    n = F.length("name")
+
+    def scored(name: str) -> Column:
+        """Length of the form that is scored: words joined by one space."""
+        return F.length(F.regexp_replace(F.regexp_replace(F.lower(name), f"^{SPACES}|{SPACES}$", ""), SPACES, " "))
+
+    n = scored("name")
     a = left.withColumn("len", F.explode(F.sequence(F.ceil(n * t / (2 - t)).cast("int"), F.floor(n * (2 - t) / t).cast("int"))))
-    b = right.withColumnsRenamed({c: f"other_{c}" for c in right.columns if c not in block}).withColumn("len", F.length("other_name"))
+    b = right.withColumnsRenamed({c: f"other_{c}" for c in right.columns if c not in block}).withColumn("len", scored("other_name"))
     met = a.join(b, [*block, "len"]).drop("len")
     return met.withColumn("score", token_sort_ratio(F.lower("name"), F.lower("other_name"))).where(F.col("score") >= threshold)
 

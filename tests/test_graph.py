@@ -139,3 +139,9 @@ def test_decisions(spark):
     assert rows(resolution.decision_pairs(d)) == [("a", "b", "separate")]
     p = spark.createDataFrame([("a", "B"), ("a", "C")], "entity1 string, entity2 string")
     assert rows(resolution.undecided(p, d)) == [("a", "C")]
+
+
+def test_padded_names_meet(spark):
+    left = spark.createDataFrame([("Bank \n          \u00a0     Amen", 0)], "name string, block int")
+    right = spark.createDataFrame([("amen bank", 0), ("  Amen" + " " * 40 + "Bank ", 0)], "name string, block int")
+    assert [r["score"] for r in resolution.scored_pairs(left, right, ["block"]).collect()] == [100.0, 100.0]
