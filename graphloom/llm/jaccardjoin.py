@@ -1,14 +1,19 @@
 """N-gram Jaccard join in the metric space of shingle sets: exact, with the links of every document.
 
 1. Sites. Jaccard distances between texts that share little are all close to 1, so pivots that are documents would leave
-   every document in every region. The first pivots are therefore parts of sets: shingles are dealt by hash to more parts
-   than a linked pair can differ in, so linked sets agree on a whole part that isn't empty. A site holds the sets that have
-   one such part alike; sets that meet nobody are done.
-2. Clusters. Sets that meet are joined to components of possible links; linked documents never lie in two clusters.
-3. Voronoi regions. A cluster too large for one task is split by pivots: a set's region is that of its nearest pivot, and by
-   the triangle inequality d(x, q) <= d(x, p) + 2 r it is also given to each region q where a partner may live. Regions are
-   split again until they fit; where pivots don't part them (all distances alike) they are joined block against block.
-4. Regions are joined exactly: intersection sizes of all their pairs. A pair counts only where its smaller set lives.
+   every document in every region. Sets are therefore brought together first by parts that linked sets must share: shingles
+   are dealt by hash to more parts than a linked pair can differ in, so linked sets agree on a whole part that isn't empty.
+   A site holds the sets that have one such part alike; sets that meet nobody are done. Large sites that overlap are one.
+2. Sketches. A set's sketch is the parity of its shingles in 2 to 4 n cells. Differing cells never outnumber differing
+   shingles, so pairs of a site whose sketches differ by more than links allow are dropped. Large sites are cut into rings
+   around the empty set (its distance to a set is the set's size; linked sets lie in one ring or in neighbours) and blocks.
+   What remains of a site's pairs joins sets to clusters; linked documents never lie in two clusters.
+3. Voronoi regions. Every cluster of more than LEAF sets is split by pivots: a set's region is that of its nearest pivot,
+   and by the triangle inequality, d(x, q) <= d(x, p) + 2 r, it is also given to each region q where a partner may live.
+   Regions are split again until they are leaves, large clusters over many tasks, others within one. Where pivots don't
+   part a large region (all distances alike), its sets are handed over as their differences from one pivot, which give the
+   same distances between them, and are joined block against block.
+4. Leaves are joined exactly: intersection sizes of all their pairs. A pair counts only where its smaller set lives.
 
 Copies are one set throughout and are only counted. Defined results: a text without words, or null, has the empty set and no
 link; with fewer words than a shingle its whole sequence is one; repeated rows are copies of one another; a null doc_id is
@@ -30,13 +35,20 @@ from .shared import checked_broadcast, documents, small_batches, written
 from .textvec import SPACE_WORDS, mix, word_batches
 
 WORDS, PERCENT = 5, 80
-#: A region of at most so many sets and so many shingles is joined in one task; larger ones are split.
+#: Sites of more sets than this are joined to clusters first, so that overlapping ones aren't compared over and over.
+SITE_SETS = 64
+#: A ring of at most so many sets and so many bytes of sketches is compared in one task; larger ones are cut into blocks.
+RING_SETS, RING_BYTES = 4096, 16 << 20
+#: A region of at most so many sets and so many shingles is joined in one task; larger ones are split over tasks.
 REGION_SETS, REGION_SHINGLES = 2048, 4_000_000
+#: Within a task, regions of more sets than this are split by pivots.
+LEAF = 8
 PIVOTS = 8
-#: Pivots part a region if its children have at most this share of its pairs; else it is joined block against block.
+#: Pivots part a region if its children have at most this share of its pairs; else all its pairs are looked at.
 PARTED = 0.5
 #: A task deals out the parts of a set once, as far as it remembers so many sets: copies meet by their node alone.
 REMEMBERED = 500_000
+DEALS = 256
 
 _U = np.uint64
 _ONE = mix(np.arange(1, 65, dtype=_U)) | _U(1)
@@ -95,16 +107,18 @@ class Parts:
             if c < 0 or not self.table[c][0]:
                 continue  # linked sets would be equal
             differ, k = self.table[c]
-            for deal in range(256):
-                seed = mix(np.array([c * 256 + deal + 1], _U))
+            for deal in range(DEALS):
+                seed = mix(np.array([c * DEALS + deal + 1], _U))
                 h = mix(s ^ seed)
                 part = (h >> _U(24)) % _U(k)
                 order = np.argsort(part, kind="stable")
                 part, h = part[order], h[order]
                 first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
                 out.append(mix(np.add.reduceat(mix(h), first) + mix(part[first] + seed)))
-                if k - len(first) < k - differ:
+                if len(first) > differ:  # of two linked sets, the first to get here shares a part of this deal with the other
                     break
+            else:  # neither may ever get here: then they meet by a shingle
+                out.append(mix(s + mix(np.array([~c & (1 << 64) - 1], _U))))
         return np.concatenate(out) if out else s[:0]
 
 
@@ -112,39 +126,165 @@ def _node(s: np.ndarray) -> int:
     return int(mix(np.array([int(np.add.reduce(mix(s + _U(0x5BD1E995)))) + len(s) & (1 << 64) - 1], _U)).astype(np.int64)[0])
 
 
-def with_nodes(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, node, n): node stands for the set."""
+def _sketch(s: np.ndarray) -> bytes:
+    """The parity of the set's shingles in each of its cells; the number of cells is a power of two."""
+    cells = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    odd = np.bincount((mix(s + _U(0x2545F4914F6CDD1D)) & _U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def with_nodes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """docs with, instead of text: node (stands for the set), n (its size), ring (of sizes) and sketch."""
+    rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lows = Parts(percent).lows
         for b in batches:
-            found = [(_node(s), len(s)) for s in shingle_sets(b.column(1), words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "node", "n"])
+            found = [(_node(s), len(s), int(np.searchsorted(lows, len(s), "right")), _sketch(s) if len(s) else b"") for s in shingle_sets(b.column("text"), words)]
+            node, n, ring, sketch = ([f[k] for f in found] for k in range(4))
+            new = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(ring, pa.int32()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *new], names=[*rest, "node", "n", "ring", "sketch"])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(run, own + ", node long, n long, ring int, sketch binary")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n long")
 
+def with_parts(docs: DataFrame, words: int, percent: int, site_sets: int) -> DataFrame:
+    """(node, part, sets) of the texts with words: the signatures of their sets' parts, most copies left out; sets is 1.
 
-def with_parts(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, parts) of the texts with words: the signatures of their sets' parts, most copies left out."""
+    Where more than site_sets sets of a batch share a part, one has it for all (their number is sets) and each of the others
+    shares one with that one, which counts as large, too: so hot parts are few rows a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, seen = Parts(percent), set()
         for b in batches:
-            found = []
+            nodes, dealt = [], []
             for s in shingle_sets(b.column(0), words):
                 if len(s) and (node := _node(s)) not in seen:
                     seen.add(node)
-                    found.append((node, parts.of(s).astype(np.int64)))
+                    nodes.append(node)
+                    dealt.append(parts.of(s))
             if len(seen) > REMEMBERED:
                 seen.clear()
-            at = np.append(0, np.cumsum([len(x) for _, x in found])).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.int64), *[x for _, x in found]])
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["node", "parts"])
+            node = np.repeat(np.array(nodes, np.int64), [len(d) for d in dealt])
+            part = np.concatenate([np.zeros(0, _U), *dealt])
+            sets = np.ones(len(part), np.int32)
+            _, at, of, many = np.unique(part, return_index=True, return_inverse=True, return_counts=True)
+            if (many > site_sets).any():
+                hot = many[of] > site_sets
+                first = at[of] == np.arange(len(part))
+                other = hot & ~first
+                pairs = np.unique(np.column_stack([node[at[of[other]]], node[other]]), axis=0)
+                pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+                met = mix(mix(pairs[:, 0].astype(_U)) ^ pairs[:, 1].astype(_U))
+                sets[hot] = many[of[hot]]
+                node = np.concatenate([node[~other], pairs[:, 0], pairs[:, 1]])
+                part = np.concatenate([part[~other], met, met])
+                sets = np.concatenate([sets[~other], np.full(2 * len(pairs), site_sets + 1, np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(part.astype(np.int64)), pa.array(sets)], names=["node", "part", "sets"])
+
+    return docs.select("text").mapInArrow(run, "node long, part long, sets int")
+
+
+def _fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch in fewer cells: size bytes."""
+    while len(sketch) > size:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _least_met(met: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric table of meetings the least row that it is joined to, over any number of meetings."""
+    n = len(met)
+    label = np.arange(n, dtype=np.int32)
+    while True:
+        least = np.minimum(label, np.where(met, label[None, :], np.int32(n)).min(1, initial=n))
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def _close(n: list[int], sketches: list[bytes], percent: int) -> np.ndarray:
+    """For each set of a site the least set that it may be linked to over sets of the site, by their sketches."""
+    k, size = len(n), min(map(len, sketches))
+    sketch = np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in sketches]).view(_U)
+    sizes = np.array(n)
+    met = np.zeros((k, k), bool)
+    step = max(1, (4 << 20) // (k * sketch.shape[1]))
+    for a in range(0, k, step):
+        differ = np.bitwise_count(sketch[a : a + step, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int64)
+        met[a : a + step] = differ * (100 + percent) <= (100 - percent) * (sizes[a : a + step, None] + sizes[None, :])
+    return _least_met(met)
 
-    return docs.select("text").mapInArrow(run, "node long, parts array<long>")
+
+def close_sets(sites: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of sites (region, node, n, sketch) that may be linked, each with one set of its site it is joined to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined_sets(region: list[tuple]) -> list[tuple]:
+            region = sorted({r[1]: r for r in region}.values(), key=lambda r: r[1])
+            if len(region) < 2:
+                return []
+            label = _close([r[2] for r in region], [r[3] for r in region], percent)
+            return [(region[i][1], region[j][1]) for j, i in enumerate(label.tolist()) if i != j]
+
+        now: list[tuple] = []
+        for b in batches:
+            out = []
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if now and now[0][0] != r[0]:
+                    out += joined_sets(now)
+                    now = []
+                now.append(r)
+            yield _edges(out)
+        yield _edges(joined_sets(now))
+
+    def _edges(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    rows = sites.select("region", "node", "n", "sketch").repartition("region").sortWithinPartitions("region")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def sites_of(docs: DataFrame, words: int, percent: int, site_sets: int) -> tuple[DataFrame, DataFrame]:
+    """(region, node): the sites with several sets, each list of sets once; and the large ones, as clusters where they overlap."""
+    deal = with_parts(docs, words, percent, site_sets)
+    over = "over (partition by part)"
+    met = deal.selectExpr("node", f"sum(sets) {over} AS sets", f"min(node) {over} AS low", f"bit_xor(node) {over} AS x", f"bit_xor(xxhash64(node)) {over} AS y").where("sets > 1")
+    small = F.col("sets") <= site_sets
+    sites = written(met.select("node", F.when(small, F.xxhash64("x", "y")).alias("region"), F.when(~small, F.col("low")).alias("low")).distinct(), "sites")
+    large = components(sites.where("low IS NOT NULL").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    return sites.where("region IS NOT NULL").select("region", "node"), large.select(F.col("component").alias("region"), "node")
+
+
+def clusters(docs: DataFrame, nodes: DataFrame, words: int, percent: int, site_sets: int = SITE_SETS, ring_sets: int = RING_SETS) -> DataFrame:
+    """(node, component): linked sets are in one cluster; sets that can't have links have none."""
+    small, large = sites_of(docs, words, percent, site_sets)
+    about = nodes.select("node", "n", "ring", "sketch")
+    rings = large.join(about, "node").select(F.explode(F.array("ring", F.col("ring") - 1)).alias("ring"), "region", "node", "n", "sketch")
+    rings = written(rings.select(F.xxhash64("region", "ring").alias("region"), "node", "n", "sketch"), "rings")
+    blocks = F.greatest(F.ceil(2 * F.count("node") / ring_sets), F.ceil(2 * F.sum(F.length("sketch")) / RING_BYTES))
+    sizes = written(rings.groupBy("region").agg(F.count("node").alias("sets"), F.sum(F.length("sketch")).alias("bytes"), blocks.alias("n_blocks")), "ring_sizes")
+    too = (F.col("sets") > ring_sets) | (F.col("bytes") > RING_BYTES)
+    whole = rings.join(sizes.where(~too).select("region"), "region")
+    cut = _in_blocks(rings, sizes.where(too).select("region", "n_blocks"))
+    columns = ["region", "node", "n", "sketch"]
+    sites = small.join(about, "node").select(*columns).unionByName(whole.select(*columns)).unionByName(cut.select(*columns))
+    return components(close_sets(sites, percent))
+
+
+def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows of regions (region, n_blocks) as pairs of blocks: region is that of the pair; side 0 and 1 are different blocks, -1 is one with itself."""
+    rows = rows.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int")), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
+    rows = rows.withColumn("pair", F.explode(others))
+    side = F.when(F.col("pair.i") == F.col("pair.j"), -1).when(F.col("block") == F.col("pair.i"), 0).otherwise(1)
+    return rows.withColumn("side", side.cast("int")).withColumn("region", F.xxhash64("region", "pair.i", "pair.j")).drop("block", "pair", "n_blocks")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(region, node, copies, home, side, shingles) of the wanted nodes, from the text of one document each."""
+    """The wanted nodes as rows of regions, from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,23 +295,26 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     keep.append(i)
                     sets.append(s.tobytes())
             t = b.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([True] * len(keep), pa.bool_()), pa.array([-1] * len(keep), pa.int32()), pa.array(sets, pa.binary())], names=REGION_COLUMNS)
+            n = [len(s) // 8 for s in sets]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([True] * len(keep), pa.bool_()), pa.array([-1] * len(keep), pa.int32()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], names=REGION_COLUMNS)
 
     d = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text")
     rows = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("region", "node", "copies", "text")
     return rows.mapInArrow(run, REGION)
 
 
-REGION_COLUMNS = ["region", "node", "copies", "home", "side", "shingles"]
-REGION = "region long, node long, copies long, home boolean, side int, shingles binary"
+#: A set in a region: home says whether the region is its own, n is its size, shingles are its shingles, or in blocks its
+#: difference from a pivot of the region.
+REGION = "region long, node long, copies long, home boolean, side int, n long, shingles binary"
+REGION_ARROW = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("home", pa.bool_()), ("side", pa.int32()), ("n", pa.int64()), ("shingles", pa.binary())])
+REGION_COLUMNS = REGION_ARROW.names
+CHILD_ARROW = pa.schema([("region", pa.int64()), ("child", pa.int64()), ("node", pa.int64())])
 
 
-def _count_in(s: np.ndarray, sizes: np.ndarray, pivot: np.ndarray) -> np.ndarray:
-    """How many of each set's shingles (sets one after another in s) the pivot has."""
-    at = np.minimum(np.searchsorted(pivot, s), max(len(pivot) - 1, 0))
-    total = np.append(0, np.cumsum(pivot[at] == s))
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+def _windows(d: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """From distances of sets (rows) to pivots: each set's nearest pivot, and the pivots in whose regions it may have partners."""
+    near = d.argmin(1)
+    return near, d <= d.min(1)[:, None] + 2 * (100 - percent) / 100 + 1e-9
 
 
 def _to_pivots(regions: DataFrame, percent: int, sets: bool) -> DataFrame:
@@ -179,84 +322,114 @@ def _to_pivots(regions: DataFrame, percent: int, sets: bool) -> DataFrame:
     shingles, or (sets=False) only as (region, child, node)."""
     pivots = regions.groupBy("region", F.pmod("node", F.lit(PIVOTS)).alias("slot")).agg(F.min_by("shingles", "node").alias("pivot"))
     rows = regions.join(pivots.groupBy("region").agg(F.collect_list("pivot").alias("pivots")), "region")
-    radius = (100 - percent) / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for region, node, copies, home, side, shingles, pivots_ in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for region, node, copies, home, side, n, shingles, found in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 s = np.frombuffer(shingles, _U)
-                d = []
-                for p in pivots_:
-                    p = np.frombuffer(p, _U)
-                    shared = _count_in(s, np.array([len(s)]), p)[0]
-                    d.append(1 - shared / (len(s) + len(p) - shared))
-                near = int(np.argmin(d))
-                for q in range(len(d)):
-                    if d[q] <= d[near] + 2 * radius + 1e-9:
-                        to = int(mix(np.array([(region * 31 + q * 0x9E3779B97F4A7C15 + 7) & (1 << 64) - 1], _U)).astype(np.int64)[0])
-                        out.append((to, node, copies, home and q == near, side, shingles) if sets else (region, to, node))
+                shared = np.array([len(np.intersect1d(s, np.frombuffer(p, _U), assume_unique=True)) for p in found])
+                d = 1 - shared / (n + np.array([len(p) // 8 for p in found]) - shared)
+                near, may = _windows(d[None, :], percent)
+                for q in np.flatnonzero(may[0]).tolist():
+                    to = int(mix(np.array([(region * 31 + q * 0x9E3779B97F4A7C15 + 7) & (1 << 64) - 1], _U)).astype(np.int64)[0])
+                    out.append((to, node, copies, home and q == near[0], side, n, shingles) if sets else (region, to, node))
             schema = REGION_ARROW if sets else CHILD_ARROW
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
 
     return rows.select(*REGION_COLUMNS, "pivots").mapInArrow(run, REGION if sets else "region long, child long, node long")
 
 
-CHILD_ARROW = pa.schema([("region", pa.int64()), ("child", pa.int64()), ("node", pa.int64())])
-REGION_ARROW = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("home", pa.bool_()), ("side", pa.int32()), ("shingles", pa.binary())])
+def _from_pivot(regions: DataFrame) -> DataFrame:
+    """Sets as their differences from the region's least set: differences of differences are those of the sets."""
+    pivots = regions.groupBy("region").agg(F.min_by("shingles", "node").alias("pivot"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.setxor1d(np.frombuffer(s, _U), np.frombuffer(p, _U), assume_unique=True).tobytes() for s, p in zip(b.column("shingles").to_pylist(), b.column("pivot").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in REGION_COLUMNS[:-1]], pa.array(out, pa.binary())], names=REGION_COLUMNS)
 
-def _blocks(regions: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Regions as pairs of blocks (region, n_blocks); side 0 and 1 are joined with each other, -1 with itself."""
-    rows = regions.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int")), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    rows = rows.withColumn("pair", F.explode(others))
-    side = F.when(F.col("pair.i") == F.col("pair.j"), -1).when(F.col("block") == F.col("pair.i"), 0).otherwise(1)
-    return rows.select(F.xxhash64("region", "pair.i", "pair.j").alias("region"), "node", "copies", "home", side.cast("int").alias("side"), "shingles")
+    return regions.join(pivots, "region").select(*REGION_COLUMNS, "pivot").mapInArrow(run, REGION)
 
 
 def _sizes(regions: DataFrame) -> DataFrame:
     return regions.groupBy("region").agg(F.countDistinct("node").alias("sets"), F.sum(F.length("shingles") / 8).alias("shingle_count"))
 
 
-def joined_region(table: pa.Table, percent: int) -> pa.Table:
+class Region:
+    """The sets of a region by numbers of shingles: sets at[i] to at[i + 1] of columns."""
+
+    def __init__(self, n: np.ndarray, shingles: list[np.ndarray], percent: int):
+        self.n, self.percent, self.splits = n, percent, 0
+        self.at = np.append(0, np.cumsum([len(s) for s in shingles]))
+        distinct, self.columns = np.unique(np.concatenate(shingles), return_inverse=True)
+        self.width = len(distinct)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.columns[self.at[i] : self.at[i + 1]]
+
+    def leaves(self, rows: np.ndarray, home: np.ndarray, leaf: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The sets (and which are at home) of the regions that pivots part rows into, recursively."""
+        if len(rows) > leaf:
+            sets = [self.of(i) for i in rows]
+            starts = np.cumsum([0, *[len(s) for s in sets]])
+            columns, mark = np.concatenate(sets), np.zeros(self.width, bool)
+            d: list[np.ndarray] = []
+            pivot = 0
+            while len(d) < PIVOTS and (not d or np.min(d, axis=0)[pivot] > 0):  # the next pivot is the set farthest from all
+                mark[sets[pivot]] = True
+                shared = np.diff(np.append(0, np.cumsum(mark[columns]))[starts])
+                mark[sets[pivot]] = False
+                d.append(1 - shared / (self.n[rows] + self.n[rows[pivot]] - shared))
+                pivot = int(np.argmax(np.min(d, axis=0)))
+            near, may = _windows(np.column_stack(d), self.percent)
+            self.splits += 1
+            if (may.sum(0).astype(float) ** 2).sum() <= PARTED * len(rows) ** 2:
+                for q in range(len(d)):
+                    yield from self.leaves(rows[may[:, q]], home[may[:, q]] & (near[may[:, q]] == q), leaf)
+                return
+        yield rows, home
+
+    def differences(self, rows: np.ndarray) -> np.ndarray:
+        """How many shingles each two of the rows differ in."""
+        sets = [self.of(i) for i in rows]
+        size = np.array([len(s) for s in sets])
+        which, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(rows)), size)
+        shared = often[column] > 1
+        column = (np.cumsum(often > 1) - 1)[column[shared]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[shared][order], column[order]
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        width = 4096
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, z = np.searchsorted(column, [c, c + width])
+            present, local = np.unique(row[a:z], return_inverse=True)
+            dense = np.zeros((len(present), width), np.float32)
+            dense[local, column[a:z] - c] = 1
+            common[np.ix_(present, present)] += dense @ dense.T
+        return size[:, None] + size[None, :] - 2 * common.astype(np.int64)
+
+
+def joined_region(table: pa.Table, percent: int, leaf: int = LEAF) -> pa.Table:
     """(node, peer, links): the least set that each is linked to, over links within the region, and the documents linked to it."""
     node, pick = np.unique(table["node"].to_numpy(), return_index=True)
-    copies, home, side = (table[c].to_numpy()[pick] for c in ("copies", "home", "side"))
-    sets = [np.frombuffer(table["shingles"][int(i)].as_py(), _U) for i in pick]
-    n, sizes = len(node), np.array([len(s) for s in sets])
-    which, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rows = np.repeat(np.arange(n), sizes)
-    shared = often[at] > 1
-    columns = (np.cumsum(often > 1) - 1)[at[shared]]
-    rows = rows[shared]
-    order = np.argsort(columns, kind="stable")
-    rows, columns = rows[order], columns[order]
-    common = np.zeros((n, n), np.float32)
-    width = 4096
-    for c in range(0, int(columns[-1]) + 1 if len(columns) else 0, width):
-        a, z = np.searchsorted(columns, [c, c + width])
-        present, local = np.unique(rows[a:z], return_inverse=True)
-        dense = np.zeros((len(present), width), np.float32)
-        dense[local, columns[a:z] - c] = 1
-        common[np.ix_(present, present)] += dense @ dense.T
-    common = common.astype(np.int64)
-    linked = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
-    np.fill_diagonal(linked, False)
-    if (side >= 0).any():
-        linked &= side[:, None] != side[None, :]
-    linked &= np.where(np.arange(n)[:, None] < np.arange(n)[None, :], home[:, None], home[None, :])  # node is sorted
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label, np.where(linked, label[None, :], n).min(1, initial=n))
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
-    return pa.table({"node": node, "peer": node[label], "links": (linked * copies[None, :]).sum(1).astype(np.int64)})
-
-
-def linked_sets(regions: DataFrame, percent: int, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+    copies, home, side, n = (table[c].to_numpy()[pick] for c in ("copies", "home", "side", "n"))
+    region = Region(n, [np.frombuffer(table["shingles"][int(i)].as_py(), _U) for i in pick], percent)
+    found = []
+    blocks = (side >= 0).any()
+    every = np.arange(len(node))
+    for rows, own in [(every, home)] if blocks else region.leaves(every, home, leaf):
+        linked = region.differences(rows) * (100 + percent) <= (100 - percent) * (n[rows, None] + n[None, rows])
+        np.fill_diagonal(linked, False)
+        if blocks:
+            linked &= side[:, None] != side[None, :]
+        linked &= np.where(rows[:, None] < rows[None, :], own[:, None], own[None, :])  # rows are in the order of nodes
+        found.append((node[rows], node[rows[_least_met(linked)]], (linked * copies[None, rows]).sum(1)))
+    return pa.table({c: np.concatenate([f[k] for f in found]).astype(np.int64) for k, c in enumerate(("node", "peer", "links"))})
+
+
+def linked_sets(regions: DataFrame, percent: int, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, leaf: int = LEAF) -> DataFrame:
     """(node, peer, links) of all regions, of any size."""
     small = []
     sizes = written(_sizes(regions), "sizes")
@@ -271,9 +444,11 @@ def linked_sets(regions: DataFrame, percent: int, region_sets: int = REGION_SETS
         children = _to_pivots(rest, percent, sets=False).groupBy("region", "child").agg(F.countDistinct("node").cast("double").alias("n"))
         pairs = children.groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
         tried = written(large.join(pairs, "region").withColumn("parted", F.col("pairs") <= F.col("sets") * F.col("sets") * PARTED), "tried")
-        # regions that pivots would only copy are joined as they are, block against block
+        # regions that pivots would only copy are joined block against block
+        alike = written(_from_pivot(rest.join(tried.where("NOT parted").select("region"), "region").select(*REGION_COLUMNS)), "alike")
+        counted = _sizes(alike)
         blocks = F.greatest(F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("shingle_count") / region_shingles), F.lit(2))
-        small.append(_blocks(rest, tried.where("NOT parted").select("region", blocks.alias("n_blocks"))))
+        small.append(_in_blocks(alike, counted.select("region", blocks.alias("n_blocks"))).select(*REGION_COLUMNS))
         parted = tried.where("parted").select("region")
         if not parted.limit(1).count():
             break
@@ -282,30 +457,48 @@ def linked_sets(regions: DataFrame, percent: int, region_sets: int = REGION_SETS
     out = small[0]
     for more in small[1:]:
         out = out.unionByName(more)
-    return out.groupBy("region").applyInArrow(lambda t: joined_region(t, percent), "node long, peer long, links long")
-
-
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for every row of docs."""
+    return out.groupBy("region").applyInArrow(lambda t: joined_region(t, percent, leaf), "node long, peer long, links long")
+
+
+def joined(
+    docs: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    site_sets: int = SITE_SETS,
+    ring_sets: int = RING_SETS,
+    region_sets: int = REGION_SETS,
+    region_shingles: int = REGION_SHINGLES,
+    leaf: int = LEAF,
+    key: str | None = None,
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, component) for every row of docs, with key, if it names a column of docs;
+    component is a name of the component, null for the empty set."""
     small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(f"`{key}`").alias("key")] if key else []))
     # sets are computed anew in each pass over the texts: that costs less than to keep them
-    sets = written(with_nodes(docs, words), "sets")
-    nodes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "nodes")
-    deal = with_parts(docs, words, percent).select("node", F.explode("parts").alias("part"))
-    low = deal.selectExpr("node", "part", "min(node) over (partition by part) AS a")
-    met = components(low.where("node <> a").select("a", F.col("node").alias("b")))
+    sets = written(with_nodes(docs, words, percent), "sets")
+    nodes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "ring", "sketch")]), "nodes")
+    met = clusters(docs, nodes, words, percent, site_sets, ring_sets)
     wanted = written(nodes.join(met, "node").select(F.col("component").alias("region"), "node", "copies", "doc_id"), "wanted")
     regions = written(_sets_of(docs, checked_broadcast(wanted, 48), words), "regions")
-    links = written(linked_sets(regions, percent, region_sets, region_shingles), "links")
+    links = written(linked_sets(regions, percent, region_sets, region_shingles, leaf), "links")
     label = components(links.select(F.col("peer").alias("a"), F.col("node").alias("b")))
     count = links.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.join(label, "node", "left").join(count, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of = nodes.select("node", "doc_id", "copies").join(label, "node", "left").join(count, "node", "left")
+    named = of.select("node", "doc_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.join(least, "component").select("node", "component_id", "n_links")
-    out = sets.select("doc_id", "n", "node").join(by_node, "node", "left")
+    by_node = named.join(least, "component").select("node", "component", "component_id", "n_links")
     empty = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+    return sets.drop("sketch", "ring").join(by_node, "node", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        "component",
+        *([F.col("key").alias(key)] if key else []),
+    )
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(documents(spark, sf_dir).select("doc_id", "text"), words=4, percent=85)
+    out = joined(documents(spark, sf_dir).select("doc_id", "text"), words=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")

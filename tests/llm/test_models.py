@@ -44,7 +44,7 @@ def brute_join(rows, k, percent):
     return Counter((d, len(sets[i]), least.get(top(i)) if sets[i] else d, links[i]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("k", "percent", "kw"), [(4, 85, {}), (5, 80, {}), (4, 85, {"region_sets": 4}), (3, 60, {"region_sets": 6})])
+@pytest.mark.parametrize(("k", "percent", "kw"), [(4, 85, {}), (5, 80, {"leaf": 2}), (4, 85, {"region_sets": 4, "site_sets": 1}), (3, 60, {"region_sets": 6, "site_sets": 3, "ring_sets": 4})])
 def test_jaccard_join(spark, k, percent, kw):
     rng = random.Random(percent)
     rows = []
@@ -74,6 +74,50 @@ def test_jaccard_join_parts_a_chain(spark, monkeypatch):
     assert True in parted
 
 
+def test_jaccard_join_splits_by_pivots_at_default_sizes(spark):
+    """Links of a cluster come out of regions around pivots; differences from a pivot give the same links."""
+    rng = random.Random(9)
+    groups = [[f"g{g}w{i}" for i in range(40)] for g in range(6)]
+    rows = []
+    for i in range(90):  # neighbours share halves, so that parts may meet across groups; copies within one are near
+        w = groups[i % 6][:20] + groups[(i + 1) % 6][20:]
+        w[rng.randrange(40)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    sets = [next(jaccardjoin.shingle_sets(pa.array([t]), 4)) for _, t in rows]
+    region = jaccardjoin.Region(np.array([len(x) for x in sets]), sets, 85)
+    every = np.arange(len(sets))
+    leaves = list(region.leaves(every, np.ones(len(sets), bool), jaccardjoin.LEAF))
+    assert region.splits and len(leaves) > 1
+    assert sum(own.sum() for _, own in leaves) == len(sets)
+    table = pa.table({"region": [1] * 90, "node": list(range(90)), "copies": [1] * 90, "home": [True] * 90, "side": [-1] * 90, "n": [len(x) for x in sets], "shingles": [x.tobytes() for x in sets]}, schema=jaccardjoin.REGION_ARROW)
+    moved = table.set_column(6, "shingles", pa.array([np.setxor1d(x, sets[3]).tobytes() for x in sets]))
+    want = Counter()
+    for i in range(90):
+        for j in range(90):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            want[i] += int(i != j and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both))
+    for t, leaf in ((table, jaccardjoin.LEAF), (table, 2), (table, 100), (moved, 100)):
+        links = Counter()
+        out = jaccardjoin.joined_region(t, 85, leaf)
+        for node, n in zip(out["node"].to_pylist(), out["links"].to_pylist(), strict=True):
+            links[node] += n
+        assert links == want
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccardjoin.joined(df, 4, 85).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_join(rows, 4, 85)
+
+
+def test_sketches_differ_in_no_more_cells_than_sets_in_shingles():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        h = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+        a, z = sorted(rng.integers(1, 900, 2))
+        x, y = h[: z + 1], h[a // 2 :]
+        size = min(len(jaccardjoin._sketch(x)), len(jaccardjoin._sketch(y)))
+        p, q = (jaccardjoin._fold(np.frombuffer(jaccardjoin._sketch(s), np.uint8), size) for s in (x, y))
+        assert np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y))
+
+
 def test_jaccard_join_of_odd_rows(odd, odd_rows, none):
     got = Counter(tuple(r) for r in jaccardjoin.joined(odd).select("doc_id", "n_shingles", "component_id", "n_links").collect())
     assert got == brute_join([(r[0], r[1]) for r in odd_rows], 5, 80)
