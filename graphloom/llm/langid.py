@@ -28,6 +28,8 @@ from .shared import documents, small_batches
 from .textvec import SEGMENT, mix, raw
 
 ORDER = 5
+#: Letters have codes of so many bits, so that ORDER of them fit a 64-bit n-gram: the 2 ** CODE_BITS - 2 most frequent letters of
+#: the sample have one each, all others share one. Scripts of up to 4,094 letters are told apart letter by letter.
 CODE_BITS = 12
 #: Characters of text to learn from, for each language: a bound on the labelled sample.
 TRAIN_CHARS = 1_000_000
@@ -275,11 +277,16 @@ def _calibrate(model: LanguageModel, windows: list[list[str]]) -> None:
 
 
 def fit(texts: list[str], labels: list[str]) -> LanguageModel:
+    """The model of labelled texts. Texts without letters teach nothing; a label that only such texts have is never predicted."""
+    seen, lettered = [np.zeros(0, np.uint32)], np.zeros(len(texts), bool)
+    for rows, p, ptr in pieces(pa.array(texts, pa.large_string())):
+        seen.append(p[p > 0])
+        lettered[rows] |= np.diff(np.append(0, np.cumsum(p > 0))[ptr]) > 0
+    texts, labels = ([x for x, k in zip(of, lettered, strict=True) if k] for of in (texts, labels))
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros(0, np.int64), [])
-    column = pa.array(texts, pa.large_string())
-    seen = np.concatenate([np.zeros(0, np.uint32)] + [p[p > 0] for _, p, _ in pieces(column)])
+    seen = np.concatenate(seen)
     found, counts = np.unique(seen, return_counts=True)
     alphabet = np.sort(found[np.argsort(-counts, kind="stable")[: (1 << CODE_BITS) - 2]]).astype(np.int64)
     out, held = LanguageModel(languages, alphabet, []), []
@@ -289,8 +296,7 @@ def fit(texts: list[str], labels: list[str]) -> LanguageModel:
         kept = own[::CALIBRATION] if len(own) > 1 else []
         held.append(kept)
         fitted = [t for i, t in enumerate(own) if i % CALIBRATION] if kept else own
-        parts = [grams(out.codes[p], ptr, ORDER) for _, p, ptr in pieces(pa.array(fitted, pa.large_string()))]
-        g = np.concatenate(parts)
+        g = np.concatenate([np.zeros(0, _U)] + [grams(out.codes[p], ptr, ORDER) for _, p, ptr in pieces(pa.array(fitted, pa.large_string()))])
         out.models.append(KneserNey.fit(g if len(g) else np.zeros(1, _U), len(alphabet) + 2))
     _calibrate(out, [_windows(kept) for kept in held])
     if not any(held):

@@ -1,6 +1,7 @@
 """Operators with models, images and sets, against brute force and round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -151,6 +152,58 @@ def test_language_identification(spark, sf, odd, none):
     assert {r["lang_pred"] for r in langid.identified(odd, empty).collect()} == {"und"}
 
 
+def test_rare_letters_share_a_code_and_languages_may_be_without_letters():
+    """More letters than there are codes: the most frequent ones have their own, the rest one; texts are still told apart."""
+    rng = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(9000)]
+    often = "".join(rng.choice(han[:2500]) * 2 for _ in range(30_000))
+    texts = [often[i : i + 3000] for i in range(0, 60_000, 3000)] + ["".join(han)] + ["the cat sat on the mat and the dog did not " * 20] * 12 + ["", "12 34"]
+    labels = ["zh"] * 21 + ["en"] * 12 + ["xx", "yy"]
+    model = langid.fit(texts, labels)
+    assert len(model.alphabet) == (1 << langid.CODE_BITS) - 2
+    assert set(map(ord, often)) <= set(model.alphabet.tolist())
+    assert sum(model.codes[ord(c)] == 1 for c in han) == 9000 - sum(chr(a) in set(han) for a in model.alphabet.tolist())
+    best, score, _, _ = model.decide(pa.array(["".join(han[5000:8000]), often[:500], "the dog sat on the cat", "", None]))
+    assert [model.languages[b] if b >= 0 else "und" for b in best] == ["zh", "zh", "en", "und", "und"]
+
+
+def brute_kneser_ney(text, order, n_codes):
+    """log p(letter | the order - 1 before it) by dictionaries, from the formulas."""
+    padded = [0] * (order - 1) + text
+    tops = Counter(tuple(padded[i : i + order]) for i in range(len(text)))
+    tables = {order: tops}
+    for n in range(order - 1, 0, -1):
+        before = {}
+        for g in tables[n + 1]:
+            before.setdefault(g[1:], set()).add(g[0])
+        tables[n] = {g: len(x) for g, x in before.items()}
+
+    def p(g):
+        if not g:
+            return 1 / n_codes
+        table = tables[len(g)]
+        one, two = (sum(1 for c in table.values() if c == k) for k in (1, 2))
+        off = one / (one + 2 * two) if one and two else 0.5
+        followers = [c for h, c in table.items() if h[:-1] == g[:-1]]
+        if not followers:
+            return p(g[1:])
+        seen = table.get(g, 0)
+        return (max(seen - off, 0) if seen else 0) / sum(followers) + off * len(followers) / sum(followers) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_by_dictionaries():
+    rng = np.random.default_rng(8)
+    for size in (1, 5, 60, 400):
+        text = rng.choice([0, 2, 3, 4, 5], size, p=[0.2, 0.4, 0.2, 0.15, 0.05]).tolist()
+        model = langid.KneserNey.fit(langid.grams(np.array(text, np.uint32), np.array([0, size]), langid.ORDER), 7)
+        p = brute_kneser_ney(text, langid.ORDER, 7)
+        probes = [tuple(rng.integers(0, 7, langid.ORDER).tolist()) for _ in range(60)] + [tuple(([0] * 4 + text)[i : i + 5]) for i in range(min(size, 40))]
+        packed = np.array([sum(c << langid.CODE_BITS * k for k, c in enumerate(reversed(g))) for g in probes], np.uint64)
+        assert np.allclose(model.log_p(packed), [math.log(p(g)) for g in probes], atol=1e-4)
+
+
 def test_rejection_of_rare_and_long_texts():
     rng = random.Random(5)
     syllables = {"de": ["sch", "ung", "ein", "ich", "keit"], "en": ["the", "and", "ing", "tion", "er"], "fr": ["eau", "ment", "la", "oi", "que"]}
