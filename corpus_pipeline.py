@@ -8,7 +8,7 @@ packing cuts them into sequences: along the curve within each stretch of the mix
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccardjoin, langid, linededup, mixing, packing
@@ -28,21 +28,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of five-word shingles join at a similarity of 0.8: the smallest doc_id's.
-
-    Documents without words stay; of repeated rows one stays."""
-    row = fresh(docs, "row_key")
-    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    groups = jaccardjoin.joined(rows.select(F.col(row).alias("doc_id"), "text"))
-    ids = rows.select(F.col(row).alias("k"), F.col("doc_id").alias("own")).distinct()
-    placed = groups.groupBy(*groups.columns).agg((F.count(F.lit(1)) > 1).alias("repeated")).withColumnRenamed("doc_id", "k").join(ids, "k")
-    full = placed.where("n_shingles > 0").groupBy("component_id").agg(F.min_by(F.struct("k", "repeated"), F.struct(F.col("own").isNull(), "own", "k")).alias("s")).select("s.*")
-    stays = written(full.unionByName(placed.where("n_shingles = 0").select("k", F.lit(False).alias("repeated"))), "stays")
-    r, s = rows.alias("r"), checked_broadcast(stays, 24).alias("s")
-    met = r.join(s, F.col(f"r.{row}") == F.col("s.k")).select(F.struct("r.*").alias("d"), "k", "repeated")
-    once = met.where("repeated").withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("i = 1").drop("i")
-    first = met.where("NOT repeated").unionByName(once)
-    return first.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+    """One document of each group that links of five-word shingles join at a similarity of 0.8: the smallest doc_id's (a null one's
+    only where there is no other), of texts with the same doc_id that with the least MD5.
+
+    Documents without words stay, all of them. Of repeated rows (doc_id and text) with words one stays: the first as JSON."""
+    key = fresh(docs, "text_key")
+    rows = docs.withColumn(key, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    groups = jaccardjoin.joined(rows, key=key).where("n_shingles > 0")
+    own = groups.groupBy("component", "doc_id", key).agg(F.count(F.lit(1)).alias("rows"))
+    first = own.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(key).alias("k"), "rows")).alias("s"))
+    # the few rows that go are looked for, not the many that stay
+    gone = written(own.join(first, "component").where(~(F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(key) == F.col("s.k")))).select(F.col("doc_id").alias("own"), F.col(key).alias("k"), F.lit(True).alias("gone"))
+        .unionByName(first.where("s.rows > 1").select(F.col("s.doc_id").alias("own"), "s.k", F.lit(False).alias("gone"))), "gone")
+    r, s = rows.alias("r"), checked_broadcast(gone, 48).alias("s")
+    met = r.join(s, F.col("r.doc_id").cast("long").eqNullSafe(F.col("s.own")) & (F.col(f"r.{key}") == F.col("s.k")), "left")
+    stays = met.where("s.gone IS NULL").select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    once = met.where("NOT s.gone").select("s.own", "s.k", F.struct(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns]).alias("d"))
+    once = once.groupBy("own", "k").agg(F.min_by("d", F.to_json("d")).alias("d"))
+    return stays.unionByName(once.select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
