@@ -54,8 +54,6 @@ TEMPLATES = (
     ),
     *((name, f"SPDX-License-Identifier: {name}{more}") for name in SPDX for more in (("", "-only", "-or-later") if "GPL" in name else ("",))),
 )
-#: Of OP2_SQL alone.
-ANCHORS = ("license", "licensed", "licence", "licenced", "copyright", "spdx-license-identifier", "redistribution", "permission")
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 SPLITTER = r"\n|(?<=[.;!?])\s+"
 LEAST, LEAST_FILE = 0.8, 0.6
@@ -182,14 +180,11 @@ WITH docs AS (
   SELECT term, ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM t) LEFT JOIN df USING (term), n
 ), w AS (SELECT template, licence, term, tf * idf AS w FROM t JOIN known USING (term)
 ), u AS (SELECT template, licence, term, w / sqrt(sum(w * w) OVER (PARTITION BY template)) AS unit FROM w
-), anchored AS (SELECT * FROM docs WHERE regexp_matches(text, '(?i)\b({"|".join(ANCHORS)})\b')
 ), parts AS (
-  SELECT doc_id, path, -1 AS pos, text AS s FROM anchored
+  SELECT doc_id, path, -1 AS pos, text AS s FROM docs
   UNION ALL
-  SELECT doc_id, path, pos, s FROM (
-    SELECT doc_id, path, unnest(p) AS s, unnest(range(len(p))) AS pos
-    FROM (SELECT doc_id, path, string_split(regexp_replace(text, '\n|([.;!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM anchored)
-  ) WHERE regexp_matches(s, '(?i)\b({"|".join(ANCHORS)})\b')
+  SELECT doc_id, path, unnest(range(len(p))) AS pos, unnest(p) AS s
+  FROM (SELECT doc_id, path, string_split(regexp_replace(text, '\n|([.;!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM docs)
 ), tf AS (
   SELECT doc_id, path, pos, term, count(*) AS tf FROM (SELECT doc_id, path, pos, unnest(regexp_extract_all(lower(s), '{TERM}')) AS term FROM parts) GROUP BY ALL
 ), idf AS (SELECT doc_id, path, pos, term, tf * coalesce(idf, ln((n + 1)::DOUBLE) + 1) AS w FROM tf LEFT JOIN known USING (term), n
@@ -197,9 +192,13 @@ WITH docs AS (
   SELECT h.doc_id, h.path, h.pos, licence, round(dot / norm, 4) AS score
   FROM (SELECT doc_id, path, pos, template, licence, sum(w * unit) AS dot FROM idf JOIN u USING (term) GROUP BY ALL) h
   JOIN (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM idf GROUP BY ALL) m ON h.doc_id = m.doc_id AND h.pos = m.pos
-), best AS (
-  SELECT doc_id, path, pos < 0 AS whole, licence, score, row_number() OVER (PARTITION BY doc_id, pos < 0 ORDER BY score DESC, licence) AS k
+), named AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, licence) AS k
   FROM scored WHERE (pos >= 0 AND score >= {LEAST}) OR (pos < 0 AND score >= {LEAST_FILE})
+), best AS (
+  SELECT doc_id, path, pos < 0 AS whole, licence, score,
+         row_number() OVER (PARTITION BY doc_id, pos < 0 ORDER BY CASE WHEN licence = '{RESERVED}' THEN 2 WHEN licence IN ({", ".join(f"'{x}'" for x in FAMILIES)}) THEN 1 ELSE 0 END, score DESC, licence) AS k
+  FROM named WHERE k = 1
 ), own AS (
   SELECT d.doc_id, d.path, regexp_extract(d.path, '^(.*)/[^/]*$', 1) AS dir, h.licence AS hl, h.score AS hs, f.licence AS fl, f.score AS fs
   FROM docs d LEFT JOIN best h ON d.doc_id = h.doc_id AND NOT h.whole AND h.k = 1 LEFT JOIN best f ON d.doc_id = f.doc_id AND f.whole AND f.k = 1

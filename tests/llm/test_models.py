@@ -157,7 +157,7 @@ def test_rare_letters_share_a_code_and_languages_may_be_without_letters():
     rng = random.Random(4)
     han = [chr(0x4E00 + i) for i in range(9000)]
     often = "".join(rng.choice(han[:2500]) * 2 for _ in range(30_000))
-    texts = [often[i : i + 3000] for i in range(0, 60_000, 3000)] + ["".join(han)] + ["the cat sat on the mat and the dog did not " * 20] * 12 + ["", "12 34"]
+    texts = [often[:3000], "".join(han), *[often[i : i + 3000] for i in range(3000, 60_000, 3000)]] + ["the cat sat on the mat and the dog did not " * 20] * 12 + ["", "12 34"]
     labels = ["zh"] * 21 + ["en"] * 12 + ["xx", "yy"]
     model = langid.fit(texts, labels)
     assert len(model.alphabet) == (1 << langid.CODE_BITS) - 2
