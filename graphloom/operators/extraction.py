@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import entity_type, strip, valid_extracted_name, valid_mention
-from ..model import ENTITY_TYPES, canonical_relation
+from ..model import ENTITY_TYPES, RELATION_TYPES, canonical_relation
 from .chunks import low_quality, prompt
 
 MENTION_CONFIDENCE, GIVEN_CONFIDENCE, MIN_CONFIDENCE = 0.8, 0.8, 0.7
@@ -95,6 +97,81 @@ def _completed(complete: Callable[[str], str], text: str, retries: int, wait: fl
     return None
 
 
+def system_prompt() -> str:
+    """What a language model is told before the chunks: the vocabularies, the rules and the form of its answer."""
+    return "\n".join(
+        [
+            "You read business news and reports and answer with JSON alone.",
+            "Kinds of entities: " + ", ".join(ENTITY_TYPES) + ".",
+            "Kinds of relations: " + ", ".join(RELATION_TYPES) + ".",
+            "Name only entities with proper names; job titles, dates, page numbers and lines of a table of contents are none.",
+            "Tell only relations that the text states, by the kinds above; where there are none, give empty lists.",
+            'Form: {"entities": [{"name": "", "type": "", "confidence": 0.0, "aliases": []}], "relations": [{"source": "", "relation": "", "target": "", "confidence": 0.0, "evidence": ""}]}',
+        ]
+    )
+
+
+class RateLimited(Exception):
+    """The service takes no more requests until `reset` (seconds since 1970; null: unknown)."""
+
+    def __init__(self, message: str, reset: float | None):
+        super().__init__(message)
+        self.reset = reset
+
+
+#: (method, path, JSON body or null) -> (status, headers, JSON); raises TimeoutError or ConnectionError
+Transport = Callable[[str, str, dict | None], tuple[int, dict[str, str], Any]]
+
+
+@dataclass
+class HostedModel:
+    """A hosted language model behind a transport that the caller gives: completion, state of the rate limit, what there is.
+
+    An instance called with a prompt completes it, as model_relations wants it."""
+
+    transport: Transport
+    model: str
+    system: str = field(default_factory=system_prompt)
+    remaining: int | None = None
+    reset: float | None = None
+
+    def _ask(self, method: str, path: str, body: dict | None = None) -> tuple[int, Any]:
+        status, headers, answer = self.transport(method, path, body)
+        low = {k.lower(): v for k, v in headers.items()}
+        try:
+            self.remaining = int(low.get("x-ratelimit-remaining", self.remaining)) if "x-ratelimit-remaining" in low else self.remaining
+            self.reset = int(low["x-ratelimit-reset"]) / 1000 if "x-ratelimit-reset" in low else self.reset  # given in milliseconds
+        except ValueError:
+            pass  # headers that can't be read tell nothing
+        return status, answer
+
+    def __call__(self, prompt_: str) -> str:
+        messages = [{"role": "system", "content": self.system}, {"role": "user", "content": prompt_}]
+        status, answer = self._ask("POST", "/chat/completions", {"model": self.model, "messages": messages})
+        if status == 429:
+            raise RateLimited("too many requests", self.reset)
+        if status != 200:
+            raise ValueError(f"the model's service answered {status}")
+        return answer["choices"][0]["message"]["content"]
+
+    def available(self) -> bool:
+        try:
+            return self._ask("GET", "/models")[0] == 200
+        except (TimeoutError, ConnectionError):
+            return False
+
+    def models(self) -> list[str]:
+        """Names of the service's models; none where it doesn't answer."""
+        try:
+            status, answer = self._ask("GET", "/models")
+        except (TimeoutError, ConnectionError):
+            return []
+        return [m["id"] for m in answer.get("data", [])] if status == 200 else []
+
+    def rate_limit(self) -> dict[str, float | None]:
+        return {"remaining": self.remaining, "reset": self.reset}
+
+
 def recognized(mentions: DataFrame, language: Column | None = None) -> DataFrame:
     """(chunk_id, pos, name, type, confidence, properties): each surface form once, at its first place, if valid and typed."""
     w = Window.partitionBy("chunk_id", "mention").orderBy("pos")
@@ -129,30 +206,38 @@ def given_relations(responses: DataFrame, min_confidence: float = MIN_CONFIDENCE
     return r.where(F.col("relation").isNotNull() & F.col("source").isNotNull() & F.col("target").isNotNull() & F.col("confidence").between(0, 1) & (F.col("confidence") >= min_confidence))
 
 
+#: Place of an entity among those of its chunk: recognized ones come first, each kind in its order.
+GIVEN_AFTER = 1 << 32
+
+
 def merged(recognized_: DataFrame, given: DataFrame, min_confidence: float | None = MIN_CONFIDENCE) -> DataFrame:
-    """(chunk_id, name, type, confidence, aliases): entities of both kinds by lower-case name; the first type stays,
-    the highest confidence counts, aliases are joined in order."""
+    """(chunk_id, pos, name, type, confidence, aliases): entities of both kinds by lower-case name; the first type stays,
+    the highest confidence counts, aliases are joined in order; pos is the order of first places."""
     none = F.array().cast("array<string>")
-    both = recognized_.select("chunk_id", F.lit(0).alias("kind"), "pos", "name", "type", "confidence", none.alias("aliases")).unionByName(given.select("chunk_id", F.lit(1).alias("kind"), "pos", "name", "type", "confidence", "aliases"))
-    first = F.struct("kind", "pos")
+    both = recognized_.select("chunk_id", F.col("pos").cast("long").alias("pos"), "name", "type", "confidence", none.alias("aliases")).unionByName(
+        given.select("chunk_id", (F.col("pos") + F.lit(GIVEN_AFTER)).cast("long").alias("pos"), "name", "type", "confidence", "aliases")
+    )
     out = both.groupBy("chunk_id", F.lower("name").alias("key")).agg(
-        F.min_by("name", first).alias("name"), F.min_by("type", first).alias("type"), F.max("confidence").alias("confidence"),
-        F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("kind", "pos", "aliases"))), lambda x: x["aliases"]))).alias("aliases"),
+        F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"), F.min_by("type", "pos").alias("type"), F.max("confidence").alias("confidence"),
+        F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "aliases"))), lambda x: x["aliases"]))).alias("aliases"),
     )
-    out = out.select("chunk_id", "name", "type", "confidence", "aliases")
+    out = out.select("chunk_id", "pos", "name", "type", "confidence", "aliases")
     return out if min_confidence is None else out.where(F.col("confidence") >= min_confidence)
 
 
 def extracted(chunks: DataFrame, mentions: MentionProvider, primary: RelationProvider, fallback: RelationProvider | None = None) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) of chunks (chunk_id, text). Chunks of low quality, and those that no provider could read, have
-    recognized entities alone; the fallback sees only what the primary provider left."""
+    """(entities, relations) of chunks (chunk_id, text, and before and after, if there are). Relation providers also get the
+    names recognized in a chunk. Chunks of low quality, and those that no provider could read, have recognized entities alone;
+    the fallback sees only what the primary provider left."""
     found = recognized(mentions(chunks))
-    worth = chunks.where(~low_quality(F.col("text")))
+    names = found.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+    worth = chunks.where(~low_quality(F.col("text"))).join(names, "chunk_id", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
     answers = parsed(primary(worth))
     if fallback is not None:
         left = worth.join(answers.where(F.col("p").isNotNull()).select("chunk_id"), "chunk_id", "left_anti")
         answers = answers.where(F.col("p").isNotNull()).unionByName(parsed(fallback(left)))
     answers = answers.where(F.col("p").isNotNull())
-    read = answers.select("chunk_id").distinct()
-    plain = merged(found.join(read, "chunk_id", "left_anti"), given_entities(answers).limit(0), None)
-    return plain.unionByName(merged(found.join(read, "chunk_id", "left_semi"), given_entities(answers))), given_relations(answers)
+    given = given_entities(answers)
+    both = merged(found, given, None).join(answers.select("chunk_id").distinct().withColumn("read", F.lit(True)), "chunk_id", "left")
+    # what a provider has read must be certain enough
+    return both.where(F.col("read").isNull() | (F.col("confidence") >= MIN_CONFIDENCE)).drop("read"), given_relations(answers)

@@ -3,11 +3,12 @@ validated, first_doc, last_doc, metadata) and aliases (entity_id, alias_name, al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import REGISTRY_SUFFIXES, alias_kind, normalized
+from ..functions.names import REGISTRY_SUFFIXES, alias_kind, cache_key, normalized
 from ..functions.scores import confidence_after
+from ..storage import numbered, written
 from .resolution import FUZZY, scored_pairs
 
 NEW_CONFIDENCE, ALIAS_CONFIDENCE = 0.5, 0.7
@@ -21,35 +22,42 @@ def lookup(queries: DataFrame, entities: DataFrame, aliases: DataFrame, threshol
     others = aliases.join(entities.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id").select("entity_id", F.lower("alias_name").alias("key"), "entity_type", F.lit(1).alias("kind"))
     keys = names.unionByName(others)
     q = queries.select("qid", "name", "entity_type")
-    exact = q.withColumn("key", F.lower("name")).join(keys, ["key", "entity_type"]).groupBy("qid", "name", "entity_type").agg(F.min(F.struct("kind", "entity_id")).alias("m"))
-    found = exact.select("qid", F.col("m.entity_id").alias("entity_id"), (F.col("m.kind") + 1).alias("tier"))
-    rest = q.join(found.select("qid"), "qid", "left_anti")
-    normal = keys.withColumn("norm", normalized(F.col("key"), REGISTRY_SUFFIXES)).where("norm <> ''")
-    third = rest.withColumn("norm", normalized(F.col("name"), REGISTRY_SUFFIXES)).join(normal, ["norm", "entity_type"]).groupBy("qid").agg(F.min(F.struct("kind", "entity_id")).alias("m")).select("qid", F.col("m.entity_id").alias("entity_id"), F.lit(3).alias("tier"))
-    rest = rest.join(third.select("qid"), "qid", "left_anti")
-    alike = scored_pairs(rest, keys.withColumnRenamed("key", "name"), ["entity_type"], threshold)
-    fourth = alike.groupBy("qid").agg(F.min(F.struct(-F.col("score"), "other_kind", "other_entity_id")).alias("m")).select("qid", F.col("m.other_entity_id").alias("entity_id"), F.lit(4).alias("tier"))
-    hits = found.unionByName(third).unionByName(fourth)
-    return q.join(hits, "qid", "left")
+    on = ["name", "entity_type"]
+    first = F.min(F.struct("kind", "entity_id")).alias("m")
+    asked = q.select(*on).distinct().withColumns({"key": F.lower("name"), "norm": normalized(F.col("name"), REGISTRY_SUFFIXES)})
+    exact = keys.groupBy("key", "entity_type").agg(first.alias("exact"))
+    normal = keys.withColumn("norm", normalized(F.col("key"), REGISTRY_SUFFIXES)).where("norm <> ''").groupBy("norm", "entity_type").agg(first.alias("normal"))
+    by = asked.join(exact, ["key", "entity_type"], "left").join(normal, ["norm", "entity_type"], "left")
+    tier = F.when(F.col("exact").isNotNull(), F.col("exact.kind") + 1).when(F.col("normal").isNotNull(), 3)
+    found = written(by.select(*on, F.coalesce("exact.entity_id", "normal.entity_id").alias("entity_id"), tier.alias("tier")), "tiers")
+    # only what the other tiers left is scored, each name of a type once
+    alike = scored_pairs(found.where("tier IS NULL").select(*on), keys.withColumnRenamed("key", "name"), ["entity_type"], threshold)
+    best = alike.groupBy(*on).agg(F.min(F.struct(-F.col("score"), "other_kind", "other_entity_id")).alias("m")).select(*on, F.col("m.other_entity_id").alias("alike"))
+    hits = found.join(best, on, "left").select(*on, F.coalesce("entity_id", "alike").alias("entity_id"), F.coalesce("tier", F.when(F.col("alike").isNotNull(), 4)).alias("tier"))
+    return q.join(hits, on, "left").select("qid", "name", "entity_type", "entity_id", "tier")
 
 
 def registered(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """entities after mentions (canonical_name, entity_type, document, ord): known ones grow by count, new ones begin with 0.5.
 
-    Ids of new entities follow the largest, in order of their first mention."""
-    m = mentions.groupBy(F.lower("canonical_name").alias("key"), "entity_type").agg(F.count(F.lit(1)).alias("n"), F.min_by("canonical_name", "ord").alias("new_name"), F.min_by("document", "ord").alias("new_first"), F.max_by("document", "ord").alias("new_last"), F.min("ord").alias("first_ord"))
+    Ids of new entities follow the largest, in order of their first mention. Where entities have metadata (JSON), known ones
+    keep theirs and new ones have that of the first mention, if mentions have any."""
+    keeps = "metadata" in entities.columns
+    given = F.min_by("metadata", "ord") if "metadata" in mentions.columns else F.lit(None).cast("string")
+    m = mentions.groupBy(F.lower("canonical_name").alias("key"), "entity_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("canonical_name", "ord").alias("new_name"), F.min_by("document", "ord").alias("new_first"), F.max_by("document", "ord").alias("new_last"), F.min("ord").alias("first_ord"), given.alias("new_metadata")
+    )
     e = entities.withColumn("key", F.lower("canonical_name"))
     both = e.join(m, ["key", "entity_type"], "full_outer")
     known = F.col("id").isNotNull()
     grown = confidence_after_more(F.col("confidence"), F.col("mention_count"), F.coalesce("n", F.lit(0)), F.col("relation_count"), F.col("validated"))
-    old = both.where(known).select("id", "canonical_name", "entity_type", grown.alias("confidence"), (F.col("mention_count") + F.coalesce("n", F.lit(0))).alias("mention_count"), "relation_count", "validated", "first_doc", F.coalesce("new_last", "last_doc").alias("last_doc"))
+    old = both.where(known).select("id", "canonical_name", "entity_type", grown.alias("confidence"), (F.col("mention_count") + F.coalesce("n", F.lit(0))).alias("mention_count"), "relation_count", "validated", "first_doc", F.coalesce("new_last", "last_doc").alias("last_doc"), *(["metadata"] if keeps else []))
     top = entities.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = both.where(~known).select("entity_type", "n", "new_name", "new_first", "new_last", "first_ord")
-    # new names are few beside mentions; their ids are consecutive in the order of first mention
-    number = F.row_number().over(Window.orderBy("first_ord", "new_name", "entity_type"))
-    new = fresh.withColumn("number", number).join(F.broadcast(top)).select(
+    fresh = both.where(~known).select("entity_type", "n", "new_name", "new_first", "new_last", "first_ord", "new_metadata")
+    new = numbered(fresh, "first_ord", "new_name", "entity_type").join(F.broadcast(top)).select(
         (F.col("top") + F.col("number")).alias("id"), F.col("new_name").alias("canonical_name"), "entity_type",
         confidence_after(F.lit(NEW_CONFIDENCE), F.col("n"), F.lit(0), F.lit(False)).alias("confidence"), F.col("n").alias("mention_count"), F.lit(0).cast("long").alias("relation_count"), F.lit(False).alias("validated"), F.col("new_first").alias("first_doc"), F.col("new_last").alias("last_doc"),
+        *([F.col("new_metadata").alias("metadata")] if keeps else []),
     )
     return old.unionByName(new)
 
@@ -77,6 +85,25 @@ def top(entities: DataFrame, min_confidence: float = 0.0, kind: str | None = Non
     return rows.orderBy(F.desc("mention_count"), F.desc("confidence"), "canonical_name").limit(limit)
 
 
+def warm(entities: DataFrame, aliases: DataFrame, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """What a session keeps at hand: (cache_key, id, canonical_name) of the `limit` most mentioned entities, and of all aliases
+    (cache_key, canonical_name), marked so that Spark caches them on first use."""
+    kept = top(entities, limit=limit).select(cache_key(F.col("canonical_name"), F.col("entity_type")).alias("cache_key"), "id", "canonical_name")
+    e = entities.select(F.col("id").alias("entity_id"), "canonical_name", "entity_type")
+    names = aliases.join(e, "entity_id").select(cache_key(F.col("alias_name"), F.col("entity_type")).alias("cache_key"), "canonical_name")
+    return kept.persist(), names.persist()
+
+
+def save(entities: DataFrame, aliases: DataFrame, path: str) -> None:
+    """The registry's tables as Parquet."""
+    entities.write.mode("overwrite").parquet(f"{path}/entities")
+    aliases.write.mode("overwrite").parquet(f"{path}/aliases")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/entities"), spark.read.parquet(f"{path}/aliases")
+
+
 def stats(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row a type with its count, and on each the totals and the mean confidence."""
     by = entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import LINKER_SUFFIXES, MERGER_SUFFIXES, normalized
+from ..functions.names import LINKER_SUFFIXES, MERGER_SUFFIXES, compound_parts, normalized
 from ..functions.similarity import cosine, token_sort_ratio, token_sort_score
 from ..storage import written
 
@@ -21,10 +24,23 @@ ACRONYMS = {
 }
 
 
-def resolve_group(rows: list[dict], threshold: float = FUZZY, known: dict[str, str] | None = None, normal: dict[str, str] | None = None) -> list[dict]:
+#: Names as vectors, one a row: a model that a caller passes in.
+Embedding = Callable[[list[str]], np.ndarray]
+
+
+def resolve_group(
+    rows: list[dict], threshold: float = FUZZY, known: dict[str, str] | None = None, normal: dict[str, str] | None = None, embed: Embedding | None = None, similarity: float = EMBEDDED
+) -> list[dict]:
     """Entities of one group in order, each joined to the first earlier one that is the same: by name, known alias, normal form
-    (not empty), or the best score. A row has name, type, aliases, confidence."""
+    (not empty), the best score, or, with embed, the most similar vector. A row has name, type, aliases, confidence."""
     known, out = known or {}, []
+    vectors: dict[str, np.ndarray] = {}
+
+    def vector(name: str) -> np.ndarray:
+        if name not in vectors:
+            v = np.asarray(embed([name])[0], np.float64)
+            vectors[name] = v / max(float(np.linalg.norm(v)), 1e-300)
+        return vectors[name]
 
     def norm(name: str) -> str:
         return (normal or {}).get(name, name.lower().strip())
@@ -40,6 +56,9 @@ def resolve_group(rows: list[dict], threshold: float = FUZZY, known: dict[str, s
             scored = [(token_sort_score(row["name"], x), -i, e) for i, e in enumerate(out) for x in (e["name"], *e["aliases"])]
             best = max(scored, key=lambda s: s[:2], default=None)
             hit = best[2] if best and best[0] >= threshold else None
+        if hit is None and embed is not None and out:
+            near = [float(vector(row["name"]) @ vector(e["name"])) for e in out]
+            hit = out[int(np.argmax(near))] if max(near) >= similarity else None
         if hit is None:
             out.append({**row, "aliases": list(row["aliases"] if row["aliases"] is not None else [])})
             continue
@@ -52,14 +71,16 @@ def resolve_group(rows: list[dict], threshold: float = FUZZY, known: dict[str, s
     return out
 
 
-def resolved(entities: DataFrame, threshold: float = FUZZY) -> DataFrame:
-    """entities (chunk_id, pos, name, type, aliases, confidence), chunk by chunk; order matters, so a chunk is one fold."""
+def resolved(entities: DataFrame, threshold: float = FUZZY, known: dict[str, str] | None = None, embed: Embedding | None = None, similarity: float = EMBEDDED) -> DataFrame:
+    """entities (chunk_id, pos, name, type, aliases, confidence), chunk by chunk; order matters, so a chunk is one fold.
+
+    known maps lower-case names to the canonical ones of an alias table; embed is the embedding tier's model."""
     rows = entities.withColumn("norm", normalized(F.col("name")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         normal = dict(zip(pdf["name"], pdf["norm"], strict=True))
-        out = resolve_group(pdf[["name", "type", "aliases", "confidence"]].to_dict("records"), threshold, normal=normal)
+        out = resolve_group(pdf[["name", "type", "aliases", "confidence"]].to_dict("records"), threshold, known, normal, embed, similarity)
         return pd.DataFrame([{"chunk_id": pdf["chunk_id"].iloc[0], "name": e["name"], "type": e["type"], "aliases": e["aliases"], "confidence": e["confidence"]} for e in out])
 
     kind = dict(rows.dtypes)["chunk_id"]
@@ -97,27 +118,34 @@ def lookup_table(entities: DataFrame) -> DataFrame:
     return by_name.unionByName(by_alias).groupBy("key").agg(F.max_by("name", F.struct("ord", "kind")).alias("name"), F.max("ord").alias("ord"))
 
 
+def split_compounds(entities: DataFrame) -> DataFrame:
+    """entities (name, confidence, ...) with compound names as one row a part, each a little less certain."""
+    rows = entities.withColumn("name", compound_parts(F.col("name"), tuple(ACRONYMS)))
+    split = F.col("confidence") * F.when(F.size("name") > 1, SPLIT_PENALTY).otherwise(1.0)
+    return rows.withColumn("confidence", split).withColumn("name", F.explode("name")).select(*entities.columns)
+
+
 def linked(entities: DataFrame, graph: DataFrame, threshold: float = FUZZY, parity: bool = False) -> DataFrame:
     """entities (id, name) with canonical and tier: 1 name or alias, 2 acronym, 3 normal form, 4 score; null: none.
 
-    Each tier sees only what the ones before left, so the costly one meets the fewest names."""
+    Each tier sees only what the ones before left, so the costly one meets the fewest names, and each of them once."""
     keys = lookup_table(graph).withColumnRenamed("name", "canonical")
-    rest = entities.select("id", "name")
-    tier1 = rest.join(keys, F.lower(rest["name"]) == keys["key"]).select("id", "name", "canonical", F.lit(1).alias("tier"))
-    rest = rest.join(tier1.select("id"), "id", "left_anti")
+    names = entities.select("name").distinct()
     acronyms = F.create_map(*[F.lit(x) for kv in ACRONYMS.items() for x in kv])
     full = F.when((F.upper("name") == F.col("name")) & (F.length("name") <= 5), F.try_element_at(acronyms, F.col("name")))
-    tier2 = rest.withColumn("key", F.lower(full)).join(keys, "key").select("id", "name", "canonical", F.lit(2).alias("tier"))
-    rest = rest.join(tier2.select("id"), "id", "left_anti")
-    normal = keys.withColumn("norm", normalized(F.col("key"), LINKER_SUFFIXES)).groupBy("norm").agg(F.min_by("canonical", F.struct("ord", "key")).alias("canonical"))
-    named = rest.withColumn("norm", normalized(F.col("name"), LINKER_SUFFIXES))
-    tier3 = (named if parity else named.where("norm <> ''")).join(normal, "norm").select("id", "name", "canonical", F.lit(3).alias("tier"))
-    rest = rest.join(tier3.select("id"), "id", "left_anti")
-    pairs = scored_pairs(rest.withColumn("block", F.lit(0)), keys.select(F.col("key").alias("name"), "canonical", "ord").withColumn("block", F.lit(0)), ["block"], threshold)
-    tier4 = pairs.groupBy("id", "name").agg(F.min_by("other_canonical", F.struct(-F.col("score"), "other_ord", "other_name")).alias("canonical")).withColumn("tier", F.lit(4))
-    rest = rest.join(tier4.select("id"), "id", "left_anti")
-    none = rest.withColumns({"canonical": F.lit(None).cast("string"), "tier": F.lit(None).cast("int")})
-    return tier1.unionByName(tier2).unionByName(tier3).unionByName(tier4).unionByName(none)
+    normal = keys.withColumn("norm", normalized(F.col("key"), LINKER_SUFFIXES)).groupBy("norm").agg(F.min_by("canonical", F.struct("ord", "key")).alias("by_form"))
+    normal = normal if parity else normal.where("norm <> ''")
+    by = names.withColumns({"low": F.lower("name"), "full": F.lower(full), "form": normalized(F.col("name"), LINKER_SUFFIXES)})
+    by = by.join(keys.select(F.col("key").alias("low"), F.col("canonical").alias("by_name")), "low", "left")
+    by = by.join(keys.select(F.col("key").alias("full"), F.col("canonical").alias("by_acronym")), "full", "left")
+    by = by.join(normal.withColumnRenamed("norm", "form"), "form", "left")
+    tier = F.when(F.col("by_name").isNotNull(), 1).when(F.col("by_acronym").isNotNull(), 2).when(F.col("by_form").isNotNull(), 3)
+    found = written(by.select("name", F.coalesce("by_name", "by_acronym", "by_form").alias("canonical"), tier.alias("tier")), "tiers")
+    rest = found.where("tier IS NULL").select("name").withColumn("block", F.lit(0))
+    pairs = scored_pairs(rest, keys.select(F.col("key").alias("name"), "canonical", "ord").withColumn("block", F.lit(0)), ["block"], threshold)
+    best = pairs.groupBy("name").agg(F.min_by("other_canonical", F.struct(-F.col("score"), "other_ord", "other_name")).alias("alike"))
+    hits = found.join(best, "name", "left").select("name", F.coalesce("canonical", "alike").alias("canonical"), F.coalesce("tier", F.when(F.col("alike").isNotNull(), 4)).alias("tier"))
+    return entities.select("id", "name").join(hits, "name", "left").select("id", "name", "canonical", "tier")
 
 
 def duplicate_pairs(entities: DataFrame, threshold: float = FUZZY) -> DataFrame:

@@ -12,22 +12,31 @@ from pyspark.sql import functions as F
 EVIDENCE_BREAK = "\n---\n"
 
 
-def merged_properties(properties: str = "properties", order: str = "ord") -> Column:
-    """The later value of each key."""
-    entries = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries(properties).alias("e")))), lambda x: F.coalesce(x["e"], F.array().cast("array<struct<key:string,value:string>>"))))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value"))))
-
-
 def in_order(value: str, order: str = "ord") -> Column:
     """The values of a group in order, as an array without nulls."""
     return F.transform(F.array_sort(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))), lambda x: x["v"])
 
 
 def upsert_entities(rows: DataFrame) -> DataFrame:
-    """rows (ord, name, type, aliases, confidence, properties): the first type, the highest confidence, aliases joined, later properties."""
-    aliases = F.array_distinct(F.flatten(in_order("aliases")))
-    return rows.groupBy("name").agg(F.min_by("type", "ord").alias("type"), F.max("confidence").alias("confidence"), aliases.alias("aliases"), merged_properties().alias("properties"), F.min("ord").alias("ord"))
+    """rows (ord, name, type, aliases, confidence, properties): the first type, the highest confidence, aliases joined in order,
+    the later value of each property.
+
+    A name's aliases and properties are first made distinct, so what meets in its row is what the row then holds."""
+    text = "struct<kind:int,key:string,value:string,at:int>"
+    own = F.array(F.struct(F.lit(0).alias("kind"), F.lit("").alias("key"), F.lit(None).cast("string").alias("value"), F.lit(0).alias("at")))
+    aliases = F.transform("aliases", lambda a, i: F.struct(F.lit(1).alias("kind"), a.alias("key"), F.lit(None).cast("string").alias("value"), i.alias("at")))
+    properties = F.transform(F.map_entries("properties"), lambda e: F.struct(F.lit(2).alias("kind"), e["key"].alias("key"), e["value"].alias("value"), F.lit(0).alias("at")))
+    none = F.array().cast(f"array<{text}>")
+    parts = rows.select("ord", "name", "type", "confidence", F.explode(F.concat(own, F.coalesce(aliases, none), F.coalesce(properties, none))).alias("p"))
+    once = parts.groupBy("name", "p.kind", "p.key").agg(F.min_by("type", "ord").alias("type"), F.max("confidence").alias("confidence"), F.max_by("p.value", "ord").alias("value"), F.min(F.struct("ord", "p.at")).alias("first"))
+    of = lambda kind, c: F.when(F.col("kind") == kind, c)
+    return once.groupBy("name").agg(
+        F.max(of(0, F.col("type"))).alias("type"),
+        F.max(of(0, F.col("confidence"))).alias("confidence"),
+        F.transform(F.array_sort(F.collect_list(of(1, F.struct("first", "key")))), lambda x: x["key"]).alias("aliases"),
+        F.map_from_entries(F.collect_list(of(2, F.struct("key", "value")))).alias("properties"),
+        F.max(of(0, F.col("first.ord"))).alias("ord"),
+    )
 
 
 def upsert_edges(rows: DataFrame) -> DataFrame:
@@ -98,8 +107,17 @@ def cleared(entities: DataFrame, edges: DataFrame, mentions: DataFrame) -> tuple
     return entities.where("false"), edges.where("false"), mentions.where("false"), counts
 
 
+def repeated(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys that several rows have."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+
+
 def save(entities: DataFrame, edges: DataFrame, mentions: DataFrame, path: str) -> None:
-    """The graph's tables as Parquet: entities by type, edges by relation type, so that typed queries read their part alone."""
+    """The graph's tables as Parquet: entities by type, edges by relation type, so that typed queries read their part alone.
+    A name that several entities have is an error."""
+    twice = repeated(entities, "name").first()
+    if twice is not None:
+        raise ValueError(f"several entities are named {twice['name']!r}")
     entities.write.mode("overwrite").partitionBy("type").parquet(f"{path}/entities")
     edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{path}/edges")
     mentions.write.mode("overwrite").parquet(f"{path}/mentions")

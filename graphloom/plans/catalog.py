@@ -47,10 +47,10 @@ def entity_search(spark, sf_dir):
     return graph.search(demo.entities(spark, sf_dir), "Customer", "Person", 25)
 
 
-@query(G + f"SELECT name, type, confidence, (SELECT count(*) FROM mentions WHERE entity_name = name) AS n_documents, (SELECT min(doc_path) FROM mentions WHERE entity_name = name) AS first_document FROM entities WHERE name = '{FIRM}'")
+@query(G + f"SELECT name, type, confidence, (SELECT count(*) FROM mentions WHERE entity_name = name) AS n_documents, (SELECT string_agg(doc_path, ' ' ORDER BY doc_path) FROM mentions WHERE entity_name = name) AS documents FROM entities WHERE name = '{FIRM}'")
 def entity_detail(spark, sf_dir):
     d = graph.detail(demo.entities(spark, sf_dir), demo.mentions(spark, sf_dir), FIRM)
-    return d.select("name", "type", "confidence", F.size("documents").cast("long").alias("n_documents"), F.try_element_at("documents", F.lit(1)).alias("first_document"))
+    return d.select("name", "type", "confidence", F.size("documents").cast("long").alias("n_documents"), F.array_join("documents", " ").alias("documents"))
 
 
 @query(G + f"""
@@ -114,12 +114,39 @@ def neighborhood_edges(spark, sf_dir):
     return traversal.neighbourhood(demo.entities(spark, sf_dir), demo.edges(spark, sf_dir), FIRM, 2, 2_000_000_000)
 
 
-@query(G.replace("WITH", "WITH RECURSIVE") + f"""
-, ends AS (SELECT DISTINCT a, b FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges))
-, t AS (SELECT '{PERSON}' AS node, 0 AS d UNION SELECT b, d + 1 FROM t JOIN ends ON a = node WHERE d < 5)
-SELECT unnest(range(1, (SELECT min(d) FROM t WHERE node = 'AFRICA')::BIGINT + 1))::INTEGER AS hop""")
+def _path_sql(start: str, goal: str, depth: int) -> str:
+    """The least of the shortest paths: distances from the goal, then at each hop the least node that is one step nearer."""
+    return G.replace("WITH", "WITH RECURSIVE") + f"""
+, ends AS (SELECT DISTINCT a, rel_type, b FROM (SELECT src AS a, rel_type, dst AS b FROM edges UNION ALL SELECT dst, rel_type, src FROM edges))
+, t AS (SELECT '{goal}' AS node, 0 AS d UNION SELECT a, d + 1 FROM t JOIN ends ON b = node WHERE d < {depth})
+, far AS (SELECT node, min(d) AS d FROM t GROUP BY node)
+, nearer AS (
+  SELECT a, rel_type, b, row_number() OVER (PARTITION BY a ORDER BY b, rel_type) AS k FROM ends JOIN far x ON x.node = a JOIN far y ON y.node = b WHERE y.d = x.d - 1
+), p AS (
+  SELECT 1 AS hop, a AS source, rel_type, b AS target FROM nearer WHERE a = '{start}' AND k = 1
+  UNION ALL SELECT hop + 1, a, n.rel_type, b FROM p JOIN nearer n ON n.a = p.target AND n.k = 1
+)
+SELECT hop, source, rel_type, target FROM p"""
+
+
+@query(_path_sql(PERSON, "AFRICA", 5))
 def shortest_path_hops(spark, sf_dir):
-    return traversal.shortest_path(demo.edges(spark, sf_dir), PERSON, "AFRICA").select("hop")
+    return traversal.shortest_path(demo.edges(spark, sf_dir), PERSON, "AFRICA")
+
+
+@query(_path_sql(PERSON, FIRM, 3))
+def relationship_question(spark, sf_dir):
+    return ask.ask(f"Show the relationships between {PERSON.lower()} and c5?", demo.entities(spark, sf_dir), demo.edges(spark, sf_dir))[1]
+
+
+@query(G + "SELECT DISTINCT a.dst AS company1, b.dst AS company2, a.src AS person FROM edges a JOIN edges b ON a.src = b.src AND a.dst <> b.dst WHERE a.rel_type = 'DIRECTOR_OF' AND b.rel_type = 'DIRECTOR_OF' ORDER BY 1, 2, 3 LIMIT 50")
+def directors_question(spark, sf_dir):
+    return ask.ask("Which companies have shared directors?", demo.entities(spark, sf_dir), demo.edges(spark, sf_dir))[1]
+
+
+@query(G + "SELECT name, type, confidence FROM entities WHERE contains(lower(name), 'supplier#00000000') ORDER BY confidence DESC, name LIMIT 10")
+def search_question(spark, sf_dir):
+    return ask.ask("the Supplier#00000000?", demo.entities(spark, sf_dir), demo.edges(spark, sf_dir))[1]
 
 
 OVERVIEW_SQL = ALL_SQL + """
@@ -127,10 +154,13 @@ OVERVIEW_SQL = ALL_SQL + """
 , top AS (
   SELECT e.name, type, confidence, degree FROM entities e JOIN degree USING (name)
   WHERE confidence >= 0.6 AND length(e.name) > 2 AND length(e.name) < 100 ORDER BY degree DESC, confidence DESC, e.name LIMIT 300
+), certain AS (
+  SELECT src, rel_type, dst AS target, m.type AS target_type, m.confidence AS target_confidence, coalesce(nullif(e.confidence, 0), 0.8e0) AS edge_confidence
+  FROM edges e JOIN entities m ON m.name = e.dst WHERE m.confidence >= 0.6
 ), view AS (
-  SELECT top.name, top.type, top.confidence, degree, x.rel_type, x.dst AS target, m.type AS target_type, m.confidence AS target_confidence,
-         CASE WHEN m.name IS NOT NULL THEN coalesce(nullif(x.confidence, 0), 0.8e0) END AS edge_confidence
-  FROM top LEFT JOIN (edges x JOIN entities m ON m.name = x.dst AND m.confidence >= 0.6) ON x.src = top.name
+  SELECT top.name, top.type, top.confidence, degree, x.rel_type, x.target, x.target_type, x.target_confidence,
+         x.edge_confidence
+  FROM top LEFT JOIN certain x ON x.src = top.name
 )"""
 
 
@@ -146,8 +176,11 @@ def overview_nodes(spark, sf_dir):
 
 @query(G + """
 , top AS (SELECT name, type, confidence FROM entities WHERE type = 'Company' AND confidence >= 0.7 AND length(name) > 2 ORDER BY confidence DESC, name LIMIT 50)
-SELECT top.name, top.type, top.confidence, rel_type, b AS neighbour, m.type AS neighbour_type, x.confidence AS edge_confidence
-FROM top LEFT JOIN ((SELECT src AS a, dst AS b, rel_type, confidence FROM edges UNION ALL SELECT dst, src, rel_type, confidence FROM edges WHERE src <> dst) x JOIN entities m ON m.name = b AND m.confidence >= 0.7) ON a = top.name""")
+, near AS (
+  SELECT a, rel_type, b AS neighbour, m.type AS neighbour_type, x.confidence AS edge_confidence
+  FROM (SELECT src AS a, dst AS b, rel_type, confidence FROM edges UNION ALL SELECT dst, src, rel_type, confidence FROM edges WHERE src <> dst) x JOIN entities m ON m.name = b WHERE m.confidence >= 0.7
+)
+SELECT top.name, top.type, top.confidence, rel_type, neighbour, neighbour_type, edge_confidence FROM top LEFT JOIN near ON a = top.name""")
 def by_type(spark, sf_dir):
     return graph.by_type(demo.entities(spark, sf_dir), demo.edges(spark, sf_dir), "Company")
 
@@ -243,13 +276,6 @@ def _chunks(spark, sf_dir):
     return chunks.chunked(d, chunks.lines_as_paragraphs(F.col("text")))
 
 
-@query()
-def chunk_context(spark, sf_dir):
-    """Lines as paragraphs; a fold, so tests compare it with one written as a loop."""
-    c = chunks.with_context(_chunks(spark, sf_dir))
-    return c.select("doc_id", "chunk_index", "char_count", "paragraph_count", F.md5("text").alias("text_md5"), "before", "after")
-
-
 @query("""
 WITH RECURSIVE s AS (
   SELECT doc_id, pos, trim(p, ' ' || chr(9) || chr(10) || chr(13)) || '.' AS s FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), '.')) AS p, unnest(range(len(string_split(coalesce(text, ''), '.')))) AS pos FROM documents)
@@ -446,25 +472,7 @@ b AS (SELECT k, c_name AS n, conf, 'Person' AS type FROM r WHERE k % 5 <> 0 AND
 SELECT coalesce(a.k, b.k) AS chunk_id, coalesce(a.n, b.n) AS name, coalesce(a.type, b.type) AS type, greatest(coalesce(a.conf, 0), coalesce(b.conf, 0)) AS confidence FROM a FULL JOIN b ON a.k = b.k AND lower(a.n) = lower(b.n) WHERE greatest(coalesce(a.conf, 0), coalesce(b.conf, 0)) >= 0.7e0""")
 def merge_ner_llm(spark, sf_dir):
     ner = _table(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("chunk_id"), F.lit(0).alias("pos"), F.upper("c_name").alias("name"), F.lit("Company").alias("type"), F.lit(0.8).alias("confidence"))
-    return extraction.merged(ner, extraction.given_entities(extraction.parsed(_responses(spark, sf_dir)))).drop("aliases")
-
-
-@query()
-def extract_entities(spark, sf_dir):
-    """Mentions of whole documents by capitalized runs, typed and merged with what the verb provider finds."""
-    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text").where(F.col("text").isNotNull())
-    return extraction.extracted(d, extraction.capitalized_mentions, extraction.verb_relations)[0].drop("aliases")
-
-
-@query()
-def ingest_documents(spark, sf_dir):
-    """Whole documents from text to merged entity rows; tests hold the steps against hand-made cases."""
-    from .ingest import ingest
-
-    pages = _table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
-    known = demo.entities(spark, sf_dir).where("type = 'Company'").select("name", "aliases", F.xxhash64("name").alias("ord"))
-    out = ingest(pages, known, extraction.capitalized_mentions, extraction.verb_relations, paragraphs=chunks.lines_as_paragraphs(F.col("text")))
-    return out.entities.select("name", "type", "confidence", F.size("aliases").alias("n_aliases"))
+    return extraction.merged(ner, extraction.given_entities(extraction.parsed(_responses(spark, sf_dir)))).drop("aliases", "pos")
 
 
 # ---- similarity, resolution, linking
@@ -499,26 +507,57 @@ def cosine_best_match(spark, sf_dir):
     return resolution.best_by_vector(v, v, 0.0).select("id", "best_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
-def resolve_greedy(spark, sf_dir):
-    """A fold in order, group by group; tests compare it with hand-made cases."""
-    n = _names(spark, sf_dir).select((F.col("id") % 64).alias("chunk_id"), F.col("id").alias("pos"), "name", F.lit("Company").alias("type"), F.array().cast("array<string>").alias("aliases"), F.lit(0.8).alias("confidence"))
-    return resolution.resolved(n).select("chunk_id", "name", "type", F.array_join("aliases", "|").alias("aliases"), "confidence")
-
-
 def _link_inputs(spark, sf_dir):
+    """Names in shapes for each tier, compound ones among them: names, aliases, acronyms, suffixes, misspelt ones, strange ones."""
     p = _table(spark, sf_dir, "part")
     known = p.groupBy("p_name").agg(F.min("p_partkey").alias("ord")).select(F.initcap("p_name").alias("name"), F.array(F.concat(F.lit("part "), F.col("p_name"))).alias("aliases"), "ord")
-    shape = F.col("p_partkey") % 4
-    asked = p.select(F.col("p_partkey").alias("id"), F.when(shape == 0, F.upper("p_name")).when(shape == 1, F.concat(F.lit("Part "), F.col("p_name"))).when(shape == 2, F.concat("p_name", F.lit(" Company SA"))).otherwise(F.concat(F.lit("zzz "), F.col("p_brand"))).alias("name"))
-    return asked, known
+    banks = spark.createDataFrame([(full, 10_000_000_000 + i) for i, full in enumerate(resolution.ACRONYMS.values()) if i % 3], "name string, ord long")
+    known = known.unionByName(banks.select("name", F.array().cast("array<string>").alias("aliases"), "ord"))
+    shape, n = F.col("p_partkey") % 7, F.col("p_name")
+    short = F.element_at(F.array(*map(F.lit, resolution.ACRONYMS)), (F.col("p_partkey") % len(resolution.ACRONYMS) + 1).cast("int"))
+    name = F.when(shape == 0, F.upper(n)).when(shape == 1, F.concat(F.lit("Part "), n)).when(shape == 2, F.concat(n, F.lit(" Company SA"))).when(shape == 3, short)
+    name = name.when(shape == 4, F.concat(F.left(n, F.length(n) - 1), F.lit("x"))).when(shape == 5, F.concat(F.lit("zzz "), F.col("p_brand"))).otherwise(F.concat(n, F.lit(" and "), short))
+    return p.select(F.col("p_partkey").alias("id"), name.alias("name"), F.lit(0.8).alias("confidence")), known
+
+
+_ACRONYM_ROWS = ", ".join("({}, '{}', '{}')".format(i, k, v.replace("'", "''")) for i, (k, v) in enumerate(resolution.ACRONYMS.items()))
+LINK_SQL = f"""
+WITH RECURSIVE acronyms(i, short, full_name) AS (VALUES {_ACRONYM_ROWS}),
+keys AS (
+  SELECT lower(p_name) AS key, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], ' ') AS canonical, min(p_partkey) AS ord FROM part GROUP BY p_name
+  UNION ALL SELECT 'part ' || lower(p_name), array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], ' '), min(p_partkey) FROM part GROUP BY p_name
+  UNION ALL SELECT lower(full_name), full_name, 10000000000 + i FROM acronyms WHERE i % 3 <> 0
+), asked AS (
+  SELECT p_partkey AS id, unnest(CASE p_partkey % 7 WHEN 0 THEN [upper(p_name)] WHEN 1 THEN ['Part ' || p_name] WHEN 2 THEN [p_name || ' Company SA'] WHEN 3 THEN [short]
+    WHEN 4 THEN [left(p_name, length(p_name) - 1) || 'x'] WHEN 5 THEN ['zzz ' || p_brand] ELSE [p_name, short] END) AS name, CASE p_partkey % 7 WHEN 6 THEN 0.8e0 * 0.9e0 ELSE 0.8e0 END AS confidence
+  FROM part JOIN acronyms ON i = p_partkey % {len(resolution.ACRONYMS)}
+), names AS (SELECT DISTINCT name FROM asked
+), t1 AS (SELECT name, canonical, 1 AS tier FROM names JOIN keys ON key = lower(name)
+), t2 AS (SELECT name, canonical, 2 AS tier FROM names JOIN acronyms ON short = name JOIN keys ON key = lower(full_name) WHERE name = upper(name) AND length(name) <= 5
+), t3 AS (
+  SELECT name, arg_min(canonical, (ord, key)) AS canonical, 3 AS tier FROM (SELECT name, {_normal_sql("name", names.LINKER_SUFFIXES)} AS norm FROM names) n
+  JOIN (SELECT *, {_normal_sql("key", names.LINKER_SUFFIXES)} AS norm FROM keys) k USING (norm) WHERE norm <> '' GROUP BY name
+), left_ AS (
+  SELECT name, array_to_string(list_sort(string_split(lower(name), ' ')), ' ') AS s FROM names WHERE name NOT IN (SELECT name FROM t1 UNION ALL SELECT name FROM t2 UNION ALL SELECT name FROM t3)
+), sorted AS (SELECT *, array_to_string(list_sort(string_split(key, ' ')), ' ') AS s FROM keys
+), pairs AS (SELECT DISTINCT x.s AS a, y.s AS b FROM left_ x, sorted y WHERE 200e0 * least(length(x.s), length(y.s)) / (length(x.s) + length(y.s)) >= 85
+)""" + LCS_SQL + """
+, t4 AS (
+  SELECT name, arg_min(canonical, (-score, ord, key)) AS canonical, 4 AS tier FROM (
+    SELECT x.name, y.*, 200e0 * r[length(b) + 1] / (length(a) + length(b)) AS score FROM grid JOIN left_ x ON x.s = a JOIN sorted y ON y.s = b WHERE i = length(a)
+  ) WHERE score >= 85 GROUP BY name
+), hits AS (
+  SELECT name, arg_min(canonical, tier) AS canonical, min(tier) AS tier FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3 UNION ALL SELECT * FROM t4) GROUP BY name
+)
+SELECT asked.id, asked.name, confidence, canonical, tier FROM asked LEFT JOIN hits USING (name)"""
 
 
-@query("""
-SELECT p_partkey AS id, CASE WHEN p_partkey % 4 < 3 THEN array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(p_name, ' ')], ' ') END AS canonical, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 3 END AS tier FROM part""")
+@query(LINK_SQL)
 def link_tiers(spark, sf_dir):
     asked, known = _link_inputs(spark, sf_dir)
-    return resolution.linked(asked, known).select("id", "canonical", "tier")
+    parts = resolution.split_compounds(asked)
+    out = resolution.linked(parts.select(F.struct("id", "name", "confidence").alias("id"), "name"), known)
+    return out.select("id.id", "name", "id.confidence", "canonical", "tier")
 
 
 def _shop_names(spark, sf_dir):
@@ -533,13 +572,6 @@ def duplicate_pairs(spark, sf_dir):
     return resolution.duplicate_pairs(_shop_names(spark, sf_dir), 75.0).select("name", "other", F.round("score", 6).alias("score"))
 
 
-@query()
-def duplicate_stars(spark, sf_dir):
-    """Heads in order of rank; tests compare the rounds with a loop."""
-    n = _shop_names(spark, sf_dir)
-    return resolution.stars(resolution.duplicate_pairs(n, 75.0).select("name", "other"), n)
-
-
 def _variants(spark, sf_dir):
     p, k = _table(spark, sf_dir, "part"), F.col("p_partkey") % 3
     name = F.when(k == 0, F.upper("p_name")).when(k == 1, F.initcap("p_name")).otherwise(F.col("p_name"))
@@ -586,8 +618,25 @@ REGISTRY_SQL = """reg AS (
 
 
 @query(f"""
-WITH {REGISTRY_SQL}, q AS (SELECT p_partkey AS qid, p_name, p_partkey % 3 AS shape, CASE WHEN p_partkey % 2 = 0 THEN 'Company' ELSE 'Bank' END AS entity_type FROM part)
-SELECT qid, q.entity_type, id AS entity_id, CASE WHEN id IS NULL THEN NULL ELSE CASE shape WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END END AS tier FROM q LEFT JOIN reg ON reg.p_name = q.p_name AND reg.entity_type = q.entity_type""")
+WITH RECURSIVE {REGISTRY_SQL}, q AS (
+  SELECT p_partkey AS qid, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'PART ' || p_name ELSE p_name || ' Ltd' END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'Company' ELSE 'Bank' END AS entity_type FROM part
+), keys AS (
+  SELECT id, lower(canonical_name) AS key, entity_type, 0 AS kind FROM reg UNION ALL SELECT id, 'part ' || lower(p_name), entity_type, 1 FROM reg
+), names AS (SELECT DISTINCT name, entity_type FROM q
+), exact AS (SELECT name, n.entity_type, arg_min(id, (kind, id)) AS id, min(kind) + 1 AS tier FROM names n JOIN keys k ON key = lower(name) AND k.entity_type = n.entity_type GROUP BY ALL
+), normal AS (
+  SELECT name, n.entity_type, arg_min(id, (kind, id)) AS id, 3 AS tier FROM (SELECT *, {_normal_sql("name", names.REGISTRY_SUFFIXES)} AS norm FROM names) n
+  JOIN (SELECT *, {_normal_sql("key", names.REGISTRY_SUFFIXES)} AS norm FROM keys) k ON k.norm = n.norm AND k.entity_type = n.entity_type WHERE n.norm <> '' GROUP BY name, n.entity_type
+), left_ AS (
+  SELECT *, array_to_string(list_sort(string_split(lower(name), ' ')), ' ') AS s FROM names WHERE (name, entity_type) NOT IN (SELECT (name, entity_type) FROM exact UNION ALL SELECT (name, entity_type) FROM normal)
+), sorted AS (SELECT *, array_to_string(list_sort(string_split(key, ' ')), ' ') AS s FROM keys
+), pairs AS (SELECT DISTINCT x.s AS a, y.s AS b FROM left_ x JOIN sorted y ON x.entity_type = y.entity_type WHERE 200e0 * least(length(x.s), length(y.s)) / (length(x.s) + length(y.s)) >= 85
+){LCS_SQL}, alike AS (
+  SELECT name, entity_type, arg_min(id, (-score, kind, id)) AS id, 4 AS tier FROM (
+    SELECT x.name, x.entity_type, y.id, y.kind, 200e0 * r[length(b) + 1] / (length(a) + length(b)) AS score FROM grid JOIN left_ x ON x.s = a JOIN sorted y ON y.s = b AND y.entity_type = x.entity_type WHERE i = length(a)
+  ) WHERE score >= 85 GROUP BY name, entity_type
+), hits AS (SELECT name, entity_type, arg_min(id, tier) AS id, min(tier) AS tier FROM (SELECT * FROM exact UNION ALL SELECT * FROM normal UNION ALL SELECT * FROM alike) GROUP BY name, entity_type)
+SELECT qid, entity_type, id AS entity_id, tier FROM q LEFT JOIN hits USING (name, entity_type)""")
 def registry_lookup(spark, sf_dir):
     e, a = _registry(spark, sf_dir)
     k, n = F.col("p_partkey"), F.col("p_name")

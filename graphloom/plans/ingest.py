@@ -28,25 +28,33 @@ def ingest(
     fallback: extraction.RelationProvider | None = None,
     paragraphs: Column | None = None,
     remap: bool = True,
+    known: dict[str, str] | None = None,
+    embed: resolution.Embedding | None = None,
 ) -> Ingested:
     """pages (doc_id, page_number, text) and the entities of a graph (name, aliases, ord) -> rows to merge into the graph.
 
-    Relation ends follow the renaming of their entities, unless remap is false; relations without both ends are left out."""
+    Relation providers get each chunk with its neighbours' edges and the names recognized in it. Entities of a chunk are
+    resolved in the order of the text (known and embed: see resolution.resolved), compound names are split, and the parts are
+    linked. Relation ends follow the renaming of their entities, unless remap is false or the entity was split; relations
+    without both ends are left out."""
     paras = chunks.paragraphs(F.col("text")) if paragraphs is None else paragraphs
     cut = chunks.chunked(pages, paras).withColumn("chunk_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
-    cut = written(cut, "chunks")
+    cut = written(chunks.with_context(cut), "chunks")
     found, told = extraction.extracted(cut, mentions, relations, fallback)
-    resolved = written(resolution.resolved(found.withColumn("pos", F.col("name"))), "resolved")
+    told = written(told, "told")
+    resolved = written(resolution.resolved(found, known=known, embed=embed), "resolved")
     names = resolved.select("chunk_id", "name", F.explode(F.concat(F.array("name"), "aliases")).alias("old")).groupBy("chunk_id", "old").agg(F.min("name").alias("name"))
-    to_graph = resolution.linked(resolved.select(F.col("name").alias("id"), "name").distinct(), graph).select("name", F.coalesce("canonical", "name").alias("final"))
+    single = written(resolution.split_compounds(resolved.withColumn("whole", F.col("name"))), "single")
+    to_graph = resolution.linked(single.select(F.col("name").alias("id"), "name").distinct(), graph).select("name", F.coalesce("canonical", "name").alias("final"))
     to_graph = written(to_graph, "linked")
     place = cut.select("chunk_id", "doc_id", "chunk_index")
-    rows = resolved.join(to_graph, "name").join(place, "chunk_id")
+    rows = single.join(to_graph, "name").join(place, "chunk_id")
     ord_ = F.struct("doc_id", "chunk_index", "name").alias("ord")
     aliases = F.when(F.col("final") != F.col("name"), F.array_union("aliases", F.array("name"))).otherwise(F.col("aliases"))
     entities = upserts.upsert_entities(rows.select(ord_, F.col("final").alias("name"), "type", aliases.alias("aliases"), "confidence", F.create_map().cast("map<string,string>").alias("properties")))
     if remap:
-        renamed = names.join(to_graph, "name").select("chunk_id", "old", "final")
+        whole = single.where("whole = name").select("chunk_id", "name").distinct()
+        renamed = names.join(whole, ["chunk_id", "name"], "left_semi").join(to_graph, "name").select("chunk_id", "old", "final")
         for end in ("source", "target"):
             told = told.join(renamed.withColumnsRenamed({"old": end, "final": f"new_{end}"}), ["chunk_id", end], "left").withColumn(end, F.coalesce(f"new_{end}", end))
     edge_rows = told.join(place, "chunk_id").select(F.struct("doc_id", "chunk_index", "pos").alias("ord"), F.col("source").alias("src"), F.col("relation").alias("rel_type"), F.col("target").alias("dst"), "confidence", "evidence", F.col("doc_id").cast("string").alias("source_document"))
