@@ -12,7 +12,8 @@
    and by the triangle inequality, d(x, q) <= d(x, p) + 2 r, it is also given to each region q where a partner may live.
    Regions are split again until they are leaves, large clusters over many tasks, others within one. Where pivots don't
    part a large region (all distances alike), its sets are handed over as their differences from one pivot, which give the
-   same distances between them, and are joined block against block.
+   same distances between them: a bit for each shingle of the pivot, and the other shingles but those that no second set of
+   the region has, of which the number is enough. So near copies are few bytes, and are joined block against block.
 4. Leaves are joined exactly: intersection sizes of all their pairs. A pair counts only where its smaller set lives.
 
 Copies are one set throughout and are only counted. Defined results: a text without words, or null, has the empty set and no
@@ -295,18 +296,21 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     keep.append(i)
                     sets.append(s.tobytes())
             t = b.take(pa.array(keep, pa.int64()))
-            n = [len(s) // 8 for s in sets]
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([True] * len(keep), pa.bool_()), pa.array([-1] * len(keep), pa.int32()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], names=REGION_COLUMNS)
+            n = pa.array([len(s) // 8 for s in sets], pa.int64())
+            no, none = pa.array([-1] * len(keep), pa.int32()), pa.array([0] * len(keep), pa.int32())
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array([True] * len(keep), pa.bool_()), no, n, n, none, pa.array(sets, pa.binary())], names=REGION_COLUMNS)
 
     d = docs.select(F.col("doc_id").cast("long").alias("own_id"), "text")
     rows = d.join(wanted, F.col("doc_id").eqNullSafe(F.col("own_id"))).select("region", "node", "copies", "text")
     return rows.mapInArrow(run, REGION)
 
 
-#: A set in a region: home says whether the region is its own, n is its size, shingles are its shingles, or in blocks its
-#: difference from a pivot of the region.
-REGION = "region long, node long, copies long, home boolean, side int, n long, shingles binary"
-REGION_ARROW = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("home", pa.bool_()), ("side", pa.int32()), ("n", pa.int64()), ("shingles", pa.binary())])
+#: A set in a region: home says whether the region is its own, n is its size, shingles are its shingles. In blocks, size is that
+#: of its difference from a pivot of `bits` shingles; shingles are the pivot's that it lacks, as bits, and its further ones.
+REGION_ARROW = pa.schema(
+    [("region", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("home", pa.bool_()), ("side", pa.int32()), ("n", pa.int64()), ("size", pa.int64()), ("bits", pa.int32()), ("shingles", pa.binary())]
+)
+REGION = "region long, node long, copies long, home boolean, side int, n long, size long, bits int, shingles binary"
 REGION_COLUMNS = REGION_ARROW.names
 CHILD_ARROW = pa.schema([("region", pa.int64()), ("child", pa.int64()), ("node", pa.int64())])
 
@@ -326,14 +330,14 @@ def _to_pivots(regions: DataFrame, percent: int, sets: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for region, node, copies, home, side, n, shingles, found in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for region, node, copies, home, side, n, size, bits, shingles, found in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 s = np.frombuffer(shingles, _U)
                 shared = np.array([len(np.intersect1d(s, np.frombuffer(p, _U), assume_unique=True)) for p in found])
                 d = 1 - shared / (n + np.array([len(p) // 8 for p in found]) - shared)
                 near, may = _windows(d[None, :], percent)
                 for q in np.flatnonzero(may[0]).tolist():
                     to = int(mix(np.array([(region * 31 + q * 0x9E3779B97F4A7C15 + 7) & (1 << 64) - 1], _U)).astype(np.int64)[0])
-                    out.append((to, node, copies, home and q == near[0], side, n, shingles) if sets else (region, to, node))
+                    out.append((to, node, copies, home and q == near[0], side, n, size, bits, shingles) if sets else (region, to, node))
             schema = REGION_ARROW if sets else CHILD_ARROW
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=schema)
 
@@ -341,15 +345,51 @@ def _to_pivots(regions: DataFrame, percent: int, sets: bool) -> DataFrame:
 
 
 def _from_pivot(regions: DataFrame) -> DataFrame:
-    """Sets as their differences from the region's least set: differences of differences are those of the sets."""
+    """Sets as their differences from the region's least set, without the shingles that one set of the region alone has:
+    differences of differences are those of the sets."""
     pivots = regions.groupBy("region").agg(F.min_by("shingles", "node").alias("pivot"))
+    kept = REGION_COLUMNS[:6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.setxor1d(np.frombuffer(s, _U), np.frombuffer(p, _U), assume_unique=True).tobytes() for s, p in zip(b.column("shingles").to_pylist(), b.column("pivot").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in REGION_COLUMNS[:-1]], pa.array(out, pa.binary())], names=REGION_COLUMNS)
+            size, bits, lacks, more = [], [], [], []
+            for s, p in zip(b.column("shingles").to_pylist(), b.column("pivot").to_pylist(), strict=True):
+                s, p = np.frombuffer(s, _U), np.frombuffer(p, _U)
+                missing = ~np.isin(p, s, assume_unique=True)
+                further = np.setdiff1d(s, p, assume_unique=True)
+                size.append(int(missing.sum()) + len(further))
+                bits.append(len(p))
+                lacks.append(np.packbits(missing).tobytes())
+                more.append(further.astype(np.int64).tolist())
+            new = [pa.array(size, pa.int64()), pa.array(bits, pa.int32()), pa.array(lacks, pa.binary()), pa.array(more, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new], names=[*kept, "size", "bits", "lacks", "more"])
+
+    types = REGION.split(", ")[:6]
+    found = regions.join(pivots, "region").select(*REGION_COLUMNS, "pivot").mapInArrow(run, ", ".join(types) + ", size long, bits int, lacks binary, more array<long>")
+    found = written(found, "differences")
+    each = found.select("region", "node", F.explode("more").alias("shingle"))
+    shared = written(each.groupBy("region", "shingle").agg(F.countDistinct("node").alias("sets")).where("sets > 1").select("region", "shingle"), "shared")
+    of = each.join(shared, ["region", "shingle"]).groupBy("region", "node").agg(F.collect_set("shingle").alias("shared"))
+    both = found.drop("more").join(of, ["region", "node"], "left").select(*kept, "size", "bits", "lacks", F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [x + np.array(more, np.int64).tobytes() for x, more in zip(b.column("lacks").to_pylist(), b.column("shared").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in REGION_COLUMNS[:-1]], pa.array(raw, pa.binary())], names=REGION_COLUMNS)
+
+    return both.mapInArrow(packed, REGION)
+
 
-    return regions.join(pivots, "region").select(*REGION_COLUMNS, "pivot").mapInArrow(run, REGION)
+def _sets_in(table: pa.Table, pick: np.ndarray) -> list[np.ndarray]:
+    """The shingles of the picked rows; in blocks, those that their difference holds, with the pivot's by their places."""
+    bits, out = table["bits"].to_numpy(), []
+    for i in pick.tolist():
+        raw = table["shingles"][i].as_py()
+        whole = (int(bits[i]) + 7) // 8
+        places = np.flatnonzero(np.unpackbits(np.frombuffer(raw[:whole], np.uint8), count=int(bits[i]))) if whole else []
+        further = np.frombuffer(raw[whole:], _U)
+        out.append(np.concatenate([np.asarray(places, _U), further]) if whole else further)
+    return out
 
 
 def _sizes(regions: DataFrame) -> DataFrame:
@@ -359,8 +399,9 @@ def _sizes(regions: DataFrame) -> DataFrame:
 class Region:
     """The sets of a region by numbers of shingles: sets at[i] to at[i + 1] of columns."""
 
-    def __init__(self, n: np.ndarray, shingles: list[np.ndarray], percent: int):
+    def __init__(self, n: np.ndarray, shingles: list[np.ndarray], percent: int, size: np.ndarray | None = None):
         self.n, self.percent, self.splits = n, percent, 0
+        self.size = n if size is None else size
         self.at = np.append(0, np.cumsum([len(s) for s in shingles]))
         distinct, self.columns = np.unique(np.concatenate(shingles), return_inverse=True)
         self.width = len(distinct)
@@ -392,10 +433,9 @@ class Region:
 
     def differences(self, rows: np.ndarray) -> np.ndarray:
         """How many shingles each two of the rows differ in."""
-        sets = [self.of(i) for i in rows]
-        size = np.array([len(s) for s in sets])
+        sets, size = [self.of(i) for i in rows], self.size[rows]
         which, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(rows)), size)
+        row = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
         shared = often[column] > 1
         column = (np.cumsum(often > 1) - 1)[column[shared]]
         order = np.argsort(column, kind="stable")
@@ -414,8 +454,8 @@ class Region:
 def joined_region(table: pa.Table, percent: int, leaf: int = LEAF) -> pa.Table:
     """(node, peer, links): the least set that each is linked to, over links within the region, and the documents linked to it."""
     node, pick = np.unique(table["node"].to_numpy(), return_index=True)
-    copies, home, side, n = (table[c].to_numpy()[pick] for c in ("copies", "home", "side", "n"))
-    region = Region(n, [np.frombuffer(table["shingles"][int(i)].as_py(), _U) for i in pick], percent)
+    copies, home, side, n, size = (table[c].to_numpy()[pick] for c in ("copies", "home", "side", "n", "size"))
+    region = Region(n, _sets_in(table, pick), percent, size)
     found = []
     blocks = (side >= 0).any()
     every = np.arange(len(node))
@@ -445,10 +485,12 @@ def linked_sets(regions: DataFrame, percent: int, region_sets: int = REGION_SETS
         pairs = children.groupBy("region").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
         tried = written(large.join(pairs, "region").withColumn("parted", F.col("pairs") <= F.col("sets") * F.col("sets") * PARTED), "tried")
         # regions that pivots would only copy are joined block against block
-        alike = written(_from_pivot(rest.join(tried.where("NOT parted").select("region"), "region").select(*REGION_COLUMNS)), "alike")
-        counted = _sizes(alike)
-        blocks = F.greatest(F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("shingle_count") / region_shingles), F.lit(2))
-        small.append(_in_blocks(alike, counted.select("region", blocks.alias("n_blocks"))).select(*REGION_COLUMNS))
+        whole = tried.where("NOT parted").select("region")
+        if whole.limit(1).count():
+            alike = written(_from_pivot(rest.join(whole, "region").select(*REGION_COLUMNS)), "alike")
+            held = alike.groupBy("region").agg(F.countDistinct("node").alias("sets"), F.sum("size").alias("shingle_count"))
+            blocks = F.greatest(F.ceil(2 * F.col("sets") / region_sets), F.ceil(2 * F.col("shingle_count") / region_shingles), F.lit(2))
+            small.append(_in_blocks(alike, written(held.select("region", blocks.alias("n_blocks")), "blocks")).select(*REGION_COLUMNS))
         parted = tried.where("parted").select("region")
         if not parted.limit(1).count():
             break
