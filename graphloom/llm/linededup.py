@@ -1,22 +1,22 @@
 """Line dedup over levelled sorted runs of line keys (a log-structured merge of what was seen), DataFrame functions only.
 
-Each batch of documents adds one sorted run (key, documents, largest doc_id). When a level holds `fanout` runs they are
-merged into one run of the next level, so a key is rewritten once a level, not once a batch. `unseen` merge-anti-joins a
-batch with the runs; `statistics` merges all levels.
+Documents come in batches by descending doc_id. A batch's keys are merge-anti-joined with the runs: keys that no run has are new,
+and the largest doc_id that holds one is known from then on; of the others only the number of documents is news. The batch then
+adds its own run (key, documents, largest doc_id). Runs are written in buckets by key, sorted, so joins with them and merges of
+them go bucket by bucket. When a level holds `fanout` runs they are merged into one run of the next level: a key is rewritten
+once a level, not once a batch.
 
 Defined results: a null or empty text is one empty line; a doc_id that occurs in several rows is one document; null doc_ids
 together are one document, which counts as the smallest; a table without rows gives no rows; other columns, whatever they are
-called, are kept.
+called, are kept, and what is added takes another name where a column has its own.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, documents, shared_dir, written
+from .shared import bucketed, checked_broadcast, documents, fresh, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -44,49 +44,76 @@ def keyed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of a folder that all executors share: level/run folders of Parquet, each sorted by key within its files."""
+    """The runs by levels: tables (key, n_docs, last_doc) in sorted buckets, in the folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.path = path or f"{shared_dir(spark)}/graphloom/runs-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = []
+        self.levels: list[list[DataFrame]] = []
+        self.names: list[str] = []
+
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
-    def _write(self, run: DataFrame, level: int) -> None:
+    def _add(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        to = f"{self.path}/level-{level}/run-{uuid.uuid4().hex}"
-        run.sortWithinPartitions("key").write.parquet(to)
-        self.levels[level].append(to)
+        table, name = bucketed(run, "key")
+        self.levels[level].append(table)
+        self.names.append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self._merged(self.levels[level]), []
-            self._write(merged, level + 1)
-
-    def _merged(self, runs: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*runs).groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+            merged, self.levels[level] = _merged(self.levels[level]), []
+            self._add(merged, level + 1)
 
     def add(self, lines: DataFrame) -> None:
-        """Adds a batch of keyed lines as a run. All rows of a document must be in one batch."""
+        """Adds a batch of keyed lines as a run. All rows of a document must be in one batch, and no later batch may hold a larger doc_id."""
         one = lines.where(F.col("key").isNotNull()).groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
-        self._write(one.groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
+        batch = one.groupBy("key").agg(F.count("one").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        self._add(self._marked(batch).select("key", "n_docs", F.when(F.col("new"), F.col("last_doc")).alias("last_doc")), 0)
 
-    def statistics(self) -> DataFrame:
-        """(key, n_docs, last_doc) over all batches so far."""
-        runs = [r for level in self.levels for r in level]
-        return self._merged(runs) if runs else self.spark.createDataFrame([], "key binary, n_docs long, last_doc long")
+    def _marked(self, rows: DataFrame) -> DataFrame:
+        """rows with `new`: whether no run has their key."""
+        seen = [f"run_{i}" for i in range(len(self.runs))]
+        out = rows
+        for name, run in zip(seen, self.runs, strict=True):
+            out = out.join(run.select("key", F.lit(True).alias(name)), "key", "left")
+        return out.select(*rows.columns, F.coalesce(*seen, F.lit(False)).alias("seen")).withColumn("new", ~F.col("seen")).drop("seen")
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The lines whose key no run has; lines without a key stay."""
-        return lines.join(self.statistics().select("key"), "key", "left_anti").select(*lines.columns)
+        return self._marked(lines).where("new").select(*lines.columns)
+
+    def statistics(self) -> DataFrame:
+        """(key, n_docs, last_doc) over all batches so far."""
+        return _merged(self.runs) if self.runs else self.spark.createDataFrame([], "key binary, n_docs long, last_doc long")
+
+    def drop(self) -> None:
+        """Forgets the runs' names; their files stay with the other written tables."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    """One run of several: sorted buckets are merged by full outer joins, two runs at a time."""
+    out = runs[0]
+    for more in runs[1:]:
+        a, b = out.alias("a"), more.alias("b")
+        n = F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))
+        out = a.join(b, F.col("a.key") == F.col("b.key"), "full_outer").select(F.coalesce("a.key", "b.key").alias("key"), n.cast("long").alias("n_docs"), F.greatest("a.last_doc", "b.last_doc").alias("last_doc"))
+    return out
 
 
 def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
     """(doc_id, text_key, n_lines, n_dropped, dropped): dropped has a bit for each line, in words of WORD bits."""
-    lines = written(keyed_lines(docs, min_chars), "lines")
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("c")).first()["c"] or []
+    later = sum((F.coalesce(F.col("doc_id") <= c, F.lit(True)).cast("int") for c in cuts), F.lit(0))
+    lines = written(keyed_lines(docs, min_chars).withColumn("batch", later), "lines", by=("batch",))
     runs = LineRuns(docs.sparkSession)
-    for k in range(batches):
-        runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
+    for k in range(len(cuts) + 1):
+        runs.add(lines.where(F.col("batch") == k))
     # a table of its own: Spark knows its size and broadcasts it if it is small, else the join can split a hot key's rows
     often = written(runs.statistics().where(F.col("n_docs") >= min_docs), "often")
+    runs.drop()
     short = lines.where(F.col("key").isNull()).select("doc_id", "text_key", "pos", F.lit(0).alias("drop"))
     long = lines.where(F.col("key").isNotNull()).join(often, "key", "left").select(
         "doc_id", "text_key", "pos", (F.col("n_docs").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("last_doc"))).cast("int").alias("drop")
@@ -104,7 +131,8 @@ def repeated_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int)
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, counts: bool = True) -> DataFrame:
-    """docs without the lines whose key at least min_docs documents hold, but in the largest doc_id; adds n_lines and n_dropped unless counts is false.
+    """docs without the lines whose key at least min_docs documents hold, but in the largest doc_id; adds n_lines and n_dropped unless counts is false
+    (under other names where docs has columns of these).
 
     text becomes the kept lines joined by newline; a text that loses nothing stays as it is (null stays null).
     """
@@ -117,7 +145,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     both = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.md5(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("m.text_key")), "left")
     kept = F.filter(lines_of(F.col("d.text")), lambda x, i: F.getbit(F.element_at(F.col("m.dropped"), (F.floor(i / WORD) + 1).cast("int")), i % WORD) == 0)
     text = F.when(F.coalesce("m.n_dropped", F.lit(0)) == 0, F.col("d.text")).otherwise(F.array_join(kept, "\n"))
-    return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], *([F.col("m.n_lines").alias("n_lines"), F.col("m.n_dropped").alias("n_dropped")] if counts else []))
+    return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], *([F.col(f"m.{c}").alias(fresh(docs, c)) for c in ("n_lines", "n_dropped")] if counts else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Scans of buckets that are one sorted file each are taken as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
@@ -18,26 +22,48 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests), a folder of our own that is then set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a written table: its lineage ends here and a lost executor costs nothing that came before.
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings of the session (dots as double underscores) while the block runs."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a written table: its lineage ends here and a lost executor costs nothing that came before. by: columns that part its files.
 
     The shuffle files of the write go with its end; else they would stay until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    with settings(spark, **{CLEANUP.replace(".", "__"): "true"}):
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str = "run") -> tuple[DataFrame, str]:
+    """df as a written table, and the name that the session knows it by: in buckets by key, each one file sorted by key: such tables are joined and merged bucket by bucket,
+    without shuffling or sorting them again."""
+    spark = df.sparkSession
+    n, table = partitions(spark), f"graphloom_{name}_{uuid.uuid4().hex}"
+    with settings(spark, **{CLEANUP.replace(".", "__"): "true", ORDERED.replace(".", "__"): "true"}):
+        df.repartition(n, key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/graphloom/{table}").saveAsTable(table)
+    return spark.table(table), table
+
+
 def checked_broadcast(table: DataFrame, row_bytes: int) -> DataFrame:
     """A written table, to be broadcast if its rows are counted to fit BROADCAST_BYTES; beyond that it is joined by shuffling."""
     return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table

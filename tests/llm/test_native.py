@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import licenses, linededup, mixing, sharding
+from graphloom.llm.shared import ORDERED, settings
 
 TABLES = ("odd", "none")
 
@@ -29,6 +30,8 @@ def test_line_dedup(odd, odd_rows, none):
         kept = [x for x in lines if strip_key(x) not in often or often[strip_key(x)] == r[0]]
         want[r[0], len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()] += 1
     out = linededup.drop_repeated_lines(odd.select("doc_id", "text"))
+    clash = linededup.drop_repeated_lines(odd).columns
+    assert len(set(clash)) == len(clash) and {"n_lines", "_n_lines", "n_dropped"} <= set(clash)
     got = Counter((r["doc_id"], r["n_lines"], r["n_dropped"], r["h"]) for r in out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).collect())
     assert got == want and often
     kept = linededup.drop_repeated_lines(odd, counts=False)
@@ -38,12 +41,21 @@ def test_line_dedup(odd, odd_rows, none):
 
 def test_runs_are_compacted(spark):
     runs = linededup.LineRuns(spark, fanout=2)
-    for i in range(5):
+    for i in range(4, -1, -1):  # batches by descending doc_id
         runs.add(spark.createDataFrame([(i, bytearray(b"a")), (i, bytearray(b"a")), (i, bytearray([i]))], "doc_id long, key binary"))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert {bytes(r["key"]): (r["n_docs"], r["last_doc"]) for r in runs.statistics().collect()}[b"a"] == (5, 4)
+    # the last batch's key was no news: only its count was added
+    assert {bytes(r["key"]): (r["n_docs"], r["last_doc"]) for r in runs.levels[0][0].collect()} == {b"a": (1, None), bytes([0]): (1, 0)}
     new = spark.createDataFrame([(9, bytearray(b"a")), (9, bytearray(b"z")), (9, None)], "doc_id long, key binary")
     assert sorted(bytes(r["key"] or b"") for r in runs.unseen(new).collect()) == [b"", b"z"]
+    with settings(spark, **{ORDERED.replace(".", "__"): "true", "spark__sql__autoBroadcastJoinThreshold": "-1"}):
+        a, b = runs.runs
+        plan = a.join(b, "key", "left_anti")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        merged = linededup._merged([a, b])._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in merged and "Exchange" not in merged and "Sort [" not in merged
+    runs.drop()
     assert linededup.LineRuns(spark).statistics().count() == 0
 
 
