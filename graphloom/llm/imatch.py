@@ -186,9 +186,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield edge(2, *last)
 
     met = written(ranged.mapInArrow(run, EDGE_SCHEMA), "fingerprints")
-    heads = met.where("kind = 1").select("range", F.col("text").alias("head"))  # a row for each range, as are the lasts
-    over = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)
-    after = heads.select("range", F.coalesce(F.min(F.struct("range", "head")).over(over), F.min(F.struct("range", "head")).over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))["head"].alias("after"))
+    heads = met.where("kind = 1").select(F.col("range").alias("next"), F.col("text").alias("after"))  # a row for each range, as are the lasts
+    numbers = met.where("kind = 1").select("range")
+    follows = F.lead("range").over(Window.orderBy("range"))
+    after = numbers.select("range", F.coalesce(follows, F.min("range").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next")).join(heads, "next").select("range", "after")
     lasts = met.where("kind = 2").select("range", "doc_id", "text").join(after, "range").select("doc_id", "text", "after")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ number: nothing is sequential over the data. In every prefix a source that still
 its share. A source that has run out leaves its slots empty; every document is kept, once.
 
 Target weights are the sources' shares of characters to the power TEMPER, made even, as whole quanta of at least one; or
-those given. Defined results: a null source is a source of its own, null and empty texts have length 0, equal rows follow one
+those given; a source with a given weight of 0, or none, has one quantum, as every document is kept. Defined results: a null source is a source of its own, null and empty texts have length 0, equal rows follow one
 another, no rows give no rows, further columns are kept whatever they are called.
 """
 
@@ -22,6 +22,9 @@ BLOCK_CHARS = 1 << 15
 QUANTA = 1000
 TEMPER = 0.5
 NO_SOURCE = "(none)"
+#: Characters that a bucket of a source may hold before buckets are made finer; a bucket's lengths are summed in one task.
+BUCKET_CHARS = 1 << 28
+DIGITS = 3
 
 
 def quanta_of(totals: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -61,12 +64,18 @@ def _order(doc_id: Column) -> Column:
     return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """docs as a struct column d, with source_key, ord, start, block, release, deadline and slot."""
     n = F.coalesce(F.char_length("text"), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source_key"), _order(F.col("doc_id")).alias("ord"), F.substring(_order(F.col("doc_id")), 1, 3).alias("bucket"), n.alias("n"))
-    # a source's running length in two steps: over at most 4096 buckets, then within each, so that no source meets in one task
-    buckets = written(rows.groupBy("source_key", "bucket").agg(F.sum("n").alias("chars")), "buckets")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce("source", F.lit(NO_SOURCE)).alias("source_key"), _order(F.col("doc_id")).alias("ord"), n.alias("n"))
+    # a source's running length in two steps: over its buckets by the order's first digits, then within each, so that no
+    # source meets in one task; there are as many buckets as their sizes need
+    for digits in range(DIGITS, DIGITS + 4):
+        bucket = F.substring("ord", 1, digits)
+        buckets = written(rows.groupBy("source_key", bucket.alias("bucket")).agg(F.sum("n").alias("chars")), "buckets")
+        if not buckets.where(F.col("chars") > bucket_chars).limit(1).count():
+            break
+    rows = rows.withColumn("bucket", bucket)
     totals = buckets.groupBy("source_key").agg(F.sum("chars").alias("chars"))
     slots = written(period(quanta_of(totals, weights)), "slots")
     upto = F.sum("chars").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

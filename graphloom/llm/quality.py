@@ -2,11 +2,12 @@
 
 A rated document's grade is 0 (toxic), 1 (poor) or 2 (good). One weight a hashed term, shared by all grades, gives a score s;
 ordered thresholds turn it into P(grade <= k) = sigmoid(t_k - s), hence the expected grade and the tail probability of the
-best grade, by which documents are kept. Weights are fitted on a bounded sample of rated documents; a fifth of it is kept
+best grade, by which documents are kept. Weights are fitted on a sample of rated documents that is bounded in rows and in
+characters (TRAIN_ROWS, TRAIN_CHARS: what passes the second bound is left out); a fifth of it is kept
 apart and sets the tail probability from which documents are kept.
 
 Defined results: null and empty texts have no terms and the score of the thresholds alone; several ratings of a document
-count once, the worst; ratings that are null count as not toxic and good; without ratings, or with one grade only, every
+count once, the worst; of several texts with one doc_id the least is learnt from; ratings that are null count as not toxic and good; without ratings, or with one grade only, every
 document is kept with a tail of 1; repeated rows have equal results; no rows give no rows; further columns don't matter.
 """
 
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import documents, small_batches
@@ -27,6 +28,7 @@ HASH_BITS = 20
 GRADES = 3
 #: Rated documents to learn from, at most: a bound on the labelled sample.
 TRAIN_ROWS = 8000
+TRAIN_CHARS = 64_000_000
 CALIBRATION = 5
 ROUNDS, RATE, L2, MIN_DOCS = 200, 0.3, 1e-4, 5
 #: A feature gets a weight if its share among some grade's documents is so many standard errors from its share among the others,
@@ -83,6 +85,25 @@ class Ordinal:
         return t.sum(0), t[-1], t[-1] >= self.cut
 
 
+def thresholds_of(t: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from the first one and the logs of the steps between them."""
+    return np.append(t[0], t[0] + np.cumsum(np.exp(t[1:])))
+
+
+def loss_and_gradient(w: np.ndarray, t: np.ndarray, rows: np.ndarray, features_: np.ndarray, y: np.ndarray, train: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean of -log P(grade) over the rows to learn from, with half of L2 times the weights' squares, and its gradients by w and t."""
+    n, i = train.sum(), np.arange(len(y))
+    s = np.bincount(rows, weights=w[features_], minlength=len(y))
+    below = np.vstack([np.zeros(len(y)), _sigmoid(thresholds_of(t)[:, None] - s), np.ones(len(y))])
+    slope = below * (1 - below)
+    p = np.maximum(below[y + 1, i] - below[y, i], 1e-9)
+    up, down = slope[y + 1, i] / p, slope[y, i] / p  # of -log p against the upper and the lower threshold
+    g = np.where(train, up - down, 0) / n
+    by_edge = np.array([(np.where(y == k + 1, down, 0) - np.where(y == k, up, 0))[train].sum() / n for k in range(len(t))])
+    by_t = np.append(by_edge.sum(), [by_edge[k:].sum() * np.exp(t[k]) for k in range(1, len(t))])
+    return float(-np.log(p[train]).mean() + L2 / 2 * (w @ w)), np.bincount(features_, weights=g[rows], minlength=len(w)) + L2 * w, by_t
+
+
 def fit(texts: list[str], grades: list[int]) -> Ordinal:
     y = np.array(grades, np.int64)
     flat = Ordinal(np.zeros(1 << HASH_BITS, np.float32), np.full(GRADES - 1, -40.0))
@@ -113,26 +134,16 @@ def fit(texts: list[str], grades: list[int]) -> Ordinal:
     # the first threshold and the logs of the steps between them: they stay in order
     t = np.append(at[0], np.log(np.maximum(np.diff(at), 1e-2)))
     w = np.zeros(len(known))
-    sum_w, sum_t, n = np.full(len(known), 1e-8), np.full(len(t), 1e-8), train.sum()
+    sum_w, sum_t = np.full(len(known), 1e-8), np.full(len(t), 1e-8)
     for _ in range(ROUNDS):
-        edges = np.append(t[0], t[0] + np.cumsum(np.exp(t[1:])))
-        s = np.bincount(r, weights=w[f], minlength=len(y))
-        below = np.vstack([np.zeros(len(y)), _sigmoid(edges[:, None] - s), np.ones(len(y))])
-        slope = below * (1 - below)
-        i = np.arange(len(y))
-        p = np.maximum(below[y + 1, i] - below[y, i], 1e-9)
-        up, down = slope[y + 1, i] / p, slope[y, i] / p  # of -log p against the upper and the lower threshold
-        g = np.where(train, up - down, 0) / n
-        grad = np.bincount(f, weights=g[r], minlength=len(known)) + L2 * w
-        g_edge = np.array([(np.where(y == k + 1, down, 0) - np.where(y == k, up, 0))[train].sum() / n for k in range(GRADES - 1)])
-        g_t = np.append(g_edge.sum(), [g_edge[k:].sum() * np.exp(t[k]) for k in range(1, len(t))])
+        _, grad, g_t = loss_and_gradient(w, t, r, f, y, train)
         sum_w += grad**2
         sum_t += g_t**2
         w -= RATE * grad / np.sqrt(sum_w)
         t -= RATE * 0.3 * g_t / np.sqrt(sum_t)
     weights = np.zeros(1 << HASH_BITS, np.float32)
     weights[known] = w
-    out = Ordinal(weights, np.append(t[0], t[0] + np.cumsum(np.exp(t[1:]))))
+    out = Ordinal(weights, thresholds_of(t))
     s = np.bincount(row, weights=weights[feature], minlength=len(y))
     tail, good = out.tails(s)[-1][held], y[held] == GRADES - 1
     if good.any() and not good.all():
@@ -145,12 +156,15 @@ def fit(texts: list[str], grades: list[int]) -> Ordinal:
     return out
 
 
-def learned(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Ordinal:
+def learned(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Ordinal:
     grade = F.when(F.coalesce("toxic", F.lit(0)) == 1, 0).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(2)
     rated = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(grade).alias("grade"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()  # the bound is rows
-    picked = sorted(((r["doc_id"], r["text"] or "", r["grade"]) for r in picked), key=lambda r: hash((r[0] * 2654435761) % (1 << 32)))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    # by hash, as far as the characters go: all that reaches the driver is bounded by rows and chars
+    texts = texts.withColumn("upto", F.sum(F.char_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)))
+    picked = texts.where(F.col("upto") <= chars).collect()
+    picked = sorted(((r["doc_id"], r["text"], r["grade"]) for r in picked), key=lambda r: hash((r[0] * 2654435761) % (1 << 32)))
     return fit([t for _, t, _ in picked], [g for _, _, g in picked])
 
 

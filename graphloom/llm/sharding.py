@@ -20,6 +20,8 @@ from .shared import documents, written
 
 BITS = 60
 LIMIT = 1 << 20
+#: Parts in which the rows of one hash are summed.
+SALTS = 256
 #: Further bits of the cells beyond those that even shards would need, and the bits by which cells that are too large go on.
 FINE, STEP = 3, 8
 
@@ -57,8 +59,14 @@ def shards(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     fits = out.where(F.col("shard_bytes") <= limit).withColumn("shard_page", F.lit(0).cast("long"))
-    # only rows of one hash are left: those that cross no multiple of the limit fill page 2k, those that do have page 2k+1
-    over = out.where(F.col("shard_bytes") > limit).withColumn("upto", F.sum("n_bytes").over(Window.partitionBy("h").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)))
+    over = out.where(F.col("shard_bytes") > limit)
+    # only rows of one hash are left: those that cross no multiple of the limit fill page 2k, those that do have page 2k+1;
+    # their running bytes are summed in two steps, as one hash may have any number of rows
+    over = written(over.withColumn("salt", F.floor(F.rand(7) * SALTS)), "overflow")
+    w = Window.partitionBy("h", "salt").orderBy("n_bytes").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("h").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = over.groupBy("h", "salt").agg(F.sum("n_bytes").alias("b")).select("h", "salt", F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("before"))
+    over = over.join(before, ["h", "salt"]).withColumn("upto", F.col("before") + F.sum("n_bytes").over(w)).drop("before", "salt")
     first, last = F.floor((F.col("upto") - F.col("n_bytes")) / limit), F.floor((F.greatest("upto", F.lit(1)) - 1) / limit)
     over = over.withColumn("shard_page", F.when(first >= last, 2 * first).otherwise(2 * last - 1).cast("long")).drop("upto")
     return fits.unionByName(over).withColumnsRenamed({"depth": "shard_depth", "prefix": "shard_prefix"})

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +52,23 @@ def written(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> Dat
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
     with settings(spark, **{CLEANUP.replace(".", "__"): "true"}):
         df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+#: Where written tables lie, for as long as their DataFrames are referred to.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            jvm = table.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bucketed(df: DataFrame, key: str, name: str = "run") -> tuple[DataFrame, str]:

@@ -24,10 +24,11 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """text -> ids (uint32), strings of special tokens counting as ordinary text.
+    """text -> ids (uint32), as the tokenizers library gives them by default without adding special tokens: where a text holds the
+    string of an added token, that is the token.
 
     Where the merges of the file are in the order of their ids, a rank encoder gives the same ids several times faster;
-    other files are left to the tokenizers library.
+    other files, and texts that hold an added token, are left to the library.
     """
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
@@ -35,6 +36,15 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
     ranked = [vocabulary.get("".join(p)) for p in pairs]
     special = {t["content"] for t in model.get("added_tokens", [])}
+    library = []
+
+    def slow(text: str) -> np.ndarray:
+        if not library:
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_file(path))
+        return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
     if model["pre_tokenizer"].get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space") and None not in ranked and ranked == sorted(ranked) and not model.get("normalizer"):
         import public_tokenizers
         import tiktoken
@@ -42,9 +52,5 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: np.array(fast.encode_ordinary(text), np.uint32)
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return lambda text: np.array(fast.encode_ordinary(text), np.uint32) if not any(t in text for t in special) else slow(text)
+    return slow

@@ -115,6 +115,8 @@ def test_mixing(odd, none):
     out = mixing.in_mixed_order(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert mixing.mixed(none).count() == 0
+    finer = mixing.mixed(odd, block_chars=50, bucket_chars=100_000)
+    assert {(r["source_key"], r["start"], r["n"], r["slot"]) for r in finer.collect()} == {(r["source_key"], r["start"], r["n"], r["slot"]) for r in got}
     assert mixing.mixed(odd, weights={"s0": 2, "s1": 1}).count() == odd.count()
 
 
