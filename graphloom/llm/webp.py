@@ -465,6 +465,50 @@ class _Writer:
         for v, n in ((1, 1), (0, 1), (1, 1), (symbol, 8)):
             self.put(v, n)
 
+    def few(self, used: list[int], size: int) -> dict[int, tuple[int, int]]:
+        """A code of equally long words for a few of `size` symbols, its lengths written with runs of zeros: symbol to (code, bits)."""
+        if len(used) == 1:
+            self.only(used[0])
+            return {used[0]: (0, 0)}
+        deep = (len(used) - 1).bit_length()
+        spare = (1 << deep) - len(used)  # so many words are one bit shorter
+        lengths = [0] * size
+        for i, symbol in enumerate(sorted(used)):
+            lengths[symbol] = deep - 1 if i < spare else deep
+        tokens: list[tuple[int, int, int]] = []
+        at = 0
+        while at < size:
+            zeros = 0
+            while at + zeros < size and lengths[at + zeros] == 0 and zeros < 138:
+                zeros += 1
+            if zeros >= 11:
+                tokens.append((18, zeros - 11, 7))
+            elif zeros >= 3:
+                tokens.append((17, zeros - 3, 3))
+            else:
+                zeros = 1
+                tokens.append((lengths[at], 0, 0))
+            at += zeros
+        kinds = sorted({t[0] for t in tokens})
+        wide = max(1, (len(kinds) - 1).bit_length())
+        own = [0] * 19
+        for i, kind in enumerate(kinds):  # complete: the first ones are one bit shorter
+            own[kind] = wide - 1 if i < (1 << wide) - len(kinds) and wide > 1 else wide
+        if len(kinds) == 1:
+            own[kinds[0]] = 1
+        self.put(0, 1)
+        self.put(15, 4)
+        for kind in CODE_LENGTH_ORDER:
+            self.put(own[kind], 3)
+        self.put(0, 1)
+        words = codes_of(own)
+        for kind, extra, n in tokens:
+            if len(kinds) > 1:
+                self.put(words[kind], own[kind])
+            self.put(extra, n)
+        codes = codes_of(lengths)
+        return {symbol: (codes[symbol], lengths[symbol]) for symbol in used}
+
 
 @lru_cache(maxsize=1)
 def _head() -> tuple[int, int]:
@@ -529,8 +573,93 @@ _GREEN_SIZES = np.array(GREEN, np.int64)
 _DISTANCE_CODES = codes_of(list(DISTANCE))
 
 
+#: Images of so few values are also stored with a palette, several samples a pixel; the smaller file is taken.
+PALETTE = 16
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
     """A WebP file of grey pixels, (height, width) of uint8."""
+    plain = _with_greens(samples)
+    values = np.unique(samples)
+    if len(values) > PALETTE:
+        return plain
+    small = _with_palette(samples, values)
+    return small if len(small) < len(plain) else plain
+
+
+def _file(stream: bytes) -> bytes:
+    body = b"VP8L" + len(stream).to_bytes(4, "little") + stream + bytes(len(stream) & 1)
+    return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
+
+
+def _with_palette(samples: np.ndarray, values: np.ndarray) -> bytes:
+    """The samples as places in a palette, as many a pixel as fit; equal pixels that follow one another are copies."""
+    height, width = samples.shape
+    bundle = 3 if len(values) <= 2 else 2 if len(values) <= 4 else 1
+    depth, each = 8 >> bundle, 1 << bundle
+    places = np.searchsorted(values, samples).astype(np.uint32)
+    narrow = -(-width // each)
+    places = np.pad(places, ((0, 0), (0, narrow * each - width))).reshape(height, narrow, each)
+    green = (places << (depth * np.arange(each, dtype=np.uint32))).sum(2).ravel()
+    w = _Writer()
+    for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 4), (1, 1), (3, 2), (len(values) - 1, 8)):
+        w.put(v, n)
+    steps = np.diff(np.append(0, values.astype(np.int64))) & 255
+    w.put(0, 1)  # the palette has no colour cache
+    codes = [w.few(sorted(set(steps.tolist())), n) for n in (LITERALS + LENGTHS, 256, 256)]
+    alpha = w.few([0, 255] if len(values) > 1 else [255], 256)
+    w.only(0)
+    for i, step in enumerate(steps.tolist()):
+        for code in codes:
+            w.put(*code[step])
+        w.put(*alpha[0 if i else 255])
+    w.put(0, 1)  # no further transform
+    w.put(0, 1)  # no colour cache
+    w.put(0, 1)  # no blocks
+    starts = np.flatnonzero(np.append(True, green[1:] != green[:-1]))
+    parts: list[tuple[int, int]] = []
+    for place, length in zip(green[starts].tolist(), np.diff(np.append(starts, len(green))).tolist(), strict=True):
+        parts.append((place, 0))
+        length -= 1
+        while length:
+            take = min(length, LONGEST_COPY) if length >= 4 else 1
+            parts.append((place, 0) if length < 4 else (LITERALS + symbol_of(take)[0], take))
+            length -= take
+    code = w.few(sorted({p for p, _ in parts}), LITERALS + LENGTHS)
+    for symbol in (0, 0, 255):
+        w.only(symbol)
+    near = symbol_of(2)  # the place to the left
+    w.only(near[0])
+    out = _Joined(w.value, w.size)
+    for symbol, length in parts:
+        out.put(*code[symbol])
+        if length:
+            _, n, extra = symbol_of(length)
+            out.put(extra, n)
+            out.put(near[2], near[1])
+    return _file(out.bytes())
+
+
+class _Joined:
+    """Many short writes: whole integers are joined now and then, so that none grows long."""
+
+    def __init__(self, value: int, size: int):
+        self.done, self.value, self.size = bytearray(), value, size
+
+    def put(self, v: int, n: int) -> None:
+        self.value |= v << self.size
+        self.size += n
+        if self.size > 4096:
+            whole = self.size // 8
+            self.done += (self.value & (1 << 8 * whole) - 1).to_bytes(whole, "little")
+            self.value >>= 8 * whole
+            self.size -= 8 * whole
+
+    def bytes(self) -> bytes:
+        return bytes(self.done) + self.value.to_bytes((self.size + 7) // 8, "little")
+
+
+def _with_greens(samples: np.ndarray) -> bytes:
     height, width = samples.shape
     b = np.ascontiguousarray(samples).ravel()
     value, size = _GREEN_CODES[b], _GREEN_SIZES[b]
@@ -560,5 +689,4 @@ def encode_grey(samples: np.ndarray) -> bytes:
     n_front = (40 + head_size + 63) // 64
     words[:n_front] |= np.frombuffer((front).to_bytes(8 * n_front, "little"), "<u8")
     stream = words.tobytes()[: (int(end[-1]) + 7) // 8]
-    body = b"VP8L" + len(stream).to_bytes(4, "little") + stream + bytes(len(stream) & 1)
-    return b"RIFF" + (4 + len(body)).to_bytes(4, "little") + b"WEBP" + body
+    return _file(stream)
