@@ -9,11 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import kept, scratch, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); loops mention a node that has no other edge."""
+    with scratch(edges.sparkSession):
+        return kept(_contracted(edges))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     rounds: list[DataFrame] = []
     now = written(edges.select("a", "b").distinct(), "edges")
     while True:

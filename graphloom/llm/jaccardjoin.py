@@ -19,12 +19,13 @@
 Copies are one set throughout and are only counted. Defined results: a text without words, or null, has the empty set and no
 link; with fewer words than a shingle its whole sequence is one; repeated rows are copies of one another; a null doc_id is
 ignored for the smallest of a component unless there is no other; no rows give no rows; further columns don't matter. Sets
-are told apart by 64-bit hashes.
+are told apart by 128 bits of hashes, their shingles by 64.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import checked_broadcast, documents, small_batches, written
+from .shared import checked_broadcast, discard, documents, kept, scratch, small_batches, written
 from .textvec import SPACE_WORDS, mix, word_batches
 
 WORDS, PERCENT = 5, 80
@@ -123,8 +124,26 @@ class Parts:
         return np.concatenate(out) if out else s[:0]
 
 
-def _node(s: np.ndarray) -> int:
-    return int(mix(np.array([int(np.add.reduce(mix(s + _U(0x5BD1E995)))) + len(s) & (1 << 64) - 1], _U)).astype(np.int64)[0])
+@dataclass
+class Names:
+    """Numbers that stand for sets: hashes, and other numbers for the few sets whose hash another set has, too.
+
+    other: (hash, second hash) -> number; it is filled with the sets that were found to share a hash."""
+
+    bits: int = 64
+    other: dict[tuple[int, int], int] = field(default_factory=dict)
+
+    def of(self, s: np.ndarray) -> int:
+        total = mix(np.array([int(np.add.reduce(mix(s + _U(0x5BD1E995)))) + len(s) & (1 << 64) - 1], _U))
+        node = int((total >> _U(64 - self.bits)).astype(np.int64)[0])
+        return self.other.get((node, self.second(s)), node) if self.other else node
+
+    @staticmethod
+    def second(s: np.ndarray) -> int:
+        return int(mix(np.array([int(np.add.reduce(mix(s ^ _U(0x9FB21C651E98DF25)))) & (1 << 64) - 1], _U)).astype(np.int64)[0])
+
+    def renamed(self, node: int, second: int) -> int:
+        return int(mix(np.array([node * 0x9E3779B97F4A7C15 + second & (1 << 64) - 1], _U)).astype(np.int64)[0])
 
 
 def _sketch(s: np.ndarray) -> bytes:
@@ -134,23 +153,23 @@ def _sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def with_nodes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """docs with, instead of text: node (stands for the set), n (its size), ring (of sizes) and sketch."""
+def with_nodes(docs: DataFrame, words: int, percent: int, names: Names) -> DataFrame:
+    """docs with, instead of text: node (stands for the set), second (a second hash), n (its size), ring (of sizes) and sketch."""
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows = Parts(percent).lows
         for b in batches:
-            found = [(_node(s), len(s), int(np.searchsorted(lows, len(s), "right")), _sketch(s) if len(s) else b"") for s in shingle_sets(b.column("text"), words)]
-            node, n, ring, sketch = ([f[k] for f in found] for k in range(4))
-            new = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(ring, pa.int32()), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *new], names=[*rest, "node", "n", "ring", "sketch"])
+            found = [(names.of(s), names.second(s), len(s), int(np.searchsorted(lows, len(s), "right")), _sketch(s) if len(s) else b"") for s in shingle_sets(b.column("text"), words)]
+            node, second, n, ring, sketch = ([f[k] for f in found] for k in range(5))
+            new = [pa.array(node, pa.int64()), pa.array(second, pa.int64()), pa.array(n, pa.int64()), pa.array(ring, pa.int32()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], *new], names=[*rest, "node", "second", "n", "ring", "sketch"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, own + ", node long, n long, ring int, sketch binary")
+    return docs.mapInArrow(run, own + ", node long, second long, n long, ring int, sketch binary")
 
 
-def with_parts(docs: DataFrame, words: int, percent: int, site_sets: int) -> DataFrame:
+def with_parts(docs: DataFrame, words: int, percent: int, site_sets: int, names: Names) -> DataFrame:
     """(node, part, sets) of the texts with words: the signatures of their sets' parts, most copies left out; sets is 1.
 
     Where more than site_sets sets of a batch share a part, one has it for all (their number is sets) and each of the others
@@ -161,7 +180,7 @@ def with_parts(docs: DataFrame, words: int, percent: int, site_sets: int) -> Dat
         for b in batches:
             nodes, dealt = [], []
             for s in shingle_sets(b.column(0), words):
-                if len(s) and (node := _node(s)) not in seen:
+                if len(s) and (node := names.of(s)) not in seen:
                     seen.add(node)
                     nodes.append(node)
                     dealt.append(parts.of(s))
@@ -248,9 +267,9 @@ def close_sets(sites: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def sites_of(docs: DataFrame, words: int, percent: int, site_sets: int) -> tuple[DataFrame, DataFrame]:
+def sites_of(docs: DataFrame, words: int, percent: int, site_sets: int, names: Names) -> tuple[DataFrame, DataFrame]:
     """(region, node): the sites with several sets, each list of sets once; and the large ones, as clusters where they overlap."""
-    deal = with_parts(docs, words, percent, site_sets)
+    deal = with_parts(docs, words, percent, site_sets, names)
     over = "over (partition by part)"
     met = deal.selectExpr("node", f"sum(sets) {over} AS sets", f"min(node) {over} AS low", f"bit_xor(node) {over} AS x", f"bit_xor(xxhash64(node)) {over} AS y").where("sets > 1")
     small = F.col("sets") <= site_sets
@@ -259,9 +278,9 @@ def sites_of(docs: DataFrame, words: int, percent: int, site_sets: int) -> tuple
     return sites.where("region IS NOT NULL").select("region", "node"), large.select(F.col("component").alias("region"), "node")
 
 
-def clusters(docs: DataFrame, nodes: DataFrame, words: int, percent: int, site_sets: int = SITE_SETS, ring_sets: int = RING_SETS) -> DataFrame:
+def clusters(docs: DataFrame, nodes: DataFrame, words: int, percent: int, names: Names, site_sets: int = SITE_SETS, ring_sets: int = RING_SETS) -> DataFrame:
     """(node, component): linked sets are in one cluster; sets that can't have links have none."""
-    small, large = sites_of(docs, words, percent, site_sets)
+    small, large = sites_of(docs, words, percent, site_sets, names)
     about = nodes.select("node", "n", "ring", "sketch")
     rings = large.join(about, "node").select(F.explode(F.array("ring", F.col("ring") - 1)).alias("ring"), "region", "node", "n", "sketch")
     rings = written(rings.select(F.xxhash64("region", "ring").alias("region"), "node", "n", "sketch"), "rings")
@@ -284,7 +303,7 @@ def _in_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.withColumn("side", side.cast("int")).withColumn("region", F.xxhash64("region", "pair.i", "pair.j")).drop("block", "pair", "n_blocks")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, words: int, names: Names) -> DataFrame:
     """The wanted nodes as rows of regions, from the text of one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +311,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             node = b.column(1).to_pylist()
             keep, sets = [], []
             for i, s in enumerate(shingle_sets(b.column(3), words)):
-                if _node(s) == node[i]:
+                if names.of(s) == node[i]:
                     keep.append(i)
                     sets.append(s.tobytes())
             t = b.take(pa.array(keep, pa.int64()))
@@ -512,18 +531,29 @@ def joined(
     region_shingles: int = REGION_SHINGLES,
     leaf: int = LEAF,
     key: str | None = None,
+    node_bits: int = 64,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, component) for every row of docs, with key, if it names a column of docs;
     component is a name of the component, null for the empty set."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(f"`{key}`").alias("key")] if key else []))
-    # sets are computed anew in each pass over the texts: that costs less than to keep them
-    sets = written(with_nodes(docs, words, percent), "sets")
-    nodes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.any_value(c).alias(c) for c in ("n", "ring", "sketch")]), "nodes")
-    met = clusters(docs, nodes, words, percent, site_sets, ring_sets)
-    wanted = written(nodes.join(met, "node").select(F.col("component").alias("region"), "node", "copies", "doc_id"), "wanted")
-    regions = written(_sets_of(docs, checked_broadcast(wanted, 48), words), "regions")
-    links = written(linked_sets(regions, percent, region_sets, region_shingles, leaf), "links")
+    names = Names(node_bits)
+    while True:
+        # sets are computed anew in each pass over the texts: that costs less than to keep them
+        sets = written(with_nodes(docs, words, percent, names), "sets")
+        about = [F.any_value(c).alias(c) for c in ("n", "ring", "sketch")]
+        nodes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *about, (F.min("second") != F.max("second")).alias("shared")), "nodes")
+        # different sets with one hash get other names: of 64-bit hashes a handful among 10^10 sets
+        shared = sets.join(nodes.where("shared").select("node"), "node", "left_semi").select("node", "second").distinct().collect()
+        if not shared:
+            break
+        names.other.update({(r["node"], r["second"]): names.renamed(r["node"], r["second"]) for r in shared})
+        discard(sets, nodes)
+    with scratch(docs.sparkSession):
+        met = clusters(docs, nodes, words, percent, names, site_sets, ring_sets)
+        wanted = written(nodes.join(met, "node").select(F.col("component").alias("region"), "node", "copies", "doc_id"), "wanted")
+        regions = written(_sets_of(docs, checked_broadcast(wanted, 48), words, names), "regions")
+        links = kept(written(linked_sets(regions, percent, region_sets, region_shingles, leaf), "links"))
     label = components(links.select(F.col("peer").alias("a"), F.col("node").alias("b")))
     count = links.groupBy("node").agg(F.sum("links").alias("links"))
     of = nodes.select("node", "doc_id", "copies").join(label, "node", "left").join(count, "node", "left")
@@ -531,7 +561,7 @@ def joined(
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = named.join(least, "component").select("node", "component", "component_id", "n_links")
     empty = F.col("n") == 0
-    return sets.drop("sketch", "ring").join(by_node, "node", "left").select(
+    return sets.drop("sketch", "ring", "second").join(by_node, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),

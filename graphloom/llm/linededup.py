@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bucketed, checked_broadcast, documents, fresh, written
+from .shared import bucketed, checked_broadcast, documents, fresh, kept, scratch, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -136,15 +136,17 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
 
     text becomes the kept lines joined by newline; a text that loses nothing stays as it is (null stays null).
     """
-    marks = repeated_lines(docs, min_chars, min_docs, batches)
-    if not counts:  # only texts that lose lines matter: few, as a rule, and counted before they are broadcast
-        marks = written(marks.where("n_dropped > 0"), "marks")
+    if counts:
+        marks = repeated_lines(docs, min_chars, min_docs, batches)
+    else:  # only texts that lose lines matter: few, as a rule, and counted before they are broadcast
+        with scratch(docs.sparkSession):
+            marks = kept(written(repeated_lines(docs, min_chars, min_docs, batches).where("n_dropped > 0"), "marks"))
         longest = marks.agg(F.max(F.size("dropped")).alias("n")).first()["n"] or 0
         marks = checked_broadcast(marks, 64 + 8 * longest)
     d, m = docs.alias("d"), marks.alias("m")
     both = d.join(m, F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.md5(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("m.text_key")), "left")
-    kept = F.filter(lines_of(F.col("d.text")), lambda x, i: F.getbit(F.element_at(F.col("m.dropped"), (F.floor(i / WORD) + 1).cast("int")), i % WORD) == 0)
-    text = F.when(F.coalesce("m.n_dropped", F.lit(0)) == 0, F.col("d.text")).otherwise(F.array_join(kept, "\n"))
+    left = F.filter(lines_of(F.col("d.text")), lambda x, i: F.getbit(F.element_at(F.col("m.dropped"), (F.floor(i / WORD) + 1).cast("int")), i % WORD) == 0)
+    text = F.when(F.coalesce("m.n_dropped", F.lit(0)) == 0, F.col("d.text")).otherwise(F.array_join(left, "\n"))
     return both.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns], *([F.col(f"m.{c}").alias(fresh(docs, c)) for c in ("n_lines", "n_dropped")] if counts else []))
 
 

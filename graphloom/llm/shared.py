@@ -54,21 +54,49 @@ def written(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> Dat
         df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    if _scopes:
+        _scopes[-1].append(path)
     return out
 
 
-#: Where written tables lie, for as long as their DataFrames are referred to.
+#: Where written tables lie, for as long as their DataFrames are referred to; and those of the scopes that are open.
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are removed at its end, but those that were kept: nothing outside may read the others."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """A written table that outlives the scope that it was written in; it belongs to the scope around that."""
+    path = _paths[table]
+    for k, scope in enumerate(_scopes):
+        if path in scope:
+            scope.remove(path)
+            if k:
+                _scopes[k - 1].append(path)
+    return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Removes written tables that nothing reads any more."""
+    """Removes written tables that nothing reads any more; other DataFrames are left alone."""
     for table in tables:
         path = _paths.pop(table, None)
         if path is not None:
-            jvm = table.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(table.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bucketed(df: DataFrame, key: str, name: str = "run") -> tuple[DataFrame, str]:
@@ -76,8 +104,11 @@ def bucketed(df: DataFrame, key: str, name: str = "run") -> tuple[DataFrame, str
     without shuffling or sorting them again."""
     spark = df.sparkSession
     n, table = partitions(spark), f"graphloom_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graphloom/{table}"
+    if _scopes:
+        _scopes[-1].append(path)
     with settings(spark, **{CLEANUP.replace(".", "__"): "true", ORDERED.replace(".", "__"): "true"}):
-        df.repartition(n, key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", f"{shared_dir(spark)}/graphloom/{table}").saveAsTable(table)
+        df.repartition(n, key).sortWithinPartitions(key).write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(table)
     return spark.table(table), table
 
 

@@ -45,7 +45,7 @@ def brute_join(rows, k, percent):
     return Counter((d, len(sets[i]), least.get(top(i)) if sets[i] else d, links[i]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize(("k", "percent", "kw"), [(4, 85, {}), (5, 80, {"leaf": 2}), (4, 85, {"region_sets": 4, "site_sets": 1}), (3, 60, {"region_sets": 6, "site_sets": 3, "ring_sets": 4})])
+@pytest.mark.parametrize(("k", "percent", "kw"), [(4, 85, {}), (4, 85, {"node_bits": 5}), (5, 80, {"leaf": 2}), (4, 85, {"region_sets": 4, "site_sets": 1}), (3, 60, {"region_sets": 6, "site_sets": 3, "ring_sets": 4})])
 def test_jaccard_join(spark, k, percent, kw):
     rng = random.Random(percent)
     rows = []
