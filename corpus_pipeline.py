@@ -12,17 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import jaccardjoin, langid, linededup, mixing, packing
-from graphloom.llm.shared import checked_broadcast, documents, fresh, written
+from graphloom.llm.shared import checked_broadcast, discard, documents, fresh, kept, scratch, written
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known; null texts and texts without letters are rejected."""
+    """Documents in a language that is known; null and empty texts and texts without letters are rejected, and so is every
+    document where none has a label to learn from. Repeated rows and ties go alike; columns of any name are kept."""
     names = tuple(fresh(docs, n) for n in langid.NAMES)
     return langid.identified(docs, langid.learned(docs), names=names).where(~F.col(names[2])).select(*_all(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without repeated lines; n_chars follows the text."""
+    """All documents, without repeated lines; n_chars follows the text, where there is such a column.
+
+    Null and empty texts stay as they are; repeated rows of a document lose the same lines; of documents that hold a line the
+    largest doc_id keeps it, a null doc_id counting as the smallest; columns of any name are kept."""
     out = linededup.drop_repeated_lines(docs, counts=False)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -49,12 +53,17 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: each file written from the result is a stretch of it."""
+    """All documents in the order of the mixture: each file written from the result is a stretch of it.
+
+    A null source is one of its own, null and empty texts have length 0, repeated rows follow one another, columns of any
+    name are kept."""
     return mixing.in_mixed_order(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents. Documents read from files are packed file by file, so that sequences follow the mixture."""
+    """The pieces of all documents. Documents read from files are packed file by file, so that sequences follow the mixture.
+
+    A null text is empty, an empty one is its end token alone; repeated rows are packed each; only doc_id and text are read."""
     if "text" not in docs.columns:
         raise ValueError("documents have a text")
     try:
@@ -76,12 +85,15 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The first, third and last stage are not expressible in SQL; tests compare them with brute force.
+#: The first, third and last stage are not expressible in SQL: tests compare the stages with the operators' results by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch(spark):  # what a stage writes on its way goes with it
+            docs = kept(written(stage(spark, before, sf_dir), name))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
