@@ -1,9 +1,10 @@
 """Licence scans, DataFrame functions only: sparse TF-IDF cosine of statements and whole files to templates, then inheritance.
 
-A text is cut into statements (at line ends and after . ; ! ?), as the templates are. Statements are vectors of term frequency
+A text is cut into statements (at line ends and after . ; ! ?), as the templates are; whole licence texts are further templates
+for whole documents alone. Statements are vectors of term frequency
 times inverse document frequency, the latter counted over all documents for the templates' terms; other terms weigh as terms
-that no document has. A statement within `least` of a template is a header. A file named like a licence, or whose whole text
-is within `least_file` of a template, is a licence file of its directory. A document without a header takes the licence of
+that no document has. A statement within `least` of a template is a header. A file named like a licence (within
+LEAST_NAMED of a template), or whose whole text is within `least_file` of one, is a licence file of its directory. A document without a header takes the licence of
 the nearest directory above it that has a licence file.
 
 A statement's licence is that of its best template. Of several headers a licence goes before a family of licences without a
@@ -54,9 +55,66 @@ TEMPLATES = (
     ),
     *((name, f"SPDX-License-Identifier: {name}{more}") for name in SPDX for more in (("", "-only", "-or-later") if "GPL" in name else ("",))),
 )
+#: Whole licence texts, and notices that files have in their place; they are compared with whole documents alone.
+FILES = (
+    (
+        "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License."
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. "
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
+        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+        "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. "
+        "In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
+)
 TERM = "[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 SPLITTER = r"\n|(?<=[.;!?])\s+"
 LEAST, LEAST_FILE = 0.8, 0.6
+#: What a file that is named like a licence must have in common with a template, at least.
+LEAST_NAMED = 0.3
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$"
 
 
@@ -70,8 +128,9 @@ def _values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    rows = _values(spark, [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template, licence, statement")
-    return rows.select("template", "licence", F.explode(terms_of(F.col("statement"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("term").alias("tf"))
+    """(template, licence, whole, term, tf): whole templates are those of FILES."""
+    rows = _values(spark, [(i, name, text) for i, (name, text) in enumerate((*TEMPLATES, *FILES))], "template, licence, statement").withColumn("whole", F.col("template") >= len(TEMPLATES))
+    return rows.select("template", "licence", "whole", F.explode(terms_of(F.col("statement"))).alias("term")).groupBy("template", "licence", "whole", "term").agg(F.count("term").alias("tf"))
 
 
 def _unseen(n: Column) -> Column:
@@ -108,13 +167,16 @@ def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: flo
     known = templates.select("term").distinct().join(df, "term", "left").join(F.broadcast(n)).select("term", (F.log((F.col("n_docs") + 1).cast("double") / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf"))
     weighted = templates.join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("template_norm"))
-    weighted = written(weighted.join(norm, "template").select("template", "licence", "term", (F.col("w") / F.col("template_norm")).alias("unit")), "licences-templates")
+    weighted = written(weighted.join(norm, "template").select("template", "licence", "whole", "term", (F.col("w") / F.col("template_norm")).alias("unit")), "licences-templates")
 
     # another pass: only texts and statements that can be near a template
-    marks = _marks([(r["template"], r["term"], r["unit"]) for r in weighted.select("template", "term", "unit").collect()], min(least, least_file))  # of the fixed templates alone
+    units = weighted.select("template", "whole", "term", "unit").collect()  # of the fixed templates alone
+    marks = _marks([(r["template"], r["term"], r["unit"]) for r in units], min(least, least_file))
+    marks_of_statements = _marks([(r["template"], r["term"], r["unit"]) for r in units if not r["whole"]], least)
     marked = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, marks))})(?![a-z0-9])"
+    in_statement = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, marks_of_statements))})(?![a-z0-9])"
     near = F.lower("text").rlike(marked)
-    statements = F.filter(F.transform(F.split("text", SPLITTER, -1), lambda x, i: F.struct(i.alias("pos"), x.alias("statement"))), lambda x: F.lower(x["statement"]).rlike(marked))
+    statements = F.filter(F.transform(F.split("text", SPLITTER, -1), lambda x, i: F.struct(i.alias("pos"), x.alias("statement"))), lambda x: F.lower(x["statement"]).rlike(in_statement))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     seen = rows.select("doc_id", "path", "text_key", F.when(near | named, statements).alias("statements"), F.when(near | named, F.col("text")).alias("text"))
     seen = written(seen, "licences-seen")
@@ -127,7 +189,7 @@ def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: flo
     tf = parts.select(*key, F.explode(terms_of(F.col("statement"))).alias("term")).groupBy(*key, "term").agg(F.count("term").alias("tf"))
     idf = tf.join(F.broadcast(known), "term", "left").join(F.broadcast(n)).select(*key, "term", (F.col("tf") * F.coalesce("idf", _unseen(F.col("n_docs")))).alias("w"))
     by = F.broadcast(weighted)  # a few hundred rows, whatever the input
-    hits = idf.join(by, "term").groupBy(*key, "template", "licence").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
+    hits = idf.join(by, "term").where("pos < 0 OR NOT whole").groupBy(*key, "template", "licence").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
     norms = idf.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     same = [hits[c].eqNullSafe(norms[c]) for c in key]
     scored = hits.join(norms, same).select(*[hits[c] for c in key], "licence", F.round(F.col("dot") / F.col("norm"), 4).alias("score"))
@@ -135,7 +197,7 @@ def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: flo
     rank = F.when(F.col("header.licence") == RESERVED, 2).when(F.col("header.licence").isin(*FAMILIES), 1).otherwise(0)
     header = scored.where((F.col("pos") >= 0) & (F.col("score") >= least)).groupBy(*key).agg(best.alias("header"))
     header = header.groupBy("doc_id", "path", "text_key").agg(F.min_by("header", F.struct(rank, -F.col("header.score"), F.col("header.licence"))).alias("header"))
-    whole = scored.where((F.col("pos") < 0) & ((F.col("score") >= least_file) | (F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) & (F.col("score") > 0)))).groupBy("doc_id", "path", "text_key").agg(best.alias("file"))
+    whole = scored.where((F.col("pos") < 0) & ((F.col("score") >= least_file) | (F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)) & (F.col("score") >= LEAST_NAMED)))).groupBy("doc_id", "path", "text_key").agg(best.alias("file"))
 
     def joined(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
         return a.join(b, [a[c].eqNullSafe(b[c]) for c in ("doc_id", "path", "text_key")], "left").select(*[a[c] for c in a.columns], value)
@@ -165,7 +227,7 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_templates() -> str:
-    return ", ".join(f"({i}, '{n}', '{s}')" for i, (n, s) in enumerate(TEMPLATES))
+    return ", ".join("({}, '{}', '{}')".format(i, n, s.replace("'", "''")) for i, (n, s) in enumerate((*TEMPLATES, *FILES)))
 
 
 OP2_SQL = rf"""
@@ -190,7 +252,7 @@ WITH docs AS (
 ), idf AS (SELECT doc_id, path, pos, term, tf * coalesce(idf, ln((n + 1)::DOUBLE) + 1) AS w FROM tf LEFT JOIN known USING (term), n
 ), scored AS (
   SELECT h.doc_id, h.path, h.pos, licence, round(dot / norm, 4) AS score
-  FROM (SELECT doc_id, path, pos, template, licence, sum(w * unit) AS dot FROM idf JOIN u USING (term) GROUP BY ALL) h
+  FROM (SELECT doc_id, path, pos, template, licence, sum(w * unit) AS dot FROM idf JOIN u USING (term) WHERE pos < 0 OR template < {len(TEMPLATES)} GROUP BY ALL) h
   JOIN (SELECT doc_id, pos, sqrt(sum(w * w)) AS norm FROM idf GROUP BY ALL) m ON h.doc_id = m.doc_id AND h.pos = m.pos
 ), named AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY score DESC, licence) AS k

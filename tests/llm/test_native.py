@@ -131,6 +131,23 @@ def test_licences(spark, odd, none):
     assert licenses.scanned(none, licenses.document_path()).count() == 0
 
 
+def test_licence_files(spark):
+    """Whole licence texts, with names, years and wrapped lines as files have them, and a file that is none of them."""
+    import textwrap
+
+    rows = [(f"r{i}/LICENSE.txt", "Copyright (c) 2021 Some One\n\n" + textwrap.fill(text, 70)) for i, (_, text) in enumerate(licenses.FILES)]
+    rows += [(f"plain{i}/readme", textwrap.fill(text, 60)) for i, (_, text) in enumerate(licenses.FILES)]
+    rows += [(f"r{i}/src/a.c", "int main() { return 0; }") for i in range(len(licenses.FILES))] + [("x/LICENSE", "recipes for soup and bread")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: (r["licence"], r["how"]) for r in licenses.scanned(df, F.col("path")).collect()}
+    for i, (name, _) in enumerate(licenses.FILES):
+        assert got[f"r{i}/LICENSE.txt"][0] == got[f"plain{i}/readme"][0] == name
+        if got[f"r{i}/LICENSE.txt"][1] == "file":
+            assert got[f"r{i}/src/a.c"] == (name, "inherited")
+    assert sum(how == "file" for _, how in got.values()) >= 8
+    assert got["x/LICENSE"] == (None, "none")
+
+
 def test_usual_notices(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
     grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:'
