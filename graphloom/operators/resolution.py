@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import LINKER_SUFFIXES, MERGER_SUFFIXES, compound_parts, normalized
@@ -88,19 +88,44 @@ def resolved(entities: DataFrame, threshold: float = FUZZY, known: dict[str, str
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold: float = FUZZY) -> DataFrame:
-    """Pairs within a block with token_sort_ratio >= threshold. Names whose lengths alone forbid the score never meet:
-    2 min / (min + max) bounds it, so a name meets only the lengths between."""
-    t = threshold / 100.0
+    """Pairs within a block with token_sort_ratio >= threshold, each pair of names scored once.
 
-    def scored(name: str) -> Column:
-        """Length of the form that is scored: words joined by one space."""
-        return F.length(F.regexp_replace(F.regexp_replace(F.lower(name), f"^{SPACES}|{SPACES}$", ""), SPACES, " "))
+    Names with words in order, a and b long, differ by d = a + b - 2 LCS insertions and deletions, and (1 - t)(a + b) >= d.
+    A deletion breaks two pairs of neighbouring letters, an insertion one, so the names share (1.5 t - 1)(a + b) - 1 pairs at
+    least. Each name therefore offers its rarest pairs, as many as must hold a shared one; only names that meet there, and
+    whose lengths fit, are scored. Names too short for that bound meet all those of lengths that fit."""
+    t = threshold / 100.0
 
-    n = scored("name")
-    a = left.withColumn("len", F.explode(F.sequence(F.ceil(n * t / (2 - t)).cast("int"), F.floor(n * (2 - t) / t).cast("int"))))
-    b = right.withColumnsRenamed({c: f"other_{c}" for c in right.columns if c not in block}).withColumn("len", scored("other_name"))
-    met = a.join(b, [*block, "len"]).drop("len")
-    return met.withColumn("score", token_sort_ratio(F.lower("name"), F.lower("other_name"))).where(F.col("score") >= threshold)
+    def names_of(df: DataFrame) -> DataFrame:
+        low = F.regexp_replace(F.regexp_replace(F.lower("name"), f"^{SPACES}|{SPACES}$", ""), SPACES, " ")
+        rows = df.select(*block, "name").distinct().withColumn("form", F.array_join(F.array_sort(F.split(low, " ")), " ")).withColumn("len", F.length("form"))
+        two = F.transform(F.when(F.col("len") > 1, F.sequence(F.lit(1), F.col("len") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.col("form").substr(i, F.lit(2)))
+        rows = rows.withColumn("two", two)
+        # the second of two equal pairs is another one
+        numbered = F.transform("two", lambda g, i: F.concat(g, F.size(F.filter(F.slice("two", 1, i), lambda x: x == g)).cast("string")))
+        least = F.ceil(2 * F.col("len") / (2 - t) * (1.5 * t - 1) - 1 - 1e-9).cast("int")
+        return rows.select(*block, "name", "len", numbered.alias("grams"), least.alias("least"))
+
+    def by_length(a: DataFrame, b: DataFrame) -> DataFrame:
+        n = F.col("len")
+        spread = a.select(*block, "name", F.explode(F.sequence(F.ceil(n * t / (2 - t) - 1e-9).cast("int"), F.floor(n * (2 - t) / t + 1e-9).cast("int"))).alias("len"))
+        return spread.join(b.select(*block, F.col("name").alias("other_name"), "len"), [*block, "len"]).select(*block, "name", "other_name")
+
+    a, b = names_of(left), names_of(right)
+    often = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def offered(of: DataFrame) -> DataFrame:
+        rows = of.where("least >= 1").select(*block, "name", "len", (F.size("grams") - F.col("least") + 1).alias("first"), F.explode("grams").alias("gram")).join(often, "gram")
+        rank = F.row_number().over(Window.partitionBy(*block, "name").orderBy("often", "gram"))
+        return rows.withColumn("rank", rank).where("rank <= first").select(*block, "gram", "name", "len")
+
+    x, y = offered(a), offered(b).withColumnsRenamed({"name": "other_name", "len": "other_len"})
+    fits = 2 * F.least("len", "other_len") >= (t - 1e-9) * (F.col("len") + F.col("other_len"))
+    met = x.join(y, [*block, "gram"]).where(fits).select(*block, "name", "other_name").distinct()
+    met = met.unionByName(by_length(a.where("least < 1"), b)).unionByName(by_length(a.where("least >= 1"), b.where("least < 1")))
+    scored = met.withColumn("score", token_sort_ratio(F.lower("name"), F.lower("other_name"))).where(F.col("score") >= threshold)
+    others = right.withColumnsRenamed({c: f"other_{c}" for c in right.columns if c not in block})
+    return left.join(scored, [*block, "name"]).join(others, [*block, "other_name"])
 
 
 def best_by_vector(queries: DataFrame, candidates: DataFrame, threshold: float = EMBEDDED) -> DataFrame:

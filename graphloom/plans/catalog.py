@@ -114,10 +114,10 @@ def neighborhood_edges(spark, sf_dir):
     return traversal.neighbourhood(demo.entities(spark, sf_dir), demo.edges(spark, sf_dir), FIRM, 2, 2_000_000_000)
 
 
-def _path_sql(start: str, goal: str, depth: int) -> str:
+def _path_sql(start: str, goal: str, depth: int, edges: str = "edges") -> str:
     """The least of the shortest paths: distances from the goal, then at each hop the least node that is one step nearer."""
-    return G.replace("WITH", "WITH RECURSIVE") + f"""
-, ends AS (SELECT DISTINCT a, rel_type, b FROM (SELECT src AS a, rel_type, dst AS b FROM edges UNION ALL SELECT dst, rel_type, src FROM edges))
+    return G.replace("WITH", "WITH RECURSIVE") + ALL_SQL + f"""
+, ends AS (SELECT DISTINCT a, rel_type, b FROM (SELECT src AS a, rel_type, dst AS b FROM {edges} UNION ALL SELECT dst, rel_type, src FROM {edges}))
 , t AS (SELECT '{goal}' AS node, 0 AS d UNION SELECT a, d + 1 FROM t JOIN ends ON b = node WHERE d < {depth})
 , far AS (SELECT node, min(d) AS d FROM t GROUP BY node)
 , nearer AS (
@@ -134,6 +134,12 @@ def shortest_path_hops(spark, sf_dir):
     return traversal.shortest_path(demo.edges(spark, sf_dir), PERSON, "AFRICA")
 
 
+@query(_path_sql(PERSON, "NATION_7", 6, "all_edges"))
+def document_path(spark, sf_dir):
+    """A path that may lead over documents that name two entities."""
+    return traversal.shortest_path(demo.edges(spark, sf_dir), PERSON, "NATION_7", 6, demo.mentions(spark, sf_dir))
+
+
 @query(_path_sql(PERSON, FIRM, 3))
 def relationship_question(spark, sf_dir):
     return ask.ask(f"Show the relationships between {PERSON.lower()} and c5?", demo.entities(spark, sf_dir), demo.edges(spark, sf_dir))[1]

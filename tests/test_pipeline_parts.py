@@ -1,11 +1,14 @@
 """Chunks, extraction, sources, registry and streaming."""
 
 import json
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions.similarity import token_sort_score
-from graphloom.operators import chunks, extraction, registry
+from graphloom.operators import chunks, extraction, registry, resolution
 from graphloom.plans import catalog
 from graphloom.sources import files, financial, html
 from graphloom.streaming import ingest
@@ -119,6 +122,32 @@ def test_registry_query_scores(spark, tmp_path):
     assert got == want and 4 in {t for t, _ in want.values()} and None in {t for t, _ in want.values()}
 
 
+@pytest.mark.parametrize("threshold", [60.0, 70.0, 85.0, 95.0])
+def test_scored_pairs_by_brute_force(spark, threshold):
+    rng = random.Random(int(threshold))
+    letters = ["ab", "abcdef ", "aé bank"]
+    names_ = {"".join(rng.choices(rng.choice(letters), k=rng.randrange(1, 24))) for _ in range(120)} | {"", " ", "x", "Acme  Corp", "corp acme", "ACME\tCORP", "Acme Corp Ltd", "a b c d e f g h", "h g f e d c b a"}
+    for n in sorted(names_)[:60]:
+        w = list(n)
+        for _ in range(rng.randrange(3)):
+            if w and rng.random() < 0.5:
+                del w[rng.randrange(len(w))]
+            else:
+                w.insert(rng.randrange(len(w) + 1), rng.choice("abc "))
+        names_.add("".join(w))
+    rows = sorted(names_)
+    left = spark.createDataFrame([(n, i % 2, i) for i, n in enumerate(rows)], "name string, block int, id int")
+    right = spark.createDataFrame([(n, i % 2, i) for i, n in enumerate(rows) for _ in range(1 + (i == 5))], "name string, block int, place int")
+    got = Counter((r["id"], r["other_place"], round(r["score"], 9)) for r in resolution.scored_pairs(left, right, ["block"], threshold).collect())
+    want = Counter()
+    for i, x in enumerate(rows):
+        for j, y in enumerate(rows):
+            score = token_sort_score(x.lower(), y.lower())
+            if i % 2 == j % 2 and score >= threshold:
+                want[i, j, round(score, 9)] += 1 + (j == 5)
+    assert got == want
+
+
 def test_streamed_upserts(spark, tmp_path):
     rows = [[(1, "A", "Company", ["x"], 0.5, {"k": "1"})], [(2, "A", "Bank", ["y"], 0.9, {"k": "2"}), (3, "B", "Bank", [], 0.1, {})]]
     for i, r in enumerate(rows):
@@ -144,6 +173,59 @@ def test_providers(spark):
     assert [(r["chunk_id"], r["mention"]) for r in g(c).collect()] == [(1, "Acme")]
 
 
+def test_hosted_model():
+    """Headers tell what is left; a refusal for too many requests leaves the response null; no answer means no models."""
+    answers = [(200, {"X-RateLimit-Remaining": "7", "x-ratelimit-reset": "90000"}, {"choices": [{"message": {"content": "{}"}}]}), (429, {"x-ratelimit-remaining": "0"}, {}), (200, {"x-ratelimit-remaining": "?"}, {"data": [{"id": "a"}, {"id": "b"}]}), (500, {}, {})]
+    asked = []
+
+    def transport(method, path, body):
+        asked.append((method, path, body))
+        if not answers:
+            raise ConnectionError
+        return answers.pop(0)
+
+    m = extraction.HostedModel(transport, "some-model")
+    assert m("read this") == "{}" and m.rate_limit() == {"remaining": 7, "reset": 90.0}
+    assert asked[0][2]["messages"][0]["content"] == extraction.system_prompt() and "OWNS_SHARES" in extraction.system_prompt() and "Person" in extraction.system_prompt()
+    with pytest.raises(extraction.RateLimited) as e:
+        m("more")
+    assert e.value.reset == 90.0 and m.remaining == 0
+    assert m.models() == ["a", "b"] and not m.available() and not m.available() and m.models() == []
+    answers.append((429, {}, {}))
+    assert extraction._completed(m, "x", 0, 0) is None
+
+
+def test_resolution_by_known_aliases_and_vectors(spark):
+    rows = spark.createDataFrame([(1, 0, "Poulina Group", "Group", [], 0.8), (1, 1, "PGH", "Group", [], 0.9), (1, 2, "the poultry firm", "Company", [], 0.7), (1, 3, "Other", "Company", [], 0.7)], "chunk_id int, pos int, name string, type string, aliases array<string>, confidence double")
+
+    def embed(names_):
+        return [[1.0, 0.1] if "Poul" in n or "poul" in n else [0.0, 1.0] for n in names_]
+
+    got = [(r["name"], r["aliases"], r["confidence"]) for r in resolution.resolved(rows, known={"pgh": "Poulina Group"}, embed=embed).collect()]
+    assert got == [("Poulina Group", ["PGH", "the poultry firm"], 0.9), ("Other", [], 0.7)]
+    assert len(resolution.resolved(rows).collect()) == 4
+
+
+def test_providers_get_context_and_names(spark):
+    from graphloom.plans.ingest import ingest as run
+
+    seen = []
+
+    def primary(c):
+        seen.append(c.columns)
+        rows_ = c.select("chunk_id", "names", "before", "after").collect()
+        seen.append({r["chunk_id"]: (r["names"], bool(r["before"]), bool(r["after"])) for r in rows_})
+        return extraction.verb_relations(c)
+
+    line = "Beta Ltd owns Acme Corp" + " and many words follow in this line" * 20
+    other = "Delta Inc owns Acme Corp and Beta Ltd" + " and many other words come in here" * 20
+    pages = spark.createDataFrame([("d", 1, line + "\n\n" + other)], "doc_id string, page_number int, text string")
+    graph = spark.createDataFrame([("Nothing", [], 1)], "name string, aliases array<string>, ord long")
+    out = run(pages, graph, extraction.capitalized_mentions, primary)
+    assert seen[1]["d#0"] == (["Beta Ltd", "Acme Corp"], False, True)
+    assert {r["name"] for r in out.entities.collect()} == {"Beta Ltd", "Acme Corp", "Delta Inc"}
+
+
 def test_ingest(spark):
     from graphloom.plans.ingest import ingest as run
 
