@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import LINKER_SUFFIXES, MERGER_SUFFIXES, compound_parts, normalized
-from ..functions.similarity import cosine, token_sort_ratio, token_sort_score
+from ..functions.similarity import token_sort_ratio, token_sort_score
 from ..storage import written
 
 FUZZY, EMBEDDED = 85.0, 0.85
@@ -128,12 +128,44 @@ def scored_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold:
     return left.join(scored, [*block, "name"]).join(others, [*block, "other_name"])
 
 
-def best_by_vector(queries: DataFrame, candidates: DataFrame, threshold: float = EMBEDDED) -> DataFrame:
-    """(id, best_id, similarity): the most similar candidate of each query, the smallest id of equal ones; both (id, block, vector)."""
-    c = candidates.select(F.col("id").alias("best_id"), "block", F.col("vector").alias("other"))
-    met = queries.join(c, "block").where("id <> best_id").select("id", "best_id", F.round(cosine(F.col("vector"), F.col("other")), 9).alias("similarity"))
-    best = met.groupBy("id").agg(F.max_by(F.struct("best_id", "similarity"), F.struct("similarity", -F.col("best_id"))).alias("b"))
-    return best.select("id", "b.*").where(F.col("similarity") >= threshold)
+#: Vectors of a block that are multiplied at once.
+TOGETHER = 2048
+
+
+def best_by_vector(queries: DataFrame, candidates: DataFrame, threshold: float = EMBEDDED, together: int = TOGETHER) -> DataFrame:
+    """(id, best_id, similarity): the most similar candidate of each query, the smallest id of equal ones; both (id, block, vector).
+
+    A block's queries and candidates are dealt into parts, and parts are multiplied as matrices: what leaves a product is one
+    row a query. A null or zero vector is like nothing."""
+    sizes = written(candidates.groupBy("block").agg(F.ceil(F.count("*") / together).cast("int").alias("parts")), "sizes")
+    rows = queries.select("id", "block", "vector").join(sizes.withColumnRenamed("parts", "shares"), "block")
+    asked = queries.groupBy("block").agg(F.ceil(F.count("*") / together).cast("int").alias("asked"))
+    q = rows.join(asked, "block").select("id", "block", "vector", F.pmod(F.xxhash64("id"), "asked").alias("of"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"))
+    c = candidates.select("id", "block", "vector").join(sizes, "block").join(asked, "block").select(*[F.col(x).alias(x) for x in ("id", "block", "vector")], F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("of"), F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    kind = dict(queries.dtypes)["id"]
+
+    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        whole = pdf[pdf["vector"].notna()]
+        v = np.stack([np.asarray(x, np.float64) for x in whole["vector"]]) if len(whole) else np.zeros((0, 1))
+        length = np.sqrt((v * v).sum(1))
+        return whole["id"].to_numpy()[length > 0], v[length > 0] / length[length > 0, None]
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        (ids, v), (others, w) = unit(x), unit(y)
+        order = np.argsort(others, kind="stable")  # of equal ones argmax takes the first
+        others, w = others[order], w[order]
+        if not len(ids) or not len(others):
+            return pd.DataFrame({"id": [], "best_id": [], "similarity": []})
+        near = np.round(v @ w.T, 9)
+        near[ids[:, None] == others[None, :]] = -np.inf
+        at = near.argmax(1)
+        out = pd.DataFrame({"id": ids, "best_id": others[at], "similarity": near[np.arange(len(ids)), at]})
+        return out[out["similarity"] > -np.inf]
+
+    key = ["block", "of", "part"]
+    found = q.withColumn("of", F.col("of").cast("int")).groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(best, f"id {kind}, best_id {kind}, similarity double")
+    top = found.groupBy("id").agg(F.max_by(F.struct("best_id", "similarity"), F.struct("similarity", -F.col("best_id"))).alias("b"))
+    return top.select("id", "b.*").where(F.col("similarity") >= threshold)
 
 
 def lookup_table(entities: DataFrame) -> DataFrame:

@@ -37,13 +37,16 @@ def neighbourhood(entities: DataFrame, edges: DataFrame, name: str, depth: int =
         raise ValueError("a neighbourhood has a depth from 1 to 3")
     ids = _numbered(edges if mentions is None else all_edges(edges, mentions))
     both = undirected(ids.select("src", "dst", "edge")).select("a", "b", "edge")
+    certain = entities.where(F.col("confidence") >= min_confidence)
+    ends = certain.where(seen_name(F.col("name"))).select(F.col("name").alias("node"))
     at = both.where(F.col("a") == name).select(F.col("b").alias("node"), F.array("edge").alias("trail"))
     found = at
     for _ in range(1, depth):
+        # shorter trails come first: where they are enough, longer ones aren't looked for
+        if found.join(ends, "node", "left_semi").limit(limit).count() >= limit:
+            break
         at = at.join(both.withColumnRenamed("a", "node"), "node").where(~F.array_contains("trail", F.col("edge"))).select(F.col("b").alias("node"), F.concat("trail", F.array("edge")).alias("trail"))
         found = found.unionByName(at)
-    certain = entities.where(F.col("confidence") >= min_confidence)
-    ends = certain.where(seen_name(F.col("name"))).select(F.col("name").alias("node"))
     # of trails with the same end, in the order of their edges
     trails = found.join(ends, "node", "left_semi").orderBy(F.size("trail"), "node", "trail").limit(limit)
     used = trails.select(F.explode("trail").alias("edge")).distinct()

@@ -148,6 +148,24 @@ def test_scored_pairs_by_brute_force(spark, threshold):
     assert got == want
 
 
+def test_best_vectors_in_parts(spark):
+    rng = random.Random(5)
+    rows = [(i, i % 2, [float(rng.randrange(-2, 3)) for _ in range(3)]) for i in range(60)] + [(60, 0, None), (61, 1, [0.0, 0.0, 0.0]), (62, 7, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, block int, vector array<double>")
+
+    def cos(x, y):
+        return round(sum(a * b for a, b in zip(x, y, strict=True)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5, 9)
+
+    want = {}
+    for i, b, x in rows:
+        near = [(-cos(x, y), j) for j, c, y in rows if x and y and any(x) and any(y) and b == c and i != j]
+        if near and -min(near)[0] >= 0.2:
+            want[i] = (min(near)[1], -min(near)[0])
+    for together in (7, 2048):
+        got = {r["id"]: (r["best_id"], round(r["similarity"], 9)) for r in resolution.best_by_vector(df, df, 0.2, together).collect()}
+        assert got == want
+
+
 def test_streamed_upserts(spark, tmp_path):
     rows = [[(1, "A", "Company", ["x"], 0.5, {"k": "1"})], [(2, "A", "Bank", ["y"], 0.9, {"k": "2"}), (3, "B", "Bank", [], 0.1, {})]]
     for i, r in enumerate(rows):
