@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -705,3 +706,21 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.rated(none, m).count() == 0
     flat = quality.learned(odd, labels.where("false"))
     assert quality.rated(odd, flat).where("NOT keep").count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="the driver's tables")
+def test_quality_held_out():
+    """Learnt from three quarters of the rated documents, by hash of their ids; judged on the others."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.1"
+    texts = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pandas().set_index("doc_id")["text"]
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pandas().sort_values("doc_id")
+    grades = np.where(labels["toxic"] == 1, 0, np.where(labels["quality"] == 0, 1, 2))
+    held = np.array([zlib.crc32(str(i).encode()) % 4 == 2 for i in labels["doc_id"]])
+    own = [texts[i] or "" for i in labels["doc_id"]]
+    model = quality.fit([t for t, h in zip(own, held, strict=True) if not h], grades[~held].tolist())
+    expected, _, keep = model.decide(pa.array([t for t, h in zip(own, held, strict=True) if h], pa.large_string()))
+    truth = grades[held]
+    assert keep[truth == 2].mean() > 0.96 and keep[truth == 0].mean() < 0.06 and keep[truth == 1].mean() < 0.15
+    assert expected[truth == 0].mean() < 0.6 < expected[truth == 1].mean() < 1.4 < expected[truth == 2].mean()
