@@ -314,14 +314,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> LanguageModel:
-    """Learns from labelled rows that are not held out: about train_chars characters of each language, picked by hash."""
+    """Learns from labelled rows that are not held out: about train_chars characters of each language, of whole texts picked by
+    hash; of a text that is longer than train_chars by itself, no more than that. Languages are as many as there are labels."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).collect()}
     if not totals:
         return fit([], [])
     share = F.create_map(*[F.lit(x) for k, n in totals.items() for x in (k, min(1.0, train_chars / max(n, 1)))])
     picked = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in picked.collect())
+    sample = sorted((r["doc_id"], r["lang"], r["text"]) for r in picked.withColumn("text", F.left("text", F.lit(train_chars))).collect())
     return fit([t for _, _, t in sample], [x for _, x, _ in sample])
 
 
