@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..model import ENTITY_TYPES
 from ..operators import chunks, curation, extraction, graph, registry, resolution, upserts
-from ..sources import files, html
+from ..sources import files, financial, html
 from ..storage import folder
 from . import demo
 from .catalog import ALL_SQL, G, LCS_SQL, MAPPING_SQL, NAMES_SQL, OVERVIEW_SQL, QUERIES, REGISTRY_SQL, _chunks, _html_sql, _names, _normal_sql, _registry, _shop_names, _supplier_mapping, _table, query
@@ -208,14 +208,17 @@ def _parts_of(out):
     return rows.unionByName(total)
 
 
-@query("""
+TRADES_SQL = """
 WITH p AS (SELECT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL HAVING count(*) >= 3),
 t AS (SELECT 'd' || o_custkey || '-' || l_suppkey AS doc, c_name, s_name, CASE WHEN o_custkey % 2 = 0 THEN 'owns' ELSE 'founded' END AS verb FROM p JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)
 SELECT 'entity' AS part, name AS a, 'Location' AS b, '' AS c, 0.8e0 AS confidence FROM (SELECT c_name AS name FROM t UNION SELECT s_name FROM t)
 UNION ALL SELECT 'edge', c_name || '>' || upper(replace(verb, 'founded', 'FOUNDED')) || '>' || s_name, c_name || ' ' || verb || ' ' || s_name, doc, 0.9e0 FROM t
 UNION ALL SELECT 'mention', c_name, doc, NULL, NULL FROM t UNION ALL SELECT 'mention', s_name, doc, NULL, NULL FROM t
 UNION ALL SELECT 'document', doc, doc || '#0', NULL, NULL FROM t
-UNION ALL SELECT 'totals', count(*) || ',' || count(*), 2 * count(*) || ',' || count(*), NULL, NULL FROM t""")
+UNION ALL SELECT 'totals', count(*) || ',' || count(*), 2 * count(*) || ',' || count(*), NULL, NULL FROM t"""
+
+
+@query(TRADES_SQL)
 def ingest_trades(spark, sf_dir):
     """From pages to rows for the graph: entities, edges, mentions, documents and totals."""
     from .ingest import ingest
@@ -224,6 +227,22 @@ def ingest_trades(spark, sf_dir):
     return _parts_of(ingest(_trade_pages(spark, sf_dir), known, extraction.capitalized_mentions, extraction.verb_relations))
 
 
+@query(TRADES_SQL)
+def reprocess_trades(spark, sf_dir):
+    """All pages anew, resolved by document."""
+    from .ingest import reprocess
+
+    return _parts_of(reprocess(_trade_pages(spark, sf_dir), extraction.capitalized_mentions, extraction.verb_relations))
+
+
+@query("SELECT 'part' || p_partkey AS name, 'Company' AS type, 0.95e0 AS confidence, 'https://companies.example/list/part' || p_partkey AS source FROM part")
+def placeholder_companies(spark, sf_dir):
+    """Companies of which only the id is known, as entities."""
+    ids = _table(spark, sf_dir, "part").select(F.concat(F.lit("part"), "p_partkey").alias("id"))
+    e = financial.company_graph(financial.placeholders(ids, "https://companies.example/list/"))[0]
+    return e.select("name", "type", "confidence", F.col("properties")["source"].alias("source"))
+
+
 @query()
 def ingest_documents(spark, sf_dir):
     """Whole documents from text to all rows for the graph; tests hold the steps against hand-made cases."""

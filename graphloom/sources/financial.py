@@ -18,6 +18,13 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def placeholders(ids: DataFrame, root: str) -> DataFrame:
+    """Company records of which only the id (id string) is known: it is the name, and the last step of the address."""
+    no = {c: F.lit(None) for c in ("ticker", "sector", "legal_form", "headquarters", "ipo_date", "ceo")}
+    rows = ids.select(F.col("id").alias("name"), *[v.cast("string").alias(c) for c, v in no.items()], F.lit(None).cast("double").alias("market_cap_tnd"), F.concat(F.lit(root.rstrip("/") + "/"), "id").alias("source_url"), F.array().cast(SHAREHOLDERS).alias("shareholders"))
+    return rows.select(*[c.split(" ")[0] for c in COMPANY.replace(SHAREHOLDERS, "array").split(", ")])
+
+
 def company_graph(companies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of companies, their shareholders and heads."""
     no = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))

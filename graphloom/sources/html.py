@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,27 @@ def visible(html: Column, between: str) -> Column:
     return text
 
 
+def fetched(addresses: DataFrame, fetch: Callable[[str], str | None], wait: float = 2.0) -> DataFrame:
+    """addresses (page_id, url) with html, by a function that the caller gives (with its own time-out): null where it fails.
+    Each task waits so many seconds between two requests; the number of tasks bounds the requests at one time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0.0
+        for batch in batches:
+            found = []
+            for url in batch["url"]:
+                time.sleep(max(0.0, last + wait - time.monotonic()) if last else 0.0)
+                last = time.monotonic()
+                try:
+                    found.append(fetch(url))
+                except Exception:  # noqa: BLE001  a page that can't be had is left out by what reads it
+                    found.append(None)
+            yield batch.assign(html=pd.Series(found, dtype=object, index=batch.index))
+
+    kind = dict(addresses.dtypes)["page_id"]
+    return addresses.select("page_id", "url").mapInPandas(run, f"page_id {kind}, url string, html string")
+
+
 def _found(html: Column, pattern: str) -> Column:
     return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -72,6 +73,18 @@ def test_html(spark):
     assert html.article_files(html.articles(p), F.lit("2024-01-02")).first()["file_name"] == "2024-01-02_generic_t___u.txt"
 
 
+def test_fetched_pages(spark):
+    def fetch(url):
+        if "bad" in url:
+            raise TimeoutError
+        return None if "none" in url else f"<h1>{url}</h1>"
+
+    a = spark.createDataFrame([(1, "http://a"), (2, "http://bad"), (3, "http://none")], "page_id int, url string").coalesce(1)
+    began = time.monotonic()
+    got = {r["page_id"]: r["html"] for r in html.fetched(a, fetch, wait=0.3).collect()}
+    assert got == {1: "<h1>http://a</h1>", 2: None, 3: None} and time.monotonic() - began >= 0.6
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"page one")
     (tmp_path / "b.txt").write_bytes(b"no")
@@ -244,6 +257,17 @@ def test_providers_get_context_and_names(spark):
     assert {r["name"] for r in out.entities.collect()} == {"Beta Ltd", "Acme Corp", "Delta Inc"}
 
 
+def test_reprocessing_resolves_over_documents(spark):
+    from graphloom.plans.ingest import reprocess
+
+    first = "Acme Corp owns Beta Ltd" + " and many words follow in this line" * 28
+    second = "ACME CORP acquired Gamma Inc" + " and many other words come in here" * 28
+    pages = spark.createDataFrame([("d", 1, first + "\n\n" + second)], "doc_id string, page_number int, text string")
+    out = reprocess(pages, extraction.capitalized_mentions, extraction.verb_relations)
+    assert {r["name"] for r in out.entities.collect()} == {"Acme Corp", "Beta Ltd", "Gamma Inc"}
+    assert {(r["src"], r["rel_type"], r["dst"]) for r in out.edges.collect()} == {("Acme Corp", "OWNS", "Beta Ltd"), ("Acme Corp", "ACQUIRED", "Gamma Inc")}
+
+
 def test_ingest(spark):
     from graphloom.plans.ingest import ingest as run
 
