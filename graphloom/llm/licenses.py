@@ -137,22 +137,36 @@ def _unseen(n: Column) -> Column:
     return F.log((n + 1).cast("double")) + 1
 
 
-def _marks(units: list[tuple[int, str, float]], least: float) -> list[str]:
-    """Terms of which a text has one at least if its cosine to a template is `least` or more.
+def _marks(units: list[tuple[int, str, float, float]], least: float) -> list[str]:
+    """Terms of which a text has one at least if its cosine to a template is `least` or more; units: (template, term, unit, idf).
 
-    A template's other terms weigh less than `least` together, and by Cauchy-Schwarz that bounds the cosine without its marks."""
+    A template's other terms, its commonest ones, weigh less than `least` together, and by Cauchy-Schwarz that bounds the
+    cosine of a text without its marks."""
     out = set()
-    for template in {t for t, _, _ in units}:
+    for template in {t for t, _, _, _ in units}:
         # scores are rounded to 4 digits before they are compared
-        rest, bound = 1.0, max(0.0, least - 1e-4) ** 2
-        for square, term in sorted(((u * u, term) for t, term, u in units if t == template), reverse=True):
-            if rest < bound:
-                break
-            out.add(term)
-            rest -= square
+        left, bound = 0.0, max(0.0, least - 1e-4) ** 2
+        for _, term, square in sorted((idf, term, u * u) for t, term, u, idf in units if t == template):
+            left += square
+            if left >= bound:
+                out.add(term)
     return sorted(out)
 
 
+def _pattern(words: list[str]) -> str:
+    """A regular expression of the words, by common beginnings: a text's letters are compared with few alternatives at a time."""
+    if words == [""]:
+        return ""
+    heads = sorted({w[0] for w in words if w})
+    rest = [re.escape(h) + _pattern([w[1:] for w in words if w[:1] == h]) for h in heads]
+    # the longest word first; what follows a word is looked at by the caller
+    return (rest[0] if len(rest) == 1 and "" not in words else f"(?:{'|'.join(rest)})") + ("?" if "" in words else "")
+
+
+def _holds(words: list[str]) -> str:
+    return rf"(?<![a-z0-9]){_pattern(words)}(?![a-z0-9])"
+
+
 def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: float = LEAST_FILE) -> DataFrame:
     """(doc_id, path, licence, how, score) for each row of docs; path may use its columns."""
     spark = docs.sparkSession
@@ -170,11 +184,9 @@ def scanned(docs: DataFrame, path: Column, least: float = LEAST, least_file: flo
     weighted = written(weighted.join(norm, "template").select("template", "licence", "whole", "term", (F.col("w") / F.col("template_norm")).alias("unit")), "licences-templates")
 
     # another pass: only texts and statements that can be near a template
-    units = weighted.select("template", "whole", "term", "unit").collect()  # of the fixed templates alone
-    marks = _marks([(r["template"], r["term"], r["unit"]) for r in units], min(least, least_file))
-    marks_of_statements = _marks([(r["template"], r["term"], r["unit"]) for r in units if not r["whole"]], least)
-    marked = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, marks))})(?![a-z0-9])"
-    in_statement = rf"(?<![a-z0-9])(?:{'|'.join(map(re.escape, marks_of_statements))})(?![a-z0-9])"
+    units = weighted.join(known, "term").select("template", "whole", "term", "unit", "idf").collect()  # of the fixed templates alone
+    marked = _holds(_marks([(r["template"], r["term"], r["unit"], r["idf"]) for r in units], min(least, least_file)))
+    in_statement = _holds(_marks([(r["template"], r["term"], r["unit"], r["idf"]) for r in units if not r["whole"]], least))
     near = F.lower("text").rlike(marked)
     statements = F.filter(F.transform(F.split("text", SPLITTER, -1), lambda x, i: F.struct(i.alias("pos"), x.alias("statement"))), lambda x: F.lower(x["statement"]).rlike(in_statement))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))

@@ -177,9 +177,15 @@ def test_templates_are_statements_and_marks_miss_nothing():
     import re
 
     assert all(len(re.split(licenses.SPLITTER, t)) == 1 for _, t in licenses.TEMPLATES)
-    units = [(0, "a", 0.7), (0, "b", 0.6), (0, "c", 0.3), (0, "d", (1 - 0.7**2 - 0.6**2 - 0.3**2) ** 0.5)]
-    marks = licenses._marks(units, 0.6)
-    assert sum(u * u for _, t, u in units if t not in marks) < 0.36 and "c" not in marks
+    units = [(0, "a", 0.7, 1.0), (0, "b", 0.6, 3.0), (0, "c", 0.3, 2.0), (0, "d", (1 - 0.7**2 - 0.6**2 - 0.3**2) ** 0.5, 0.5)]
+    marks = licenses._marks(units, 0.6)  # d and a are the commonest, and too much together
+    assert marks == ["a", "b", "c"] and sum(u * u for _, t, u, _ in units if t not in marks) < 0.36
+    assert licenses._marks(units, 0.9) == ["b"] and sum(u * u for _, t, u, _ in units if t != "b") < 0.81
+    words = ["a", "ab", "abc", "apache", "bsd-3-clause", "2.0", "b", "cc"]
+    pattern = re.compile(licenses._holds(words))
+    for text in [*words, "x", "abd", "ab c", "an apache.", "apaches", "bsd-3", "2.01", "v2.0", "(2.0)", "abcd", "cca", "a-b"]:
+        found = {m for m in words if re.search(rf"(?<![a-z0-9]){re.escape(m)}(?![a-z0-9])", text)}
+        assert bool(pattern.search(text)) == bool(found), text
 
 
 def test_weights_follow_random_quanta(spark):
