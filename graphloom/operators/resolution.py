@@ -111,7 +111,8 @@ def scored_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold:
         spread = a.select(*block, "name", F.explode(F.sequence(F.ceil(n * t / (2 - t) - 1e-9).cast("int"), F.floor(n * (2 - t) / t + 1e-9).cast("int"))).alias("len"))
         return spread.join(b.select(*block, F.col("name").alias("other_name"), "len"), [*block, "len"]).select(*block, "name", "other_name")
 
-    a, b = names_of(left), names_of(right)
+    # both are read several times: as written tables, whatever it took to make them
+    a, b = written(names_of(left), "names"), written(names_of(right), "names")
     often = a.unionByName(b).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
 
     def offered(of: DataFrame) -> DataFrame:
