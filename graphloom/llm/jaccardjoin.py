@@ -268,10 +268,14 @@ def close_sets(sites: DataFrame, percent: int) -> DataFrame:
 
 
 def sites_of(docs: DataFrame, words: int, percent: int, site_sets: int, names: Names) -> tuple[DataFrame, DataFrame]:
-    """(region, node): the sites with several sets, each list of sets once; and the large ones, as clusters where they overlap."""
-    deal = with_parts(docs, words, percent, site_sets, names)
+    """(region, node): the sites with several sets, each list of sets once; and the large ones, as clusters where they overlap.
+
+    Copies in several tasks give a part the same node several times: a list's name is of sums (of 32 bits each, so none overflows),
+    in which, unlike in an exclusive or, no even number of copies cancels out; and copies of one set alone are no site."""
+    deal = with_parts(docs, words, percent, site_sets, names).withColumn("hash", F.xxhash64("node"))
     over = "over (partition by part)"
-    met = deal.selectExpr("node", f"sum(sets) {over} AS sets", f"min(node) {over} AS low", f"bit_xor(node) {over} AS x", f"bit_xor(xxhash64(node)) {over} AS y").where("sets > 1")
+    sums = (f"sum(hash & 4294967295) {over} AS x", f"sum(shiftrightunsigned(hash, 32)) {over} AS y")
+    met = deal.selectExpr("node", f"sum(sets) {over} AS sets", f"min(node) {over} AS low", f"max(node) {over} AS high", *sums).where("low <> high")
     small = F.col("sets") <= site_sets
     sites = written(met.select("node", F.when(small, F.xxhash64("x", "y")).alias("region"), F.when(~small, F.col("low")).alias("low")).distinct(), "sites")
     large = components(sites.where("low IS NOT NULL").select(F.col("low").alias("a"), F.col("node").alias("b")))

@@ -76,6 +76,22 @@ def test_jaccard_join_parts_a_chain(spark, monkeypatch):
     assert True in parted
 
 
+def test_sites_of_copies_in_several_tasks_stay_apart(spark):
+    """An even number of copies of a set, each read by another task, puts it into no site with other such sets."""
+    texts = [" ".join(f"t{i}w{j}" for j in range(40)) for i in range(150)]
+    near = [" ".join([*t.split()[:-1], "other"]) for t in texts[:30]]
+    parts = [[(1000 * k + i, t) for i, t in enumerate(rows)] for k, rows in enumerate((texts, texts, near, near, near[:10]))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, len(parts)).flatMap(list), "doc_id long, text string")
+    small, large = jaccardjoin.sites_of(df, 4, 85, jaccardjoin.SITE_SETS, jaccardjoin.Names())
+    sites = {}
+    for r in small.collect():
+        sites.setdefault(r["region"], set()).add(r["node"])
+    assert large.count() == 0
+    assert {len(x) for x in sites.values()} == {2} and len(set().union(*sites.values())) == 60
+    got = Counter(tuple(r) for r in jaccardjoin.joined(df, 4, 85).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+    assert got == brute_join([r for rows in parts for r in rows], 4, 85)
+
+
 def test_jaccard_join_splits_by_pivots_at_default_sizes(spark):
     """Links of a cluster come out of regions around pivots; differences from a pivot give the same links."""
     rng = random.Random(9)
