@@ -24,6 +24,7 @@ are told apart by 128 bits of hashes, their shingles by 64.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -51,6 +52,8 @@ PARTED = 0.5
 #: A task deals out the parts of a set once, as far as it remembers so many sets: copies meet by their node alone.
 REMEMBERED = 500_000
 DEALS = 256
+#: Tables of pairs of sets, and shingles of a region, are worked on so many numbers at a time.
+STEP = 1 << 18
 
 _U = np.uint64
 _ONE = mix(np.arange(1, 65, dtype=_U)) | _U(1)
@@ -217,8 +220,11 @@ def _least_met(met: np.ndarray) -> np.ndarray:
     """For each row of a symmetric table of meetings the least row that it is joined to, over any number of meetings."""
     n = len(met)
     label = np.arange(n, dtype=np.int32)
+    step = max(1, STEP // max(n, 1))
     while True:
-        least = np.minimum(label, np.where(met, label[None, :], np.int32(n)).min(1, initial=n))
+        least = label.copy()
+        for a in range(0, n, step):
+            np.minimum(least[a : a + step], np.where(met[a : a + step], label[None, :], np.int32(n)).min(1, initial=n), out=least[a : a + step])
         least = least[least]
         if (least == label).all():
             return label
@@ -231,7 +237,7 @@ def _close(n: list[int], sketches: list[bytes], percent: int) -> np.ndarray:
     sketch = np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in sketches]).view(_U)
     sizes = np.array(n)
     met = np.zeros((k, k), bool)
-    step = max(1, (4 << 20) // (k * sketch.shape[1]))
+    step = max(1, STEP // (k * sketch.shape[1]))
     for a in range(0, k, step):
         differ = np.bitwise_count(sketch[a : a + step, None, :] ^ sketch[None, :, :]).sum(2, dtype=np.int64)
         met[a : a + step] = differ * (100 + percent) <= (100 - percent) * (sizes[a : a + step, None] + sizes[None, :])
@@ -404,13 +410,26 @@ def _from_pivot(regions: DataFrame) -> DataFrame:
 
 
 def _sets_in(table: pa.Table, pick: np.ndarray) -> list[np.ndarray]:
-    """The shingles of the picked rows; in blocks, those that their difference holds, with the pivot's by their places."""
-    bits, out = table["bits"].to_numpy(), []
+    """The shingles of the picked rows; in blocks, those that their difference holds, with the pivot's by their places.
+
+    Where a difference has no places, they are read where they lie in the table."""
+    bits, out, starts, chunks = table["bits"].to_numpy(), [], [0], []
+    for c in table["shingles"].chunks:
+        at = np.frombuffer(c.buffers()[1], np.int64 if pa.types.is_large_binary(c.type) else np.int32)[c.offset : c.offset + len(c) + 1]
+        chunks.append((at, c.buffers()[2]))
+        starts.append(starts[-1] + len(c))
     for i in pick.tolist():
-        raw = table["shingles"][i].as_py()
+        k = bisect_right(starts, i) - 1
+        at, data = chunks[k]
+        a, z = at[i - starts[k] : i - starts[k] + 2].tolist()
         whole = (int(bits[i]) + 7) // 8
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(raw[:whole], np.uint8), count=int(bits[i]))) if whole else []
-        further = np.frombuffer(raw[whole:], _U)
+        if data is None or a == z:
+            out.append(np.zeros(0, _U))
+            continue
+        raw = np.frombuffer(data, np.uint8)
+        further = raw[a + whole : z]
+        further = further.view(_U) if (a + whole) % 8 == 0 else further.copy().view(_U)
+        places = np.flatnonzero(np.unpackbits(raw[a : a + whole], count=int(bits[i]))) if whole else []
         out.append(np.concatenate([np.asarray(places, _U), further]) if whole else further)
     return out
 
@@ -426,8 +445,13 @@ class Region:
         self.n, self.percent, self.splits = n, percent, 0
         self.size = n if size is None else size
         self.at = np.append(0, np.cumsum([len(s) for s in shingles]))
-        distinct, self.columns = np.unique(np.concatenate(shingles), return_inverse=True)
+        distinct = np.concatenate(shingles)
+        distinct.sort()
+        distinct = distinct[np.append(True, distinct[1:] != distinct[:-1])[: len(distinct)]]
         self.width = len(distinct)
+        self.columns = np.empty(self.at[-1], np.int32)
+        for s, a in zip(shingles, self.at.tolist(), strict=False):
+            self.columns[a : a + len(s)] = np.searchsorted(distinct, s)
 
     def of(self, i: int) -> np.ndarray:
         return self.columns[self.at[i] : self.at[i + 1]]
@@ -438,15 +462,18 @@ class Region:
             sets = [self.of(i) for i in rows]
             starts = np.cumsum([0, *[len(s) for s in sets]])
             columns, mark = np.concatenate(sets), np.zeros(self.width, bool)
+            before = np.zeros(len(columns) + 1, np.int32)
             d: list[np.ndarray] = []
             pivot = 0
             while len(d) < PIVOTS and (not d or np.min(d, axis=0)[pivot] > 0):  # the next pivot is the set farthest from all
                 mark[sets[pivot]] = True
-                shared = np.diff(np.append(0, np.cumsum(mark[columns]))[starts])
+                np.cumsum(mark[columns], out=before[1:])
+                shared = np.diff(before[starts])
                 mark[sets[pivot]] = False
                 d.append(1 - shared / (self.n[rows] + self.n[rows[pivot]] - shared))
                 pivot = int(np.argmax(np.min(d, axis=0)))
             near, may = _windows(np.column_stack(d), self.percent)
+            del sets, columns, mark, before  # its children have their own
             self.splits += 1
             if (may.sum(0).astype(float) ** 2).sum() <= PARTED * len(rows) ** 2:
                 for q in range(len(d)):
@@ -454,24 +481,47 @@ class Region:
                 return
         yield rows, home
 
-    def differences(self, rows: np.ndarray) -> np.ndarray:
-        """How many shingles each two of the rows differ in."""
-        sets, size = [self.of(i) for i in rows], self.size[rows]
-        which, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
-        shared = often[column] > 1
-        column = (np.cumsum(often > 1) - 1)[column[shared]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[shared][order], column[order]
+    def common(self, rows: np.ndarray) -> np.ndarray:
+        """How many shingles each two of the rows share."""
+        sets = [self.of(i) for i in rows]
+        ends = np.cumsum([0, *[len(s) for s in sets]])
+        keys = np.empty(ends[-1], np.int64)  # a column's rows lie together, in one array that is sorted in its place
+        for i, s in enumerate(sets):
+            keys[ends[i] : ends[i + 1]] = (s.astype(np.int64) << 32) | i
+        keys.sort()
         common = np.zeros((len(rows), len(rows)), np.float32)
-        width = 4096
-        for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, z = np.searchsorted(column, [c, c + width])
-            present, local = np.unique(row[a:z], return_inverse=True)
-            dense = np.zeros((len(present), width), np.float32)
-            dense[local, column[a:z] - c] = 1
-            common[np.ix_(present, present)] += dense @ dense.T
-        return size[:, None] + size[None, :] - 2 * common.astype(np.int64)
+        width = max(64, min(4096, 8 * STEP // max(len(rows), 1)))
+        a = 0
+        while a < len(keys):
+            z = a + STEP
+            z = int(np.searchsorted(keys, (keys[z - 1] >> 32) + 1 << 32)) if z < len(keys) else len(keys)  # whole columns
+            column, row = keys[a:z] >> 32, keys[a:z] & 0xFFFFFFFF
+            number = np.cumsum(np.append(False, column[1:] != column[:-1]))
+            often = np.bincount(number)
+            shared = often[number] > 1
+            column, row = (np.cumsum(often > 1) - 1)[number[shared]], row[shared]
+            for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+                i, j = np.searchsorted(column, [c, c + width])
+                present, local = np.unique(row[i:j], return_inverse=True)
+                dense = np.zeros((len(present), width), np.float32)
+                dense[local, column[i:j] - c] = 1
+                if len(present) == len(rows):
+                    common += dense @ dense.T
+                else:
+                    common[np.ix_(present, present)] += dense @ dense.T
+            a = z
+        return common
+
+    def linked(self, rows: np.ndarray) -> np.ndarray:
+        """Whether each two of the rows are alike enough, each of them with itself too."""
+        common, size, n = self.common(rows), self.size[rows], self.n[rows]
+        linked = np.empty(common.shape, bool)
+        step = max(1, STEP // max(len(rows), 1))
+        for a in range(0, len(rows), step):
+            few = slice(a, a + step)
+            differ = size[few, None] + size[None, :] - 2 * common[few].astype(np.int64)
+            linked[few] = differ * (100 + self.percent) <= (100 - self.percent) * (n[few, None] + n[None, :])
+        return linked
 
 
 def joined_region(table: pa.Table, percent: int, leaf: int = LEAF) -> pa.Table:
@@ -483,12 +533,12 @@ def joined_region(table: pa.Table, percent: int, leaf: int = LEAF) -> pa.Table:
     blocks = (side >= 0).any()
     every = np.arange(len(node))
     for rows, own in [(every, home)] if blocks else region.leaves(every, home, leaf):
-        linked = region.differences(rows) * (100 + percent) <= (100 - percent) * (n[rows, None] + n[None, rows])
+        linked = region.linked(rows)
         np.fill_diagonal(linked, False)
         if blocks:
             linked &= side[:, None] != side[None, :]
         linked &= np.where(rows[:, None] < rows[None, :], own[:, None], own[None, :])  # rows are in the order of nodes
-        found.append((node[rows], node[rows[_least_met(linked)]], (linked * copies[None, rows]).sum(1)))
+        found.append((node[rows], node[rows[_least_met(linked)]], linked @ copies[rows]))
     return pa.table({c: np.concatenate([f[k] for f in found]).astype(np.int64) for k, c in enumerate(("node", "peer", "links"))})
 
 

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -127,6 +128,39 @@ def test_jaccard_join_splits_by_pivots_at_default_sizes(spark):
     assert got == brute_join(rows, 4, 85)
 
 
+def test_a_region_takes_a_few_times_its_own_memory():
+    """Two workers share an executor, each with a region of up to REGION_SHINGLES shingles: its tables are no more than a few copies of them."""
+    rng = np.random.default_rng(6)
+    pool, sets, rows = rng.integers(1, 1 << 63, 4000, dtype=np.uint64), 1000, []
+    for _ in range(sets):
+        rows.append(np.unique(pool[rng.random(4000) > 0.02]))
+    n = [len(x) for x in rows]
+    for blocks in (False, True):  # in blocks the pivot has no shingles here
+        table = pa.table({"region": [1] * sets, "node": list(range(sets)), "copies": [1 + i % 3 for i in range(sets)], "home": [True] * sets, "side": [i % 2 if blocks else -1 for i in range(sets)], "n": n, "size": n, "bits": [0] * sets, "shingles": [x.tobytes() for x in rows]}, schema=jaccardjoin.REGION_ARROW)
+        tracemalloc.start()
+        out = jaccardjoin.joined_region(table, 85)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 4 * 8 * sum(n)
+        marks = np.zeros((sets, 4000), np.float32)
+        place = {x: i for i, x in enumerate(pool.tolist())}
+        for i, x in enumerate(rows):
+            marks[i, [place[v] for v in x.tolist()]] = 1
+        both = (marks @ marks.T).astype(np.int64)
+        want = 100 * both >= 85 * (np.add.outer(n, n) - both)
+        np.fill_diagonal(want, False)
+        if blocks:
+            want &= np.not_equal.outer(np.arange(sets) % 2, np.arange(sets) % 2)
+        assert out["node"].to_pylist() == list(range(sets)) and want.any()
+        assert out["links"].to_pylist() == (want * (1 + np.arange(sets) % 3)).sum(1).tolist()
+        sketches = [jaccardjoin._sketch(x) for x in rows]
+        tracemalloc.start()
+        label = jaccardjoin._close(n, sketches, 85)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert not label.any() and most < 6 * sum(map(len, sketches))
+
+
 def test_sketches_differ_in_no_more_cells_than_sets_in_shingles():
     rng = np.random.default_rng(5)
     for _ in range(200):
