@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import LINKER_SUFFIXES, MERGER_SUFFIXES, compound_parts, normalized
-from ..functions.similarity import token_sort_ratio, token_sort_score
+from ..functions.similarity import sorted_tokens, token_sort_ratio
 from ..storage import written
 
 FUZZY, EMBEDDED = 85.0, 0.85
@@ -28,12 +29,209 @@ ACRONYMS = {
 Embedding = Callable[[list[str]], np.ndarray]
 
 
+#: Up to so many forms of names each is compared; beyond, they are sought by what is left when one or two letters are taken out.
+FEW = 48
+#: Entries at most of the forms with two letters taken out; lengths beyond that are compared form by form, on vectors.
+TWICE_TAKEN = 4_000_000
+_ALL = np.uint64(2**64 - 1)
+
+
+def _letters(s: str) -> int:
+    """A bit for each letter, modulo 64: forms whose bits differ in n places are n insertions and deletions apart at least."""
+    out = 0
+    for c in set(s):
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+def _without(s: str) -> set[str]:
+    return {s[:k] + s[k + 1 :] for k in range(len(s))}
+
+
+def _without_two(s: str) -> set[str]:
+    return {s[:k] + s[k + 1 : j] + s[j + 1 :] for k in range(len(s)) for j in range(k + 1, len(s))}
+
+
+class _Forms:
+    """The forms (words in order) of the names so far, each with the first entity that has it, and the best score among them.
+
+    With d insertions and deletions between forms as long as a and b, the score is 100 (1 - d / (a + b)). Those up to d = 2 are
+    found by their common subsequence, whatever their number: an entry keeps the first entity alone, as all that meet there
+    score the same. Only where these don't settle it, forms whose lengths and letters fit are compared, all at once."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.first, self.lengths = threshold, {}, {}
+        self.one: dict[int, dict[str, int]] | None = None
+        self.two: dict[int, dict[str, int]] = {}
+        self.taken = 0
+
+    def add(self, form: str, i: int) -> None:
+        old = self.first.get(form)
+        if old is not None and old <= i:
+            return
+        self.first[form] = i
+        if self.one is not None:
+            self._index(form, i, old is None)
+        elif len(self.first) > FEW:
+            self.one = {}
+            for f, k in self.first.items():
+                self._index(f, k, True)
+
+    def _index(self, form: str, i: int, new: bool) -> None:
+        n = len(form)
+        if new:
+            self.lengths.setdefault(n, _Column(n)).add(form)
+        at = self.one.setdefault(n, {})
+        for key in _without(form):
+            if at.get(key, i) >= i:
+                at[key] = i
+        if n in self.two:
+            self._two(form, i)
+
+    def _two(self, form: str, i: int) -> None:
+        n = len(form)
+        if self.taken > TWICE_TAKEN:
+            del self.two[n]
+            return
+        at = self.two[n]
+        before = len(at)
+        for key in _without_two(form):
+            if at.get(key, i) >= i:
+                at[key] = i
+        self.taken += len(at) - before
+
+    def _has_two(self, n: int) -> bool:
+        if n not in self.two and self.taken + len(self.lengths[n].forms) * n * (n - 1) // 2 <= TWICE_TAKEN:
+            self.two[n] = {}
+            for form in self.lengths[n].forms:
+                if n in self.two:
+                    self._two(form, self.first[form])
+        return n in self.two
+
+    def best(self, s: str) -> int | None:
+        """The first entity of those with the best score, if that reaches the threshold."""
+        if s in self.first:
+            return self.first[s] if self.threshold <= 100.0 else None
+        found = self._scan(s) if self.one is None else self._sought(s)
+        return found[1] if found is not None and found[0] >= self.threshold else None
+
+    def _scan(self, s: str) -> tuple[float, int] | None:
+        a, mine, where = len(s), _letters(s), _places(s)
+        best, at = self.threshold, None
+        for form, i in self.first.items():
+            b = len(form)
+            if 200.0 * min(a, b) < best * (a + b) - 1e-6 or (mine ^ _letters(form)).bit_count() > (1.0 - best / 100.0) * (a + b) + 1e-6:
+                continue
+            score = 200.0 * _common(where, a, form) / (a + b) if a or b else 100.0
+            if score > best or (score == best and (at is None or i < at)):
+                best, at = score, i
+        return None if at is None else (best, at)
+
+    def _sought(self, s: str) -> tuple[float, int] | None:
+        a, best, at = len(s), -1.0, -1
+
+        def met(common: int, b: int, i: int | None) -> None:
+            nonlocal best, at
+            if i is not None:
+                score = 200.0 * common / (a + b)
+                if score > best or (score == best and i < at):
+                    best, at = score, i
+
+        have, missed = self.lengths, None
+        if a + 1 in have:
+            met(a, a + 1, self.one[a + 1].get(s))
+        if a - 1 in have or a in have:
+            less, same = a - 1 in have, self.one.get(a, {})
+            for key in _without(s):
+                if less:
+                    met(a - 1, a - 1, self.first.get(key))
+                met(a - 1, a, same.get(key))
+        if a - 2 in have and 200.0 * (a - 2) / (2 * a - 2) >= max(best, self.threshold):
+            for key in _without_two(s):
+                met(a - 2, a - 2, self.first.get(key))
+        if a + 2 in have and 200.0 * a / (2 * a + 2) >= max(best, self.threshold):
+            if self._has_two(a + 2):
+                met(a, a + 2, self.two[a + 2].get(s))
+            else:
+                missed = a + 2
+        # others are three or more apart
+        rest = 200.0 * a / (2 * a + 3)
+        lengths = [b for b in have if b == missed or (rest >= max(best, self.threshold) and 200.0 * min(a, b) >= max(best, self.threshold) * (a + b) - 1e-6)]
+        if lengths:
+            mine, where = _letters(s), _places(s)
+            for b in sorted(lengths, key=lambda b: abs(a - b)):
+                least = max(best, self.threshold)
+                if 200.0 * min(a, b) < least * (a + b) - 1e-6:
+                    continue
+                common, forms = have[b].compared(a, mine, where, (1.0 - least / 100.0) * (a + b) + 1e-6)
+                if len(common):
+                    top = int(common.max())
+                    met(top, b, min(self.first[forms[k]] for k in np.flatnonzero(common == top)))
+        return None if at < 0 else (best, at)
+
+
+class _Column:
+    """Forms of one length as rows of numbers."""
+
+    def __init__(self, length: int):
+        self.length, self.forms = length, []
+        self.codes, self.letters = np.zeros((16, length), np.uint32), np.zeros(16, np.uint64)
+
+    def add(self, form: str) -> None:
+        k = len(self.forms)
+        if k == len(self.letters):
+            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+            self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.codes[k] = np.fromiter(map(ord, form), np.uint32, self.length)
+        self.letters[k] = _letters(form)
+        self.forms.append(form)
+
+    def compared(self, a: int, letters: int, where: dict[str, int], apart: float) -> tuple[np.ndarray, list[str]]:
+        """Lengths of the common subsequences with the forms whose letters fit, and these forms."""
+        near = np.flatnonzero(np.bitwise_count(self.letters[: len(self.forms)] ^ np.uint64(letters)) <= apart)
+        forms = [self.forms[k] for k in near]
+        if a > 64 or len(near) < 8:
+            return np.array([_common(where, a, f) for f in forms], np.int64), forms
+        known = np.array(sorted(map(ord, where)), np.uint32)
+        bits = np.array([where[chr(c)] for c in known] + [0], np.uint64)
+        v = np.full(len(near), _ALL)
+        for j in range(self.length):
+            c = self.codes[near, j]
+            k = np.searchsorted(known, c)
+            k[(k == len(known)) | (known[np.minimum(k, len(known) - 1)] != c)] = len(known)
+            u = v & bits[k]
+            v = (v + u) | (v - u)
+        own = np.uint64(2**a - 1)
+        return a - np.bitwise_count(v & own).astype(np.int64), forms
+
+
+def _places(s: str) -> dict[str, int]:
+    where: dict[str, int] = {}
+    for i, c in enumerate(s):
+        where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+def _common(where: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of b and what is n long and has its letters at these places."""
+    full = (1 << n) - 1
+    v = full
+    for c in b:
+        u = v & where.get(c, 0)
+        v = (v + u | v - u) & full
+    return n - v.bit_count()
+
+
 def resolve_group(
     rows: list[dict], threshold: float = FUZZY, known: dict[str, str] | None = None, normal: dict[str, str] | None = None, embed: Embedding | None = None, similarity: float = EMBEDDED
 ) -> list[dict]:
     """Entities of one group in order, each joined to the first earlier one that is the same: by name, known alias, normal form
     (not empty), the best score, or, with embed, the most similar vector. A row has name, type, aliases, confidence."""
-    known, out = known or {}, []
+    known, normal, out = known or {}, normal or {}, []
+    by_name: dict[str, int] = {}
+    by_norm: dict[str, int] = {}
+    have: dict[int, set[str]] = {}
+    forms = _Forms(threshold)
     vectors: dict[str, np.ndarray] = {}
 
     def vector(name: str) -> np.ndarray:
@@ -43,48 +241,89 @@ def resolve_group(
         return vectors[name]
 
     def norm(name: str) -> str:
-        return (normal or {}).get(name, name.lower().strip())
+        return normal[name] if name in normal else name.lower().strip()
+
+    def named(i: int, name: str) -> None:
+        n = norm(name)
+        if by_norm.get(n, i) >= i:
+            by_norm[n] = i
+        forms.add(sorted_tokens(name), i)
 
     for row in rows:
         low = row["name"].lower()
-        hit = next((e for e in out if e["name"].lower() == low), None)
+        hit = by_name.get(low)
         if hit is None and low in known:
-            hit = next((e for e in out if e["name"].lower() == known[low].lower()), None)
+            hit = by_name.get(known[low].lower())
         if hit is None and (n := norm(row["name"])):
-            hit = next((e for e in out if any(norm(x) == n for x in (e["name"], *e["aliases"]))), None)
-        if hit is None:
-            scored = [(token_sort_score(row["name"], x), -i, e) for i, e in enumerate(out) for x in (e["name"], *e["aliases"])]
-            best = max(scored, key=lambda s: s[:2], default=None)
-            hit = best[2] if best and best[0] >= threshold else None
+            hit = by_norm.get(n)
+        if hit is None and out:
+            hit = forms.best(sorted_tokens(row["name"]))
         if hit is None and embed is not None and out:
             near = [float(vector(row["name"]) @ vector(e["name"])) for e in out]
-            hit = out[int(np.argmax(near))] if max(near) >= similarity else None
+            hit = int(np.argmax(near)) if max(near) >= similarity else None
         if hit is None:
+            i = len(out)
             out.append({**row, "aliases": list(row["aliases"] if row["aliases"] is not None else [])})
+            by_name[low] = i
+            for name in (row["name"], *out[i]["aliases"]):
+                named(i, name)
             continue
-        have = {hit["name"].lower(), *(a.lower() for a in hit["aliases"])}
+        e = out[hit]
+        if hit not in have:
+            have[hit] = {e["name"].lower(), *(a.lower() for a in e["aliases"])}
         for name in (row["name"], *(row["aliases"] if row["aliases"] is not None else [])):
-            if name.lower() not in have:
-                hit["aliases"].append(name)
-                have.add(name.lower())
-        hit["confidence"] = max(hit["confidence"], row["confidence"])
+            if name.lower() not in have[hit]:
+                e["aliases"].append(name)
+                have[hit].add(name.lower())
+                named(hit, name)
+        e["confidence"] = max(e["confidence"], row["confidence"])
     return out
 
 
-def resolved(entities: DataFrame, threshold: float = FUZZY, known: dict[str, str] | None = None, embed: Embedding | None = None, similarity: float = EMBEDDED) -> DataFrame:
-    """entities (chunk_id, pos, name, type, aliases, confidence), chunk by chunk; order matters, so a chunk is one fold.
+#: Rows that a fold gives back at once.
+FOLDED_ROWS = 10_000
 
-    known maps lower-case names to the canonical ones of an alias table; embed is the embedding tier's model."""
-    rows = entities.withColumn("norm", normalized(F.col("name")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        normal = dict(zip(pdf["name"], pdf["norm"], strict=True))
-        out = resolve_group(pdf[["name", "type", "aliases", "confidence"]].to_dict("records"), threshold, known, normal, embed, similarity)
-        return pd.DataFrame([{"chunk_id": pdf["chunk_id"].iloc[0], "name": e["name"], "type": e["type"], "aliases": e["aliases"], "confidence": e["confidence"]} for e in out])
+def resolved(entities: DataFrame, threshold: float = FUZZY, known: dict[str, str] | None = None, embed: Embedding | None = None, similarity: float = EMBEDDED) -> DataFrame:
+    """entities (chunk_id, pos, name, type, aliases, confidence), chunk by chunk; order matters, so a chunk is one fold.
 
-    kind = dict(rows.dtypes)["chunk_id"]
-    return rows.groupBy("chunk_id").applyInPandas(fold, f"chunk_id {kind}, name string, type string, aliases array<string>, confidence double")
+    known maps lower-case names to the canonical ones of an alias table; embed is the embedding tier's model. Chunks come sorted
+    and are folded one after the other; their partitions aren't joined by size, as folds take long over few bytes."""
+    columns = ("name", "type", "aliases", "confidence")
+    kind = dict(entities.dtypes)["chunk_id"]
+    rows = entities.select("chunk_id", "pos", *columns, normalized(F.col("name")).alias("norm"))
+    rows = rows.repartition(int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk_id").sortWithinPartitions("chunk_id", "pos")
+    schema = f"chunk_id {kind}, name string, type string, aliases array<string>, confidence double"
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, group, normal, out, shape = None, [], {}, [], None
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[c] for e in out], t) for c, t in shape], [c for c, _ in shape])
+
+        def end() -> None:
+            for e in resolve_group(group, threshold, known, normal, embed, similarity) if len(group) > 1 else group:
+                out.append({"chunk_id": chunk, **e, "aliases": e["aliases"] if e["aliases"] is not None else []})
+
+        for b in batches:
+            shape = [(c, b.schema.field(c).type) for c in ("chunk_id", *columns)]
+            ids, norms, *values = (b.column(c).to_pylist() for c in ("chunk_id", "norm", *columns))
+            for i, norm, *v in zip(ids, norms, *values, strict=True):
+                if group and i != chunk:
+                    end()
+                    group, normal = [], {}
+                    if len(out) >= FOLDED_ROWS:
+                        yield batch()
+                        out = []
+                chunk = i
+                group.append(dict(zip(columns, v, strict=True)))
+                normal[v[0]] = norm
+        if group:
+            end()
+        if out:
+            yield batch()
+
+    return rows.mapInArrow(fold, schema)
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, block: list[str], threshold: float = FUZZY) -> DataFrame:
