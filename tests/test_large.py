@@ -61,3 +61,20 @@ def test_folds_are_not_joined_into_few_tasks(spark):
     tasks = {r["t"] for r in out.selectExpr("spark_partition_id() AS t").collect()}
     assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert {(r["chunk_id"], r["name"], tuple(r["aliases"])) for r in out.collect()} == {(c, f"name {c} 0", (f"name {c} 1",)) for c in range(40)}
+
+
+def test_name_checks_are_computed_once(spark):
+    """Stripping and lower case stood in the expressions once a condition."""
+    from pyspark.sql import functions as F
+
+    from graphloom.functions import names
+    from graphloom.operators import chunks
+
+    df = spark.createDataFrame([("Acme Group SA",), ("Ben Ali 1999",), ("M. x",), ("",), (None,), ("  CEO ",), ("hol-sa-ding s.a.x",)], "name string")
+    out = df.select("name", names.valid_mention(F.col("name")).alias("valid"), names.entity_type(F.col("name"), F.lit("LOC")).alias("type"), names.normalized(F.col("name")).alias("norm"))
+    for check in (names.valid_mention(F.col("name")), names.entity_type(F.col("name"), F.lit("LOC")), chunks.low_quality(F.col("name"))):
+        assert str(check).count("lower(") <= 2
+    assert [tuple(r) for r in out.collect()] == [
+        ("Acme Group SA", True, "Group", "acme"), ("Ben Ali 1999", False, "Location", "ben ali 1999"), ("M. x", True, "Person", "m x"), ("", False, "Location", ""),
+        (None, False, "Location", None), ("  CEO ", False, "Person", "ceo"), ("hol-sa-ding s.a.x", True, "Company", "holding x"),
+    ]
