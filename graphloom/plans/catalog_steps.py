@@ -80,11 +80,13 @@ _SITE_SQL = " UNION ALL ".join(
 @query(r"WITH plain AS (SELECT page_id, url, html FROM pages WHERE regexp_matches(html, '(?is)<h1[^>]*>(.*?)</h1>') AND regexp_matches(html, '(?is)<article>(.*?)</article>') AND NOT regexp_matches(html, '(?is)<article>.*</?div.*</article>')) " + _SITE_SQL)
 def site_articles(spark, sf_dir):
     """The selectors of each site on pages that are tagged as the site tags them; pages with blocks within the article are left aside."""
-    p = _table(spark, sf_dir, "pages").where(F.col("html").rlike("(?is)<article>(.*?)</article>") & ~F.col("html").rlike("(?is)<article>.*</?div.*</article>"))
+    # the first block after the tag is as good as any, so the search doesn't come back to it
+    blocks = F.col("html").rlike("(?is)(?><article>.*?</?div).*</article>")
+    p = _table(spark, sf_dir, "pages").where(F.col("html").rlike("(?is)<article>.*?</article>") & ~blocks)
     out = None
     for site, (title, content, date, _) in SITE_TAGS.items():
         tagged = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", "(?i)<h1[^>]*>", title), "(?i)<article>", date + content), "(?i)</article>", "</div>")
-        a = html.articles(p.withColumn("html", tagged), site).select("page_id", "source", "title", F.md5("content").alias("content_md5"), "date")
+        a = html.articles(html.computed(p, ["page_id", "url"], html=tagged), site).select("page_id", "source", "title", F.md5("content").alias("content_md5"), "date")
         out = a if out is None else out.unionByName(a)
     return out
 

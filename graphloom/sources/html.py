@@ -53,7 +53,8 @@ def fetched(addresses: DataFrame, fetch: Callable[[str], str | None], wait: floa
 
 
 def _found(html: Column, pattern: str) -> Column:
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    """The first group of the first match; null: none. The page is searched once, and the group sought in what matched."""
+    return F.regexp_extract(F.regexp_substr(html, F.lit(pattern)), pattern, 1)
 
 
 def articles(pages: DataFrame, site: str = "generic") -> DataFrame:
@@ -62,8 +63,14 @@ def articles(pages: DataFrame, site: str = "generic") -> DataFrame:
         raise ValueError(f"unknown site {site!r}; known: {', '.join(SELECTORS)}")
     title, content, date = SELECTORS[site]
     h = F.col("html")
-    out = pages.select("page_id", "url", visible(_found(h, title), "").alias("title"), visible(_found(h, content), "\n").alias("content"), _found(h, date).alias("date"), F.lit(site).alias("source"))
-    return out.where(F.col("title").isNotNull() & F.col("content").isNotNull())
+    found = computed(pages, ["page_id", "url"], title=_found(h, title), content=_found(h, content), date=_found(h, date)).where(F.col("title").isNotNull() & F.col("content").isNotNull())
+    return found.select("page_id", "url", visible(F.col("title"), "").alias("title"), visible(F.col("content"), "\n").alias("content"), "date", F.lit(site).alias("source"))
+
+
+def computed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however many expressions and filters then use them."""
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_made")
+    return df.select(*keep, made).select(*keep, "_made.*")
 
 
 def links(pages: DataFrame, limit: int | None = None) -> DataFrame:
